@@ -42,7 +42,7 @@ IBAN_LENGTHS = {
 }
 
 WIDE_DIGITS = "０１２３４５６７８９"
-BLANKS = "    "
+BLANKS = "\u0020\u00a0\u202f\u2009"
 D = "[0-9０-９]"
 SP = f"[{BLANKS}]"
 SEP = f"[{BLANKS}.\\-/()]"

@@ -56,6 +56,7 @@ ADDRESS_TYPES = r"^(inet|cidr)"
 TEXT_TYPES = r"char|text|clob|string"
 PERSON_NAME = r"^\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*(?: (?:de|du|van|von|der|den|la|le|di|\p{Lu}\.|(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*)){1,4}$"
 NAME_SHARE = 0.6
+SCAN_SCHEMA = "table string, column string, detector string, cell_hits bigint, row_hits bigint"
 
 
 def name_tokens(c: Column) -> Column:
@@ -156,36 +157,37 @@ def propose_name(candidates: DataFrame, samples: DataFrame) -> DataFrame:
 
 def scan_content(df: DataFrame, table: str, names=det.DEFAULT_DETECTORS, numbers: bool = True) -> DataFrame:
     """Values and rows hit per column and detector. One pass, partial sums only travel."""
-    aggs, items = [], []
+    hits, items = {}, []
     for i, f in enumerate(df.schema.fields):
-        c = F.col(f"`{f.name}`")
+        c, use = F.col(f"`{f.name}`"), det.detectors(names)
         if isinstance(f.dataType, T.StringType):
-            text, use = c, det.detectors(names)
+            text = c
         elif holds_text(f.dataType):
-            text, use = F.to_json(c) if not isinstance(f.dataType, T.ArrayType) else F.to_json(c), det.detectors(names)
+            text = F.to_json(c)
         elif numbers and isinstance(f.dataType, (T.IntegralType, T.FractionalType)):
-            floating = isinstance(f.dataType, T.FractionalType)
-            text, use = det.integral_text(c, floating), [d for d in det.detectors(names) if d.digits]
+            text = det.integral_text(c, isinstance(f.dataType, T.FractionalType))
+            use = [d for d in use if d.digits]
         else:
             continue
         for d in use:
-            hits = F.coalesce(F.size(det.find(d.name, text)), F.lit(0))
-            aggs += [
-                F.sum(det.let(hits, lambda h: F.greatest(h, F.lit(0)).cast("bigint"))).alias(f"_c{i}_{d.name}"),
-                F.count_if(hits > 0).alias(f"_r{i}_{d.name}"),
-            ]
+            key = f"{i}_{d.name}"
+            hits[key] = F.greatest(F.coalesce(F.size(det.find(d.name, text)), F.lit(0)), F.lit(0))
             items.append(
                 F.struct(
                     F.lit(table).alias("table"),
                     F.lit(f.name).alias("column"),
                     F.lit(d.name).alias("detector"),
-                    F.coalesce(F.col(f"_c{i}_{d.name}"), F.lit(0)).alias("cell_hits"),
-                    F.col(f"_r{i}_{d.name}").alias("row_hits"),
+                    F.coalesce(F.col(f"c{key}"), F.lit(0)).cast("bigint").alias("cell_hits"),
+                    F.col(f"r{key}").alias("row_hits"),
                 )
             )
-    if not aggs:
-        return df.sparkSession.createDataFrame([], "table string, column string, detector string, cell_hits bigint, row_hits bigint")
-    return df.agg(*aggs).select(F.inline(F.array(*items)))
+    if not hits:
+        return df.sparkSession.createDataFrame([], SCAN_SCHEMA)
+    counted = df.select(*[h.alias(k) for k, h in hits.items()])
+    aggs = [F.sum(F.col(f"`{k}`")).alias(f"c{k}") for k in hits] + [
+        F.count_if(F.col(f"`{k}`") > 0).alias(f"r{k}") for k in hits
+    ]
+    return counted.agg(*aggs).select(F.inline(F.array(*items)))
 
 
 def bootstrap(inventory: DataFrame, samples: DataFrame, rules: RuleSet) -> tuple[DataFrame, DataFrame]:
