@@ -21,8 +21,11 @@ def value_text(c: Column, dtype: T.DataType) -> Column:
     elif isinstance(dtype, T.TimestampNTZType):
         text = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
     elif isinstance(dtype, (T.FloatType, T.DoubleType)):
-        whole = (F.floor(c) == c) & (F.abs(c) < 1e15)
-        text = F.when(whole, c.cast("bigint").cast("string")).otherwise(c.cast("string"))
+        size = F.abs(c)
+        # Plain digits where Spark would write an exponent.
+        plain = F.regexp_replace(c.cast("decimal(32,12)").cast("string"), r"\.?0+$", "")
+        text = F.when((F.floor(c) == c) & (size < 1e15), c.cast("bigint").cast("string"))
+        text = text.when((size >= 1e7) & (size < 1e15), plain).otherwise(c.cast("string"))
         text = F.when(F.isnan(c), F.lit("NaN")).when(
             F.abs(c) == float("inf"), F.when(c > 0, F.lit("Infinity")).otherwise(F.lit("-Infinity"))
         ).otherwise(text)

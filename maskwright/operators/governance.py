@@ -111,7 +111,9 @@ def grant_ledger(runs: DataFrame, grants: DataFrame, bucket_seconds: int = 60) -
     """Every run under a grant with what the grant has left after it.
 
     runs: run_id, grant_id, ts, rows, bytes. A run past the grant's time or
-    its budget is not charged: ``end_reason`` says why the grant was over.
+    its budget is not charged: ``end_reason`` says why, and nothing is left.
+    (A spent budget stays spent, so every run before a charged one was
+    charged too, and the running totals are exact for it.)
     """
     keyed = runs.join(
         grants.select(
@@ -134,7 +136,7 @@ def grant_ledger(runs: DataFrame, grants: DataFrame, bucket_seconds: int = 60) -
         .when(own("used_rows", F.col("rows")) >= F.col("_rows"), F.lit("rows"))
         .when(F.col("_bytes") - own("used_bytes", F.col("bytes")) < MIN_GRANT_BYTES, F.lit("bytes"))
     )
-    left = lambda total, used: F.greatest(F.lit(0), F.col(total) - F.col(used)).cast("bigint")
+    left = lambda total, used: F.when(reason.isNull(), F.greatest(F.lit(0), F.col(total) - F.col(used))).cast("bigint")
     return run.select(
         *runs.columns,
         left("_statements", "used_statements").alias("statements_left"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -135,43 +136,60 @@ def leak_variants(seeds: DataFrame, seed: str = "seed") -> DataFrame:
     return seeds.select(c.alias("seed"), F.inline(forms)).distinct()
 
 
-GRAM = 6
+LEAK_SCHEMA = "column string, seed string, form string"
+# The needles one pass carries to every task; more of them take more passes.
+MAX_NEEDLES = 100_000
 
 
-def _grams(c: Column) -> Column:
-    """The distinct runs of GRAM characters of a text."""
-    n = F.char_length(c) - GRAM + 1
-    starts = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda i: F.substr(c, i, F.lit(GRAM))))
+def _matcher(needles: list[tuple[str, str, str]]):
+    """A function from a text to the (seed, form) pairs whose needle it holds."""
+    by_needle: dict[str, list[tuple[str, str]]] = {}
+    for needle, seed, form in needles:
+        by_needle.setdefault(needle, []).append((seed, form))
+    try:
+        import ahocorasick
+    except ImportError:
+        return lambda text: {pair for n, pairs in by_needle.items() if n in text for pair in pairs}
+    trie = ahocorasick.Automaton()
+    for n, pairs in by_needle.items():
+        trie.add_word(n, pairs)
+    trie.make_automaton()
+    return lambda text: {pair for _, pairs in trie.iter(text) for pair in pairs}
 
 
-def leak_scan(df: DataFrame, seeds: DataFrame, seed: str = "seed") -> DataFrame:
-    """Seeded values found in a published dataset: (column, form, cells, seeds).
+def leak_hits(df: DataFrame, seeds: DataFrame, seed: str = "seed") -> DataFrame:
+    """One row per cell and seed form found in it: column, seed, form.
 
-    Every form of a seed is looked up by its first GRAM characters among the
-    runs of each text, an equality join, and confirmed by a full search. A
-    seed of fewer characters cannot be told from chance and is refused.
+    Each text is read once per pass, whatever the number of needles; case is
+    ignored. A set of seeds too large for one pass is split by hash.
     """
-    text = [f for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    cells = F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"`{f.name}`").alias("cell")) for f in text])
-    numbered = df.select(F.inline(cells)).where("cell is not null")
-    # Binary collation of hex and lower forms: the search ignores case once, here.
-    needles = leak_variants(seeds, seed).select(
-        "seed",
-        "form",
-        F.lower("needle").alias("needle"),
-        F.assert_true(F.char_length("seed") >= GRAM, F.lit(f"a seed has at least {GRAM} characters")).alias("_ok"),
-    )
-    needles = needles.where(F.col("_ok").isNull()).select(
-        "seed", "form", "needle", F.substring("needle", 1, GRAM).alias("gram")
-    )
-    # A text is long and a needle's gram rare: only the grams some needle
-    # starts with go on to the search.
-    haystack = numbered.select("column", F.lower("cell").alias("cell"))
-    haystack = haystack.select("column", "cell", F.explode(_grams(F.col("cell"))).alias("gram"))
-    found = haystack.join(needles, "gram").where(F.contains("cell", F.col("needle")))
+    text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("cell")) for c in text])))
+    cells = cells.where("cell is not null").select("column", F.lower("cell").alias("cell"))
+    needles = leak_variants(seeds, seed).select(F.lower("needle").alias("needle"), "seed", "form").where("needle <> ''")
+    passes = max(1, -(-needles.count() // MAX_NEEDLES))
+    part = F.pmod(F.xxhash64("needle"), F.lit(passes))
+    out = None
+    for i in range(passes):
+        carried = [tuple(r) for r in needles.where(part == i).collect()]
+        shared = df.sparkSession.sparkContext.broadcast(carried)
+
+        def search(batches, shared=shared):
+            find = _matcher(shared.value)
+            for pdf in batches:
+                hits = [(c, s, f) for c, t in zip(pdf["column"], pdf["cell"]) for s, f in find(t)]
+                yield pd.DataFrame(hits, columns=["column", "seed", "form"])
+
+        hits = cells.mapInPandas(search, LEAK_SCHEMA)
+        out = hits if out is None else out.unionAll(hits)
+    return out
+
+
+def leak_scan(df: DataFrame, seeds: DataFrame, seed: str = "seed") -> DataFrame:
+    """Seeded values found in a published dataset, per column and form: cells hit, seeds found."""
     return (
-        found.groupBy("column", "form", "seed")
+        leak_hits(df, seeds, seed)
+        .groupBy("column", "form", "seed")
         .agg(F.count(F.lit(1)).alias("cells"))
         .groupBy("column", "form")
         .agg(F.sum("cells").alias("cells"), F.count("seed").alias("seeds"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions.masks import MAX_CELL_BYTES
@@ -39,13 +40,14 @@ class Limits:
         )
 
 
-def cap_rows(df: DataFrame, n: int) -> DataFrame:
-    """At most n rows; ``truncated`` tells whether more exist. Reads no more than n + 1."""
-    head = df.limit(n + 1)
-    place = Window.partitionBy(F.lit(0)).orderBy(F.lit(0))
+def cap_rows(df: DataFrame, n: int, order: Sequence[str | Column] = ()) -> DataFrame:
+    """The first n rows, numbered; ``truncated`` tells whether more exist. Reads no more than n + 1."""
+    head = (df.orderBy(*order) if order else df).limit(n + 1)
     # n + 1 rows at most reach this one partition.
+    whole = Window.partitionBy(F.lit(0))
+    place = whole.orderBy(*order) if order else whole.orderBy(F.monotonically_increasing_id())
     numbered = head.withColumn("row_no", F.row_number().over(place)).withColumn(
-        "truncated", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) > n
+        "truncated", F.count(F.lit(1)).over(whole) > n
     )
     return numbered.where(F.col("row_no") <= n)
 
@@ -93,12 +95,12 @@ def cap_bytes(lines: DataFrame, n: int, line: str = "line", order: str = "row_no
     return lines.withColumn("running_bytes", running).withColumn("total_rows", total).where(F.col("running_bytes") <= n)
 
 
-def governed_lines(df: DataFrame, limits: Limits, fmt: str = "tsv") -> DataFrame:
+def governed_lines(df: DataFrame, limits: Limits, fmt: str = "tsv", order: Sequence[str | Column] = ()) -> DataFrame:
     """Row, cell and byte caps applied in order: row_no, line, cut_cells, truncated, total_rows."""
     if fmt not in ("tsv", "json"):
         raise ValueError("format: want tsv or json")
     names = df.columns
-    capped = cap_rows(df, limits.max_rows)
+    capped = cap_rows(df, limits.max_rows, order)
     long, shown = F.lit(0), []
     for f in df.schema.fields:
         text = escape(value_text(F.col(f"`{f.name}`"), f.dataType)) if fmt == "tsv" else F.make_valid_utf8(

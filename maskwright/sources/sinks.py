@@ -17,9 +17,9 @@ def publish_masked(df, db, table, rules, path, names=det.DEFAULT_DETECTORS, part
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
 
 
-def export_capped(df: DataFrame, path: str, limits: Limits = Limits(), fmt: str = "tsv", mode: str = "errorifexists") -> None:
+def export_capped(df: DataFrame, path: str, limits: Limits = Limits(), fmt: str = "tsv", order=(), mode: str = "errorifexists") -> None:
     """Write a governed result as text within its caps, with header and closing lines."""
-    lines = governed_lines(df, limits, fmt)
+    lines = governed_lines(df, limits, fmt, order)
     body = lines.select(F.col("row_no").alias("ord"), "line")
     shown, total = F.count(F.lit(1)), F.coalesce(F.max("total_rows"), F.lit(0))
     cut = F.when(
