@@ -32,7 +32,7 @@ def mask_email(c: Column) -> Column:
     return let(
         c.cast("string"),
         lambda t: F.when(
-            F.rlike(t, F.lit(r"^[^@\s]+@[^@\s]+$")),
+            F.rlike(t, F.lit(r"^[^@\s]+@[^@\s]+\z")),
             F.concat(F.substring(t, 1, 1), F.lit("***@"), F.substring_index(t, "@", -1)),
         ).otherwise(partial_mask(t)),
     )
@@ -94,8 +94,8 @@ def cap_text(c: Column, max_bytes: int = MAX_CELL_BYTES) -> Column:
     def cut(t: Column) -> Column:
         # A character the cut tears in two shows as replacement characters.
         head = F.make_valid_utf8(F.substring(F.encode(t, "UTF-8"), 1, keep).cast("string"))
-        whole = F.regexp_replace(head, "\ufffd+$", "")
-        return F.concat(F.regexp_replace(whole, f"[{VALUE_CHARS}]{{1,{CUT_TAIL}}}$", ""), F.lit(CUT_MARK))
+        whole = F.regexp_replace(head, "\ufffd+\\z", "")
+        return F.concat(F.regexp_replace(whole, f"[{VALUE_CHARS}]{{1,{CUT_TAIL}}}\\z", ""), F.lit(CUT_MARK))
 
     return let(c, lambda t: F.when(F.octet_length(t) > max_bytes, cut(t)).otherwise(t))
 

@@ -54,7 +54,7 @@ DATE_TYPES = r"^(date|time|timestamp|datetime|timestamptz|timetz|interval|year)"
 BINARY_TYPES = r"binary|blob|bytea|^bytes"
 ADDRESS_TYPES = r"^(inet|cidr)"
 TEXT_TYPES = r"char|text|clob|string"
-PERSON_NAME = r"^\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*(?: (?:de|du|van|von|der|den|la|le|di|\p{Lu}\.|(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*)){1,4}$"
+PERSON_NAME = r"^\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*(?: (?:de|du|van|von|der|den|la|le|di|\p{Lu}\.|(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*)){1,4}\z"
 NAME_SHARE = 0.6
 SCAN_SCHEMA = "table string, column string, detector string, cell_hits bigint, row_hits bigint"
 
@@ -114,7 +114,7 @@ def _quasi() -> Column:
 
 def pattern_segment(c: Column) -> Column:
     """A name as a pattern segment; one that would break the syntax becomes *."""
-    return F.when(F.rlike(c, F.lit(r"""^$|[*. \t\r\n"'`]""")), F.lit("*")).otherwise(c)
+    return F.when(F.rlike(c, F.lit(r"""^\z|[*. \t\r\n"'`]""")), F.lit("*")).otherwise(c)
 
 
 def _pattern() -> Column:

@@ -35,6 +35,12 @@ JSON_LISTS = ("json_agg", "jsonb_agg", "json_arrayagg", "json_group_array")
 JSON_OBJECTS = ("json_object_agg", "jsonb_object_agg", "json_objectagg", "json_group_object")
 
 
+def _json(c: Column) -> Column:
+    """A value as JSON text."""
+    one = F.to_json(F.array(c), {"ignoreNullFields": "false"})
+    return F.substr(one, F.lit(2), F.char_length(one) - 2)
+
+
 @dataclass(frozen=True)
 class Agg:
     """One aggregate: name, argument expressions, alias and modifiers."""
@@ -78,9 +84,11 @@ class Agg:
         if fn in JSON_LISTS:
             return F.to_json(self._list(args[0], keep), {"ignoreNullFields": "false"})
         if fn in JSON_OBJECTS:
-            pair = F.struct(args[0].cast("string").alias("key"), args[1].alias("value"))
+            pair = F.struct(args[0].cast("string").alias("key"), _json(args[1]).alias("value"))
             kept = F.collect_list(pair if keep is None else F.when(keep, pair))
-            return F.to_json(F.map_from_entries(F.array_sort(kept)), {"ignoreNullFields": "false"})
+            # Pairs, not a map: a key may come up more than once.
+            pairs = F.transform(F.array_sort(kept), lambda x: F.concat(_json(x["key"]), F.lit(":"), x["value"]))
+            return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
         raise Refused("E_FUNCTION", f"{fn} is not an aggregate")
 
     def _ordered(self, value: Column, keep: Column | None) -> Column:

@@ -30,4 +30,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Register every query."""
-    from suite import detection, discovery, masking  # noqa: F401
+    from suite import detection, discovery, governed, masking, output  # noqa: F401
