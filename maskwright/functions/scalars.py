@@ -125,7 +125,13 @@ FUNCTIONS = [
     ("json_extract", "j STRING, p STRING", "STRING", "get_json_object(j, p)"),
     ("json_value", "j STRING, p STRING", "STRING", "get_json_object(j, p)"),
     ("json_unquote", "j STRING", "STRING", "if(startswith(j, '\"'), get_json_object(concat('{\"v\":', j, '}'), '$.v'), j)"),
-    ("json_valid", "j STRING", "BOOLEAN", "CASE WHEN j IS NOT NULL THEN try_parse_json(j) IS NOT NULL END"),
+    # Inside brackets, so that nothing may follow the value.
+    (
+        "json_valid",
+        "j STRING",
+        "BOOLEAN",
+        "CASE WHEN j IS NOT NULL THEN try_parse_json(concat('[', j, ']')) IS NOT NULL AND coalesce(json_array_length(concat('[', j, ']')), 0) = 1 END",
+    ),
     (
         "json_length",
         "j STRING",
@@ -153,6 +159,8 @@ FUNCTIONS = [
 
 def register(spark: SparkSession) -> None:
     """Make the functions known to the session, for expressions and SQL alike."""
+    if spark.catalog.functionExists(FUNCTIONS[-1][0]):
+        return
     for name, params, result, body in FUNCTIONS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {result} RETURN {body}")
 

@@ -123,8 +123,7 @@ class Governed:
 
     def _reads(self, expr: str | Column) -> list[str]:
         """The columns an expression reads: Spark names each one it cannot resolve."""
-        spark = self._df.sparkSession
-        empty = spark.createDataFrame([], self._df.schema)
+        empty = _empty(self._df)
         used: list[str] = []
         while True:
             try:
@@ -216,6 +215,16 @@ class Governed:
         trail = self._touch("select", p, steer=not self._is_column(expr))
         return self._with(self._df.withColumn(name, column), {**self._prov, name: p}, trail)
 
+    def with_columns(self, exprs: dict[str, str | Column]) -> Governed:
+        """Several computed columns over the columns there are now."""
+        me = self._settle() if self._groups is not None else self
+        provs, trail = dict(me._prov), me._trail
+        for name, expr in exprs.items():
+            one = replace(me, _trail=trail).with_column(name, expr)
+            provs[name], trail = one._prov[name], one._trail
+        columns = {n: F.expr(e) if isinstance(e, str) else e for n, e in exprs.items()}
+        return me._with(me._df.withColumns(columns), provs, trail)
+
     # ---- filters ----
 
     def filter(self, expr: str | Column) -> Governed:
@@ -643,6 +652,17 @@ class Governed:
         ).write.mode(mode).parquet(path)
 
 
+_EMPTY: dict[tuple, DataFrame] = {}
+
+
+def _empty(df: DataFrame) -> DataFrame:
+    """A frame without rows and of the same schema: expressions are resolved against it."""
+    key = (df.sparkSession.sparkContext.applicationId, df.schema.json())
+    if key not in _EMPTY:
+        _EMPTY[key] = df.sparkSession.createDataFrame([], df.schema)
+    return _EMPTY[key]
+
+
 def _bounded(a: DataFrame, b: DataFrame) -> None:
     """A join without an equality pairs every row: one side must be small."""
     for side in (b, a):

@@ -125,12 +125,13 @@ def pair_runs(plans: DataFrame, runs: DataFrame, ttl: str = "10 minutes", delay:
     """
     p = plans.select(F.col("plan_id"), F.col("ts").alias("plan_ts")).withWatermark("plan_ts", delay)
     r = runs.select(F.col("plan_id").alias("run_plan"), "run_id", F.col("ts").alias("run_ts")).withWatermark("run_ts", delay)
+    r = r.dropDuplicatesWithinWatermark(["run_plan"])
     paired = p.join(
         r,
         F.expr(f"run_plan = plan_id AND run_ts >= plan_ts AND run_ts <= plan_ts + INTERVAL {ttl}"),
         "inner",
     )
-    return paired.select("plan_id", "plan_ts", "run_id", "run_ts").dropDuplicatesWithinWatermark(["plan_id"])
+    return paired.select("plan_id", "plan_ts", "run_id", "run_ts")
 
 
 def undecided(pending: DataFrame, decisions: DataFrame, within: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
