@@ -38,6 +38,8 @@ WINDOW_AGGREGATES = (
     "count sum avg min max stddev std stddev_pop stddev_samp variance var_pop var_samp "
     "bit_and bit_or bit_xor bool_and bool_or every any_value"
 ).split()
+# A name in such an expression may be a type, a unit, an alias or a variable, not a column.
+_AMBIGUOUS = re.compile(r"(?i)->|\b(?:as|from|interval|timestampadd|timestampdiff|dateadd|datediff)\b|\w\.\s*[a-z_`]")
 _BOUND = r"(?:UNBOUNDED (?:PRECEDING|FOLLOWING)|CURRENT ROW|\d+ (?:PRECEDING|FOLLOWING))"
 _FRAME = re.compile(rf"(?:ROWS|RANGE) (?:BETWEEN {_BOUND} AND {_BOUND}|{_BOUND})")
 
@@ -122,23 +124,43 @@ class Governed:
         return isinstance(text, str) and any(fold(c) == fold(text.strip("`")) for c in self._prov)
 
     def _reads(self, expr: str | Column) -> list[str]:
-        """The columns an expression reads: Spark names each one it cannot resolve."""
-        empty = _empty(self._df)
-        used: list[str] = []
-        while True:
-            try:
-                empty.select(*[F.col(f"`{c}`") for c in used]).select(F.expr(expr) if isinstance(expr, str) else expr)
-                return used
-            except AnalysisException as e:
-                condition = e.getCondition() or ""
-                if not condition.startswith("UNRESOLVED_COLUMN"):
-                    raise Refused("E_INVALID_SQL", f"Spark cannot resolve the expression ({condition})") from None
-                named = e.getMessageParameters()["objectName"]
-                parts = re.findall(r"`((?:[^`]|``)*)`", named)
-                name = self._name(parts[0].replace("``", "`") if parts else named)
-                if name in used:
-                    raise Refused("E_UNKNOWN_NAME", "unknown field of a column") from None
-                used.append(name)
+        """The columns an expression reads, by what Spark can resolve it with.
+
+        The names written in it are tried first. Spark names each one still
+        missing, and a masked column counts only if nothing resolves without it.
+        """
+        used = self._written(expr) if isinstance(expr, str) else []
+        while (problem := self._unresolved(expr, used)) is not None:
+            condition = problem.getCondition() or ""
+            if not condition.startswith("UNRESOLVED_COLUMN"):
+                raise Refused("E_INVALID_SQL", f"Spark cannot resolve the expression ({condition})")
+            named = problem.getMessageParameters()["objectName"]
+            parts = re.findall(r"`((?:[^`]|``)*)`", named)
+            name = self._name(parts[0].replace("``", "`") if parts else named)
+            if name in used:
+                raise Refused("E_UNKNOWN_NAME", "unknown field of a column")
+            used.append(name)
+        doubtful = [c for c in used if self._prov[c].sensitive or (isinstance(expr, str) and _AMBIGUOUS.search(expr))]
+        for c in doubtful:
+            rest = [x for x in used if x != c]
+            if self._unresolved(expr, rest) is None:
+                used = rest
+        return used
+
+    def _unresolved(self, expr: str | Column, columns: list[str]) -> AnalysisException | None:
+        """Why Spark cannot resolve an expression with these columns alone, or nothing."""
+        try:
+            known = _empty(self._df).select(*[F.col(f"`{c}`") for c in columns])
+            known.select(F.expr(expr) if isinstance(expr, str) else expr)
+        except AnalysisException as e:
+            return e
+        return None
+
+    def _written(self, text: str) -> list[str]:
+        """The columns whose names stand in an expression, outside its string literals."""
+        words = {fold(w) for w in re.findall(r"[^\W\d]\w*", re.sub(r"'(?:[^'\\]|\\.)*'", " ", text))}
+        quoted = {fold(w) for w in re.findall(r"`([^`]+)`", text)}
+        return [c for c in self._prov if fold(c) in words | quoted]
 
     def _value(self, expr: str | Column) -> Prov:
         if self._is_column(expr):
