@@ -81,6 +81,9 @@ def partial_mask(c: Column) -> Column:
     return F.concat(F.substring(c, 1, 1), F.lit("***("), F.char_length(c).cast("string"), F.lit(")"))
 
 
+_G = f"[{BLANKS}\\-]"
+CARD_GROUPS = rf"{D}{{13,19}}|{D}{{4}}(?:{_G}{D}{{4}}){{3}}(?:{_G}{D}{{1,3}})?|{D}{{4}}{_G}{D}{{6}}{_G}{D}{{4,5}}"
+
 # ---- tests of candidates ----
 
 
@@ -239,9 +242,11 @@ def _value_in(d: Detector, m: Column) -> Column:
         return m
     if not d.shorten:
         return F.when(d.ok(m), m)
-    # A card may be followed by a date or a code: try it without its last groups.
+    # A card may be followed by a date or a code: try it without its last groups,
+    # if what is left is grouped as cards are.
     cut = lambda c: F.regexp_extract(c, rf"^(.*{D})[{BLANKS}\-]{D}+$", 1)
-    tries = F.array(m, cut(m), cut(cut(m)))
+    usual = lambda c: F.regexp_extract(c, rf"^(?:{CARD_GROUPS})$", 0)
+    tries = F.array(m, usual(cut(m)), usual(cut(cut(m))))
     return F.get(F.filter(tries, d.ok), F.lit(0))
 
 
