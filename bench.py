@@ -52,8 +52,9 @@ def mask_documents(spark, sf):
     from pyspark.sql import functions as F
 
     from maskwright.functions.detectors import mask_all
+    from maskwright.session import spread
 
-    return table(spark, sf, "documents").select("doc_id", mask_all(F.col("text")).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", mask_all(F.col("text")).alias("text"))
 
 
 def main() -> None:

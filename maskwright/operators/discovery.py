@@ -157,36 +157,42 @@ def propose_name(candidates: DataFrame, samples: DataFrame) -> DataFrame:
 
 def scan_content(df: DataFrame, table: str, names=det.DEFAULT_DETECTORS, numbers: bool = True) -> DataFrame:
     """Values and rows hit per column and detector. One pass, partial sums only travel."""
-    hits, items = {}, []
-    for i, f in enumerate(df.schema.fields):
-        c, use = F.col(f"`{f.name}`"), det.detectors(names)
+    texts, digits = {}, {}
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, T.StringType):
-            text = c
+            texts[f.name] = c
         elif holds_text(f.dataType):
-            text = F.to_json(c)
+            texts[f.name] = F.to_json(c)
         elif numbers and isinstance(f.dataType, (T.IntegralType, T.FractionalType)):
-            text = det.integral_text(c, isinstance(f.dataType, T.FractionalType))
-            use = [d for d in use if d.digits]
-        else:
-            continue
-        for d in use:
-            key = f"{i}_{d.name}"
-            hits[key] = F.greatest(F.coalesce(F.size(det.find(d.name, text)), F.lit(0)), F.lit(0))
-            items.append(
-                F.struct(
-                    F.lit(table).alias("table"),
-                    F.lit(f.name).alias("column"),
-                    F.lit(d.name).alias("detector"),
-                    F.coalesce(F.col(f"c{key}"), F.lit(0)).cast("bigint").alias("cell_hits"),
-                    F.col(f"r{key}").alias("row_hits"),
-                )
-            )
-    if not hits:
+            digits[f.name] = det.integral_text(c, isinstance(f.dataType, T.FractionalType))
+    every = det.detectors(names)
+    kinds = {"_texts": (texts, every), "_digits": (digits, [d for d in every if d.digits])}
+    kinds = {k: (cols, use) for k, (cols, use) in kinds.items() if cols and use}
+    if not kinds:
         return df.sparkSession.createDataFrame([], SCAN_SCHEMA)
-    counted = df.select(*[h.alias(k) for k, h in hits.items()])
-    aggs = [F.sum(F.col(f"`{k}`")).alias(f"c{k}") for k in hits] + [
-        F.count_if(F.col(f"`{k}`") > 0).alias(f"r{k}") for k in hits
-    ]
+
+    def counts(use):
+        # The detectors are written once, for the cells of a row as an array.
+        found = lambda t, d: F.greatest(F.coalesce(F.size(det.find(d.name, t)), F.lit(0)), F.lit(0))
+        return lambda t: F.array(*[found(t, d) for d in use])
+
+    counted = df.select(*[F.transform(F.array(*cols.values()), counts(use)).alias(k) for k, (cols, use) in kinds.items()])
+    aggs, items = [], []
+    for k, (cols, use) in kinds.items():
+        for i, column in enumerate(cols):
+            for j, d in enumerate(use):
+                n = F.col(k)[i][j]
+                aggs += [F.sum(n).alias(f"c{k}_{i}_{j}"), F.count_if(n > 0).alias(f"r{k}_{i}_{j}")]
+                items.append(
+                    F.struct(
+                        F.lit(table).alias("table"),
+                        F.lit(column).alias("column"),
+                        F.lit(d.name).alias("detector"),
+                        F.coalesce(F.col(f"c{k}_{i}_{j}"), F.lit(0)).cast("bigint").alias("cell_hits"),
+                        F.col(f"r{k}_{i}_{j}").alias("row_hits"),
+                    )
+                )
     return counted.agg(*aggs).select(F.inline(F.array(*items)))
 
 

@@ -42,8 +42,8 @@ def grant_coverage(plans: DataFrame, grants: DataFrame, bucket_seconds: int = 36
     plans: plan_id, agent, db, ts, relations, class, unmask, warnings, k_checks,
     verdict, est_rows. grants: grant_id, agent, db, tables, start, expires,
     statements, rows, bytes (what is left). A grant is looked up by agent,
-    database and the hours it is active in, so no agent pairs all its plans
-    with all its grants.
+    database and the hours it is active in: a plan meets only the grants of
+    its hour, and those are human decisions, as few as the ticket limit allows.
     """
     hour = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / bucket_seconds)
     active = grants.select(

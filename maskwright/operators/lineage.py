@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from maskwright.operators.rules import RuleSet, resolve_modes
 from maskwright.plans.provenance import Kind
-from maskwright.session import cut_lineage
+from maskwright.session import cut_lineage, small
 
 # Mask modes as bits, so that a union of modes is a bitwise or.
 MODE_BITS = {"redact": 1, "partial": 2, "email": 4}
@@ -59,8 +59,11 @@ def propagate(edges: DataFrame, rules: RuleSet, max_rounds: int = 100) -> DataFr
     Each round carries on only the columns whose state changed: node, kind,
     modes (bits), lit, mask. Columns no edge leads to are base columns.
     """
+    # Parallel edges say the same: each is kept once before the rounds.
     edges = cut_lineage(
-        edges.select("dst", "src", _kind(F.col("kind")).alias("ekind"), F.coalesce("literal", F.lit(False)).alias("literal"))
+        edges.select(
+            "dst", "src", _kind(F.col("kind")).alias("ekind"), F.coalesce("literal", F.lit(False)).alias("literal")
+        ).distinct()
     )
     nodes = edges.select(F.col("src").alias("node")).distinct()
     base = nodes.join(edges.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
@@ -70,7 +73,9 @@ def propagate(edges: DataFrame, rules: RuleSet, max_rounds: int = 100) -> DataFr
     )
     state = frontier = cut_lineage(base)
     for _ in range(max_rounds):
-        fed = edges.join(frontier.withColumnRenamed("node", "src"), "src")
+        # A small frontier goes to the edges: they are read in place and only
+        # what they hand on is shuffled, merged per destination first.
+        fed = edges.join(small(frontier.withColumnRenamed("node", "src")), "src")
         new = _flow(fed).join(
             state.select("node", F.col("kind").alias("k0"), F.col("modes").alias("m0"), F.col("lit").alias("l0")),
             "node",
@@ -107,7 +112,7 @@ def sources(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     derived = edges.select(F.col("dst").alias("src")).distinct()
     found = frontier = cut_lineage(edges.join(derived, "src", "left_anti").select("dst", F.col("src").alias("source")))
     for _ in range(max_rounds):
-        step = edges.join(frontier.withColumnRenamed("dst", "src"), "src").select("dst", "source").distinct()
+        step = edges.join(small(frontier.withColumnRenamed("dst", "src")), "src").select("dst", "source").distinct()
         frontier = cut_lineage(step.join(found, ["dst", "source"], "left_anti"))
         if frontier.isEmpty():
             return found

@@ -34,12 +34,33 @@ def mask_table(
     detectors run on the columns named in ``numbers`` only
     (``numeric_columns_hit`` finds the ones that need it).
     """
+    modes = {f.name: rules.mode(db, table, f.name) for f in df.schema.fields}
+    return _protect(df, modes, names, numbers)
+
+
+# From this many text columns on, the detectors are written once for all of them.
+MANY_COLUMNS = 4
+
+
+def _protect(df: DataFrame, modes: dict[str, str | None], names, numbers: tuple[str, ...] = ()) -> DataFrame:
+    """Every column under its mode or the detectors.
+
+    The plan of a wide table stays small: its texts go through one expression
+    as an array, instead of one long expression each.
+    """
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and not modes[f.name]]
+    together = texts if len(texts) >= MANY_COLUMNS and list(names) else []
+    if together:
+        cells = F.array(*[F.col(f"`{c}`") for c in together])
+        df = df.withColumn("_masked", F.transform(cells, lambda t: det.mask_all(t, names)))
+    place = {c: i for i, c in enumerate(together)}
     return df.select(
         *[
-            protect_column(
-                F.col(f"`{f.name}`"), f.dataType, rules.mode(db, table, f.name), names, f.name in numbers
-            ).alias(f.name)
+            F.col("_masked")[place[f.name]].alias(f.name)
+            if f.name in place
+            else protect_column(F.col(f"`{f.name}`"), f.dataType, modes[f.name], names, f.name in numbers).alias(f.name)
             for f in df.schema.fields
+            if f.name != "_masked"
         ]
     )
 
@@ -65,12 +86,7 @@ def numeric_columns_hit(df: DataFrame, names=det.DEFAULT_DETECTORS) -> tuple[str
 
 def mask_by_label(df: DataFrame, rules: RuleSet, names=det.DEFAULT_DETECTORS) -> DataFrame:
     """Masks by column label alone, for frames whose columns have no known origin."""
-    return df.select(
-        *[
-            protect_column(F.col(f"`{f.name}`"), f.dataType, rules.mode_by_name(f.name), names, False).alias(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    return _protect(df, {f.name: rules.mode_by_name(f.name) for f in df.schema.fields}, names)
 
 
 # Server text that may sit between two quoted names, and the

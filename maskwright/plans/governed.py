@@ -16,6 +16,7 @@ from dataclasses import dataclass, field, replace
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from maskwright.functions import detectors as det
 from maskwright.operators.disclosure import k_report, k_subjects
@@ -129,6 +130,8 @@ class Governed:
         The names written in it are tried first. Spark names each one still
         missing, and a masked column counts only if nothing resolves without it.
         """
+        if re.search(r"(?i)\bselect\b|subquery", _without_literals(str(expr))):
+            raise Refused("E_UNSUPPORTED_SYNTAX", "a subquery is written as a governed frame: semi_join, anti_join or with_scalar")
         used = self._written(expr) if isinstance(expr, str) else []
         while (problem := self._unresolved(expr, used)) is not None:
             condition = problem.getCondition() or ""
@@ -158,7 +161,7 @@ class Governed:
 
     def _written(self, text: str) -> list[str]:
         """The columns whose names stand in an expression, outside its string literals."""
-        words = {fold(w) for w in re.findall(r"[^\W\d]\w*", re.sub(r"'(?:[^'\\]|\\.)*'", " ", text))}
+        words = {fold(w) for w in re.findall(r"[^\W\d]\w*", _without_literals(text))}
         quoted = {fold(w) for w in re.findall(r"`([^`]+)`", text)}
         return [c for c in self._prov if fold(c) in words | quoted]
 
@@ -338,7 +341,8 @@ class Governed:
         if clash:
             raise Refused("E_UNKNOWN_NAME", f"ambiguous columns {', '.join(sorted(clash)).lower()[:80]}: use prefix or rename")
         provs = {**a._prov, **b._prov}
-        joined = Governed(a._df.limit(0).crossJoin(b._df.limit(0)), provs, trail)
+        both = T.StructType([*a._df.schema.fields, *b._df.schema.fields])
+        joined = Governed(a._df.sparkSession.createDataFrame([], both), provs, trail)
         conditions = [f"`{l}` = `{r}`" for l, r in pairs]
         if where is not None:
             p = mixed(provs[c] for c in joined._reads(where))
@@ -348,10 +352,8 @@ class Governed:
             conditions.append(f"({where})")
         if not conditions:
             raise Refused("E_INVALID_SQL", "a join needs a condition: use cross_join")
-        if not pairs:
-            _bounded(a._df, b._df)
-        df = a._df.join(b._df, F.expr(" AND ".join(conditions)), how)
-        return Governed(df, provs, trail)
+        left, right = (a._df, b._df) if pairs else _bounded(a._df, b._df)
+        return Governed(left.join(right, F.expr(" AND ".join(conditions)), how), provs, trail)
 
     def _using(self, other: Governed, using: list[str], how: str, where: str | None) -> Governed:
         pairs = self._pairs(other, using)
@@ -382,8 +384,14 @@ class Governed:
         clash = {fold(c) for c in a._prov} & {fold(c) for c in b._prov}
         if clash:
             raise Refused("E_UNKNOWN_NAME", f"ambiguous columns {', '.join(sorted(clash)).lower()[:80]}")
-        _bounded(a._df, b._df)
-        return Governed(a._df.crossJoin(b._df), {**a._prov, **b._prov}, trail)
+        provs = {**a._prov, **b._prov}
+        many, few = (a._df, b._df) if _few(b._df) else (b._df, a._df)
+        if few is a._df and not _few(few):
+            raise Refused("E_COST", f"a cross join needs a side of at most {MAX_NESTED_ROWS} rows")
+        # The small side is one value of at most MAX_NESTED_ROWS rows, unfolded beside every row.
+        rows = few.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in few.columns]))).scalar()
+        out = many.select("*", F.inline(rows))
+        return Governed(out.select(*[F.col(f"`{c}`") for c in provs]), provs, trail)
 
     def semi_join(self, other: Governed, on) -> Governed:
         """Rows with a match: IN (subquery), = ANY, EXISTS."""
@@ -674,6 +682,10 @@ class Governed:
         ).write.mode(mode).parquet(path)
 
 
+def _without_literals(text: str) -> str:
+    return re.sub(r"'(?:[^'\\]|\\.)*'", " ", text)
+
+
 _EMPTY: dict[tuple, DataFrame] = {}
 
 
@@ -685,11 +697,16 @@ def _empty(df: DataFrame) -> DataFrame:
     return _EMPTY[key]
 
 
-def _bounded(a: DataFrame, b: DataFrame) -> None:
-    """A join without an equality pairs every row: one side must be small."""
-    for side in (b, a):
-        if side.limit(MAX_NESTED_ROWS + 1).count() <= MAX_NESTED_ROWS:
-            return
+def _few(side: DataFrame) -> bool:
+    return side.limit(MAX_NESTED_ROWS + 1).count() <= MAX_NESTED_ROWS
+
+
+def _bounded(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A join without an equality pairs every row: one side must be small, and is broadcast."""
+    if _few(b):
+        return a, F.broadcast(b)
+    if _few(a):
+        return F.broadcast(a), b
     raise Refused("E_COST", f"a join without an equality needs a side of at most {MAX_NESTED_ROWS} rows")
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskwright.session import cut_lineage
 
 MAX_LINE = 4 * 1024 * 1024
 EVENT_SCHEMA = """
@@ -48,7 +47,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Every line of a log with its file and its place in it: file, seq, line.
 
     A file is read in blocks; lines are counted per block, and only the block
-    totals are added up in order.
+    totals are added up in order. A line's place in its block is how far its
+    id is from the block's first, whatever task reads the block.
     """
     raw = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -56,8 +56,6 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("_id"),
         F.col("value").alias("line"),
     )
-    # The ids depend on how the files are split: fix them once.
-    raw = cut_lineage(raw)
     blocks = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.functions import detectors as det
+from maskwright.session import spread
 from suite import query, table
 from suite.derived import derive, with_sql
 from suite.fragments import found, masked, partial
@@ -12,7 +13,7 @@ from suite.fragments import found, masked, partial
 
 def _documents(kind):
     def run(spark, sf):
-        docs = table(spark, sf, "documents")
+        docs = spread(table(spark, sf, "documents"))
         hits = F.size(det.find(kind, F.col("text")))
         return docs.select("doc_id", hits.alias("hits"), F.md5(det.mask(kind, F.col("text"))).alias("masked_md5")).where("hits > 0")
 
@@ -137,7 +138,7 @@ from (select *, {masked('card', masked('email', 'text'))} as b from documents) q
 def flagship(spark, sf):
     """Per language and source: documents with e-mail, phone and card values, and their protected text's size."""
     kinds = ("email", "phone", "card")
-    docs = table(spark, sf, "documents").select(
+    docs = spread(table(spark, sf, "documents")).select(
         "lang",
         "source",
         F.char_length(det.mask_all(F.col("text"), kinds)).alias("protected"),

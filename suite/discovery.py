@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from maskwright.operators import discovery, rules
 from maskwright.operators.rules import RuleSet
-from maskwright.session import run_dir
+from maskwright.session import run_dir, spread
 from maskwright.sources import catalog
 from maskwright.sources.sinks import load_rules, save_rules, valid_rules
 from suite import query, table
@@ -192,7 +192,7 @@ def scan(spark, sf):
     + ") q group by k",
 )
 def scan_documents(spark, sf):
-    return discovery.scan_content(table(spark, sf, "documents").select("text"), "documents", ("email", "card", "phone"))
+    return discovery.scan_content(spread(table(spark, sf, "documents")).select("text"), "documents", ("email", "card", "phone"))
 
 
 RULES = RuleSet.of(

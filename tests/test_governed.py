@@ -140,6 +140,9 @@ def test_provenance_kinds(t):
         ("E_MASKED_SET_OP", lambda t: t["users"].select("email").union_all(t["notes"].select("v")).group_by("email").agg(agg("count", alias="n"))),
         ("E_MASKED_SET_OP", lambda t: t["users"].select("email").union_all(t["notes"].select("v")).agg(agg("count", "email", alias="n", distinct=True))),
         ("E_MASKED_FILTER", lambda t: t["users"].select("email").intersect(t["users"].select("email"))),
+        ("E_UNSUPPORTED_SYNTAX", lambda t: t["users"].filter("id in (select 1)")),
+        ("E_UNSUPPORTED_SYNTAX", lambda t: t["users"].with_column("x", "(SELECT max(id) FROM other)")),
+        ("E_UNSUPPORTED_SYNTAX", lambda t: t["users"].with_column("x", t["notes"]._df.agg(F.max("v")).scalar())),
         ("E_UNKNOWN_NAME", lambda t: t["users"].filter("nothing = 1")),
         ("E_UNKNOWN_NAME", lambda t: t["users"].select("nothing")),
         ("E_UNKNOWN_NAME", lambda t: t["users"].join(t["orders"], on=[("id", "user_id")])),
@@ -175,6 +178,9 @@ def test_nested_loop_needs_a_small_side(spark):
     assert code(lambda: big.cross_join(other)) == "E_COST"
     assert code(lambda: big.join(other, where="a < b")) == "E_COST"
     assert big.join(other, on=[("a", "b")], where="a > 19990").result().count() == 9
+    few = governed(spark.range(3).toDF("c"), "app", "few", RuleSet())
+    assert big.cross_join(few).result().count() == few.cross_join(big).result().count() == 60_000
+    assert few.cross_join(big).columns == ["c", "a"]
 
 
 # ---- what a query steers on ----
