@@ -130,7 +130,13 @@ class Governed:
         The names written in it are tried first. Spark names each one still
         missing, and a masked column counts only if nothing resolves without it.
         """
-        if re.search(r"(?i)\bselect\b|\(\[[^\]]*: \w", _without_literals(str(expr))):
+        nested = (
+            re.search(r"(?i)\bselect\b", _without_literals(expr))
+            if isinstance(expr, str)
+            # A frame inside a column shows as its columns and types.
+            else re.search(r"\(\[[^\]]*: \w", str(expr))
+        )
+        if nested:
             raise Refused("E_UNSUPPORTED_SYNTAX", "a subquery is written as a governed frame: semi_join, anti_join or with_scalar")
         used = self._written(expr) if isinstance(expr, str) else []
         while (problem := self._unresolved(expr, used)) is not None:
