@@ -38,29 +38,36 @@ def mask_table(
     return _protect(df, modes, names, numbers)
 
 
-# From this many text columns on, the detectors are written once for all of them.
-MANY_COLUMNS = 4
+# The text columns of a wide table that share one expression.
+SHARED = 8
 
 
 def _protect(df: DataFrame, modes: dict[str, str | None], names, numbers: tuple[str, ...] = ()) -> DataFrame:
     """Every column under its mode or the detectors.
 
-    The plan of a wide table stays small: its texts go through one expression
-    as an array, instead of one long expression each.
+    The plan of a wide table stays small: its texts go through the detectors
+    in arrays of a few columns each. Reading one column of the result reads at
+    most its neighbours in the array; a narrow table reads that column alone.
     """
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and not modes[f.name]]
-    together = texts if len(texts) >= MANY_COLUMNS and list(names) else []
-    if together:
-        cells = F.array(*[F.col(f"`{c}`") for c in together])
-        df = df.withColumn("_masked", F.transform(cells, lambda t: det.mask_all(t, names)))
-    place = {c: i for i, c in enumerate(together)}
+    place: dict[str, Column] = {}
+    if len(texts) > SHARED and list(names):
+        runs = [texts[i : i + SHARED] for i in range(0, len(texts), SHARED)]
+        masked = {}
+        for i, run in enumerate(runs):
+            cells = F.array(*[F.col(f"`{c}`") for c in run])
+            masked[f"_masked{i}"] = F.transform(cells, lambda t: det.mask_all(t, names))
+            place |= {c: F.col(f"_masked{i}")[j] for j, c in enumerate(run)}
+        fields = df.schema.fields
+        df = df.withColumns(masked)
+    else:
+        fields = df.schema.fields
     return df.select(
         *[
-            F.col("_masked")[place[f.name]].alias(f.name)
+            place[f.name].alias(f.name)
             if f.name in place
             else protect_column(F.col(f"`{f.name}`"), f.dataType, modes[f.name], names, f.name in numbers).alias(f.name)
-            for f in df.schema.fields
-            if f.name != "_masked"
+            for f in fields
         ]
     )
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from maskwright.functions import detectors as det
 from maskwright.operators.disclosure import k_report, k_subjects
+from maskwright.operators.hot_windows import RANKS, RUNNING, hot_windows
 from maskwright.operators.masking import protect_column
 from maskwright.operators.output import Limits
 from maskwright.operators.rules import RuleSet, fold
@@ -42,6 +43,7 @@ WINDOW_AGGREGATES = (
 # A name in such an expression may be a type, a unit, an alias or a variable, not a column.
 _AMBIGUOUS = re.compile(r"(?i)->|\b(?:as|from|interval|timestampadd|timestampdiff|dateadd|datediff)\b|\w\.\s*[a-z_`]")
 _BOUND = r"(?:UNBOUNDED (?:PRECEDING|FOLLOWING)|CURRENT ROW|\d+ (?:PRECEDING|FOLLOWING))"
+_UP_TO_HERE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW".split()
 _FRAME = re.compile(rf"(?:ROWS|RANGE) (?:BETWEEN {_BOUND} AND {_BOUND}|{_BOUND})")
 
 
@@ -514,39 +516,79 @@ class Governed:
 
     # ---- windows ----
 
-    def window(
-        self, name: str, fn: str, *args: str, partition_by: Sequence[str] = (), order_by: Sequence[str] = (), frame: str | None = None
+    def window(self, name: str, fn: str, *args: str, **over) -> Governed:
+        """One window function; see ``windows``."""
+        return self.windows({name: (fn, *args)}, **over)
+
+    def windows(
+        self,
+        functions: dict[str, tuple[str, ...]],
+        partition_by: Sequence[str] = (),
+        order_by: Sequence[str] = (),
+        frame: str | None = None,
+        hot_rows: int | None = None,
     ) -> Governed:
-        """A ranking, analytic or aggregate function over a window of unmasked columns."""
-        if self._due or self._groups is not None:
-            return self._settle().window(name, fn, *args, partition_by=partition_by, order_by=order_by, frame=frame)
-        fn = fn.lower()
-        if fn not in (*RANKING, *ANALYTIC, *WINDOW_AGGREGATES):
-            raise Refused("E_INVALID_SQL", f"{fn[:40]} is not a window function")
+        """Ranking, analytic or aggregate functions over one window of unmasked columns.
+
+        ``functions`` maps a new column to a function and its arguments. With
+        ``hot_rows``, partitions of more rows than that are cut along their
+        order, for ranking functions and running sums, counts, minima and
+        maxima: no task sorts a whole hot key.
+        """
+        me = self._settle() if self._due or self._groups is not None else self
+        functions = {n: (f[0].lower(), *f[1:]) for n, f in functions.items()}
+        for fn, *_ in functions.values():
+            if fn not in (*RANKING, *ANALYTIC, *WINDOW_AGGREGATES):
+                raise Refused("E_INVALID_SQL", f"{fn[:40]} is not a window function")
         if not partition_by and not order_by:
             raise Refused("E_COST", "a window over the whole table runs in one task: partition or order it")
         provs = []
         for k in partition_by:
-            provs.append(self._value(k))
+            provs.append(me._value(k))
             if provs[-1].sensitive:
                 raise Refused("E_MASKED_ORDER", f"a PII column ({provs[-1].names()}) is not allowed in window PARTITION BY")
-        order = [self._order_key(o, "window ORDER BY") for o in order_by]
-        given = mixed(self._value(a) for a in args if a != "*")
-        if given.sensitive:
-            raise Refused("E_MASKED_EXPRESSION", f"a PII column ({given.names()}) is used inside window function {fn}")
+        order = [me._order_key(o, "window ORDER BY") for o in order_by]
+        provs += [me._value(_bare(o)) for o in order_by]
+        given = {n: mixed(me._value(a) for a in args if a != "*") for n, (_, *args) in functions.items()}
+        for n, p in given.items():
+            if p.sensitive:
+                raise Refused("E_MASKED_EXPRESSION", f"a PII column ({p.names()}) is used inside window function {functions[n][0]}")
         if frame is not None and not _FRAME.fullmatch(frame.upper().strip()):
             raise Refused("E_UNSUPPORTED_SYNTAX", "frame: want ROWS or RANGE with integer offsets")
-        over = []
-        if partition_by:
-            over.append("PARTITION BY " + ", ".join(partition_by))
-        if order:
-            over.append("ORDER BY " + ", ".join(order))
-        if frame:
-            over.append(frame)
-        column = F.expr(f"{fn}({', '.join(args)}) OVER ({' '.join(over)})")
-        trail = self._touch("select", given, *provs, *[self._value(_bare(o)) for o in order_by])
-        p = replace(mixed([given]), kind=Kind.EXPR)
-        return self._with(self._df.withColumn(name, column), {**self._prov, name: p}, trail)
+        if hot_rows is not None:
+            df = me._hot(functions, partition_by, order_by, frame, hot_rows)
+        else:
+            over = []
+            if partition_by:
+                over.append("PARTITION BY " + ", ".join(partition_by))
+            if order:
+                over.append("ORDER BY " + ", ".join(order))
+            if frame:
+                over.append(frame)
+            columns = {n: F.expr(f"{fn}({', '.join(args)}) OVER ({' '.join(over)})") for n, (fn, *args) in functions.items()}
+            df = me._df.withColumns(columns)
+        trail = me._touch("select", *given.values(), *provs)
+        outs = {n: replace(mixed([p]), kind=Kind.EXPR) for n, p in given.items()}
+        return me._with(df, {**me._prov, **outs}, trail)
+
+    def _hot(self, functions, partition_by, order_by, frame, hot_rows) -> DataFrame:
+        upto = frame is not None and frame.upper().split() == _UP_TO_HERE
+        args = [a for _, *rest in functions.values() for a in rest]
+        plain = all(self._is_column(_bare(c)) for c in (*partition_by, *order_by)) and all(
+            a == "*" or a.isdigit() or self._is_column(a) for a in args
+        )
+        known = all(fn in RANKS and frame is None or fn in RUNNING and upto for fn, *_ in functions.values())
+        if not (plain and known and partition_by and order_by):
+            raise Refused(
+                "E_UNSUPPORTED_SYNTAX",
+                "hot_rows: want a ranking function, or a sum, count, min or max with ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW, over plain columns",
+            )
+        if any("nulls" in o.lower() for o in order_by):
+            raise Refused("E_UNSUPPORTED_SYNTAX", "hot_rows: the order keeps its usual place for nulls")
+        order = [(self._name(_bare(o)), bool(re.search(r"(?i)\sdesc\s*$", o))) for o in order_by]
+        arg = lambda a: int(a) if a.isdigit() else a if a == "*" else self._name(a)
+        wanted = {n: (fn, arg(rest[0]) if rest else None) for n, (fn, *rest) in functions.items()}
+        return hot_windows(self._df, wanted, [self._name(k) for k in partition_by], order, hot_rows)
 
     # ---- set operations ----
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -266,14 +268,16 @@ class GrantProcessor(StatefulProcessor):
         return {"grant_id": key[0], "statements": s[0], "rows": s[1], "bytes": s[2], "end_reason": why}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        runs = []
-        for pdf in rows:
-            runs += list(
-                zip(pdf["at"], pdf["run_id"], pdf["rows"], pdf["bytes"], pdf["max_statements"], pdf["max_rows"], pdf["max_bytes"], pdf["expires_at"])
-            )
+        fields = ["at", "run_id", "rows", "bytes", "max_statements", "max_rows", "max_bytes", "expires_at"]
+        runs = (r for pdf in rows for r in zip(*[pdf[f] for f in fields]))
+        first = next(runs, None)
+        if first is None:
+            return
         state, out = self.state.get(), []
         s = list(state) if state else None
-        for at, _, n_rows, n_bytes, ms, mr, mb, expires in sorted(runs):
+        # No more runs than statements left can be charged, and the next one ends the grant.
+        most = (s[3] if s else int(first[4])) + 1
+        for at, _, n_rows, n_bytes, ms, mr, mb, expires in heapq.nsmallest(most, chain([first], runs)):
             if s is None:
                 s = [0, 0, 0, int(ms), int(mr), int(mb), int(expires), int(at), False]
             if s[8]:

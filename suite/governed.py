@@ -408,6 +408,47 @@ def ranking(spark, sf):
     return g.select("o_orderkey", "rn", "rk", "dr", "pr", "cd", "nt").result()
 
 
+_HOT = "(partition by o_orderpriority order by o_totalprice desc, o_orderkey)"
+_PEERS = "(partition by o_orderpriority order by o_orderdate)"
+
+
+@query(
+    "e26_ranking_hot",
+    f"""select o_orderkey, cast(row_number() over {_HOT} as int) as rn, cast(rank() over {_PEERS} as int) as rk, cast(dense_rank() over {_PEERS} as int) as dr,
+  round(percent_rank() over {_PEERS}, 9) as pr, round(cume_dist() over {_PEERS}, 9) as cd, cast(ntile(7) over {_HOT} as int) as nt from orders""",
+)
+def ranking_hot(spark, sf):
+    """Five partitions hold all orders: each is cut along its order."""
+    g = shop(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice", "o_orderdate")
+    by = {"partition_by": ["o_orderpriority"], "order_by": ["o_totalprice desc", "o_orderkey"], "hot_rows": 500}
+    peers = {"partition_by": ["o_orderpriority"], "order_by": ["o_orderdate"], "hot_rows": 500}
+    g = g.windows({"rn": ("row_number",), "nt": ("ntile", "7")}, **by)
+    g = g.windows({"rk": ("rank",), "dr": ("dense_rank",), "pr0": ("percent_rank",), "cd0": ("cume_dist",)}, **peers)
+    g = g.with_columns({"pr": "round(pr0, 9)", "cd": "round(cd0, 9)"})
+    return g.select("o_orderkey", "rn", "rk", "dr", "pr", "cd", "nt").result()
+
+
+_SOFAR = "(partition by o_orderstatus order by o_orderdate, o_orderkey rows between unbounded preceding and current row)"
+
+
+@query(
+    "e28_running_hot",
+    f"""select o_orderkey, cast(sum(o_custkey) over {_SOFAR} as bigint) as total, count(*) over {_SOFAR} as seen,
+  min(o_totalprice) over {_SOFAR} as low, max(o_totalprice) over {_SOFAR} as high from orders""",
+)
+def running_hot(spark, sf):
+    by = {
+        "partition_by": ["o_orderstatus"],
+        "order_by": ["o_orderdate", "o_orderkey"],
+        "frame": "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW",
+        "hot_rows": 700,
+    }
+    g = shop(spark, sf, "orders").windows(
+        {"total": ("sum", "o_custkey"), "seen": ("count", "*"), "low": ("min", "o_totalprice"), "high": ("max", "o_totalprice")}, **by
+    )
+    return g.select("o_orderkey", "total", "seen", "low", "high").result()
+
+
 @query(
     "e27_analytic",
     f"""select o_orderkey, lag(o_orderkey) over {_OVER} as before, lead(o_orderkey, 2, -1) over {_OVER} as after2, first_value(o_orderkey) over {_OVER} as first,

@@ -10,7 +10,7 @@ from maskwright.plans.refusals import CODES
 from maskwright.session import run_dir
 from maskwright.sources import audit_log
 from suite import query, table
-from suite.derived import derive, with_sql
+from suite.derived import derive, idiv, with_sql
 
 # The log as JSON lines: every 40th line is blank, every 50th no JSON, every 60th without an event.
 LINE = """case when event_id % 40 = 39 then '  ' when event_id % 50 = 49 then concat('not json ', event_id) when event_id % 60 = 59 then concat('{"sql":"SELECT ', event_id, '"}')
@@ -217,16 +217,16 @@ def relations(spark, sf):
     return statements.sensitive_relations(derive(spark, sf, "audit")).select("event_id", "stats_relation", "statement_relation")
 
 
-# A log per user: odd lines are unchained, an even line carries the hash of the line before it, every 17th a wrong one.
+# A log per hundred events: odd lines are unchained, an even line carries the hash of the line before it, every 17th a wrong one.
 def chain_sql(sha: str) -> str:
     plain = lambda n: f"""concat('<"event":"e', {n}, '">')"""
     return f"""
-select concat('log', user_id) as file, cast(seq as bigint) as seq,
+select concat('log', no) as file, cast(seq as bigint) as seq,
   translate(case when prev is null and event_id % 3 = 0 then concat('<"event":"e', event_id, '","prev_hash":"', repeat('0', 64), '">')
     when seq % 2 = 1 then {plain('event_id')}
     when event_id % 17 = 0 then concat('<"event":"e', event_id, '","prev_hash":"', repeat('f', 64), '">')
     else concat('<"event":"e', event_id, '","prev_hash":"', {sha.format("translate(" + plain('prev') + ", '<>', chr(123) || chr(125))")}, '">') end, '<>', chr(123) || chr(125)) as line
-from (select event_id, user_id, row_number() over (partition by user_id order by event_id) as seq, lag(event_id) over (partition by user_id order by event_id) as prev from {{events}}) q
+from (select event_id, {idiv('event_id', 100)} as no, event_id % 100 + 1 as seq, case when event_id % 100 > 0 then event_id - 1 end as prev from {{events}}) q
 """
 
 
