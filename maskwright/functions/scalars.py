@@ -58,6 +58,7 @@ FUNCTIONS = [
         r"s RLIKE concat('(?s)^', replace(replace(regexp_replace(p, '([.+(){}|^$\\\\])', '\\\\$1'), '*', '.*'), '?', '.'), '$')",
     ),
     # conditionals
+    ("xor", "a BOOLEAN, b BOOLEAN", "BOOLEAN", "a <> b"),
     ("iif", "c BOOLEAN, a STRING, b STRING", "STRING", "if(c, a, b)"),
     ("likely", "c BOOLEAN", "BOOLEAN", "c"),
     ("unlikely", "c BOOLEAN", "BOOLEAN", "c"),
@@ -113,6 +114,34 @@ FUNCTIONS = [
     ("mysql_date_format", "t TIMESTAMP, fmt STRING", "STRING", f"date_format(t, {_MYSQL_PATTERN})"),
     ("strftime", "fmt STRING, t TIMESTAMP", "STRING", f"date_format(t, {_STRFTIME_PATTERN})"),
     ("julianday", "t TIMESTAMP", "DOUBLE", "unix_micros(t) / 86400000000D + 2440587.5D"),
+    ("utc_timestamp", "", "TIMESTAMP_NTZ", "convert_timezone('UTC', current_timestamp())"),
+    ("sysdate", "", "TIMESTAMP", "current_timestamp()"),
+    ("statement_timestamp", "", "TIMESTAMP", "current_timestamp()"),
+    ("transaction_timestamp", "", "TIMESTAMP", "current_timestamp()"),
+    ("clock_timestamp", "", "TIMESTAMP", "current_timestamp()"),
+    ("maketime", "h INT, m INT, s INT", "STRING", "format_string('%02d:%02d:%02d', h, m, s)"),
+    (
+        "addtime",
+        "t TIMESTAMP_NTZ, d STRING",
+        "TIMESTAMP_NTZ",
+        "timestampadd(SECOND, cast(split(d, ':')[0] AS INT) * 3600 + cast(split(d, ':')[1] AS INT) * 60 + cast(split(d, ':')[2] AS INT), t)",
+    ),
+    (
+        "subtime",
+        "t TIMESTAMP_NTZ, d STRING",
+        "TIMESTAMP_NTZ",
+        "timestampadd(SECOND, -(cast(split(d, ':')[0] AS INT) * 3600 + cast(split(d, ':')[1] AS INT) * 60 + cast(split(d, ':')[2] AS INT)), t)",
+    ),
+    (
+        "timediff",
+        "a TIMESTAMP_NTZ, b TIMESTAMP_NTZ",
+        "STRING",
+        "concat(if(a < b, '-', ''), format_string('%02d:%02d:%02d', abs(timestampdiff(SECOND, b, a)) div 3600, "
+        "abs(timestampdiff(SECOND, b, a)) div 60 % 60, abs(timestampdiff(SECOND, b, a)) % 60))",
+    ),
+    ("microsecond", "t TIMESTAMP_NTZ", "INT", "cast(date_format(t, 'SSSSSS') AS INT)"),
+    ("isfinite", "t TIMESTAMP", "BOOLEAN", "CASE WHEN t IS NOT NULL THEN true END"),
+    ("datetime", "t TIMESTAMP", "STRING", "date_format(t, 'yyyy-MM-dd HH:mm:ss')"),
     ("unixepoch", "t TIMESTAMP", "BIGINT", "unix_seconds(t)"),
     (
         "age",
@@ -147,6 +176,34 @@ FUNCTIONS = [
         "CASE WHEN try_parse_json(j) IS NULL THEN NULL WHEN ltrim(j) LIKE '{%' THEN 'object' WHEN ltrim(j) LIKE '[%' THEN 'array' "
         "WHEN ltrim(j) LIKE '\"%' THEN 'string' WHEN trim(j) IN ('true', 'false') THEN 'boolean' WHEN trim(j) = 'null' THEN 'null' ELSE 'number' END",
     ),
+    (
+        "json_type",
+        "j STRING",
+        "STRING",
+        "CASE WHEN try_parse_json(j) IS NULL THEN NULL WHEN ltrim(j) LIKE '{%' THEN 'OBJECT' WHEN ltrim(j) LIKE '[%' THEN 'ARRAY' "
+        "WHEN ltrim(j) LIKE '\"%' THEN 'STRING' WHEN trim(j) IN ('true', 'false') THEN 'BOOLEAN' WHEN trim(j) = 'null' THEN 'NULL' "
+        "WHEN trim(j) RLIKE '[.eE]' THEN 'DOUBLE' ELSE 'INTEGER' END",
+    ),
+    ("json_contains_path", "j STRING, mode STRING, p STRING", "BOOLEAN", "CASE WHEN j IS NOT NULL THEN try_variant_get(parse_json(j), p, 'variant') IS NOT NULL END"),
+    # A string is one mark, a number one or more; what a bracket holds is one level deeper.
+    (
+        "json_depth",
+        "j STRING",
+        "INT",
+        r"CASE WHEN try_parse_json(j) IS NOT NULL THEN aggregate(split(regexp_replace(regexp_replace(j, '\"(?:[^\"\\\\]|\\\\.)*\"', 's'), '[\\s,:]', ''), ''), "
+        "struct(0 AS d, 0 AS m), (a, c) -> CASE WHEN c IN ('{', '[') THEN struct(a.d + 1 AS d, greatest(a.m, a.d + 1) AS m) "
+        "WHEN c IN ('}', ']') THEN struct(a.d - 1 AS d, a.m AS m) ELSE struct(a.d AS d, greatest(a.m, a.d + 1) AS m) END, a -> a.m) END",
+    ),
+    (
+        "jsonb_typeof",
+        "j STRING",
+        "STRING",
+        "CASE WHEN try_parse_json(j) IS NULL THEN NULL WHEN ltrim(j) LIKE '{%' THEN 'object' WHEN ltrim(j) LIKE '[%' THEN 'array' "
+        "WHEN ltrim(j) LIKE '\"%' THEN 'string' WHEN trim(j) IN ('true', 'false') THEN 'boolean' WHEN trim(j) = 'null' THEN 'null' ELSE 'number' END",
+    ),
+    ("json_extract_path", "j STRING, k STRING", "STRING", "get_json_object(j, concat('$.', k))"),
+    ("jsonb_extract_path", "j STRING, k STRING", "STRING", "get_json_object(j, concat('$.', k))"),
+    ("jsonb_extract_path_text", "j STRING, k STRING", "STRING", "get_json_object(j, concat('$.', k))"),
     ("json_quote", "s STRING", "STRING", "substring(to_json(array(s)), 2, char_length(to_json(array(s))) - 2)"),
     ("json_contains", "j STRING, v STRING", "BOOLEAN", "array_contains(from_json(j, 'array<string>'), if(startswith(v, '\"'), get_json_object(concat('{\"v\":', v, '}'), '$.v'), v))"),
     ("json_extract_path_text", "j STRING, k STRING", "STRING", "get_json_object(j, concat('$.', k))"),
