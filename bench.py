@@ -11,7 +11,10 @@ import sys
 import time
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
+from maskwright.functions.detectors import mask_all
+from maskwright.session import spread
 from suite import QUERIES, load, table
 
 HEADLINE = [
@@ -30,6 +33,7 @@ HEADLINE = [
     "e20_string_agg",
     "e25_distinct_on",
     "e26_ranking",
+    "e26_ranking_hot",
     "e33_recursive",
     "f2_k_min_group",
     "f3_k_subjects",
@@ -49,11 +53,6 @@ HEADLINE = [
 
 def mask_documents(spark, sf):
     """The default chain of detectors over every text."""
-    from pyspark.sql import functions as F
-
-    from maskwright.functions.detectors import mask_all
-    from maskwright.session import spread
-
     return spread(table(spark, sf, "documents")).select("doc_id", mask_all(F.col("text")).alias("text"))
 
 
@@ -76,7 +75,9 @@ def main() -> None:
     load()
     jobs = {"chain_documents": mask_documents, **{n: QUERIES[n] for n in HEADLINE}}
     wanted = sys.argv[1:]
+    # Once untimed: the JVM and the file cache start cold.
     table(spark, sf, "lineitem").write.format("noop").mode("overwrite").save()
+    mask_documents(spark, sf).write.format("noop").mode("overwrite").save()
     times = {}
     for name, fn in jobs.items():
         if wanted and name not in wanted:

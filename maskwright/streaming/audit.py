@@ -156,7 +156,8 @@ def k_running(changes: DataFrame, column: str) -> DataFrame:
 
 # ---- stateful ----
 
-SESSION_SCHEMA = "agent string, session_start timestamp, last_seen timestamp, events bigint, end_reason string"
+# Times cross to Python and back as seconds, whatever the time zone of the session.
+SESSION_SCHEMA = "agent string, session_start bigint, last_seen bigint, events bigint, end_reason string"
 
 
 def _seconds(text: str) -> int:
@@ -175,13 +176,7 @@ class SessionProcessor(StatefulProcessor):
         self.open = handle.getValueState("open", "start long, last long, events long")
 
     def _row(self, agent, start, last, n, why) -> dict:
-        return {
-            "agent": agent,
-            "session_start": pd.Timestamp(start, unit="s"),
-            "last_seen": pd.Timestamp(last, unit="s"),
-            "events": n,
-            "end_reason": why,
-        }
+        return {"agent": agent, "session_start": start, "last_seen": last, "events": n, "end_reason": why}
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         agent, out = key[0], []
@@ -225,8 +220,7 @@ class SessionProcessor(StatefulProcessor):
 def per_second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Events of one agent in one second as one row, before they are shuffled."""
     for pdf in batches:
-        grouped = pdf.assign(ts=pdf["ts"].dt.floor("s")).groupby(["agent", "ts"], as_index=False).size()
-        yield grouped.rename(columns={"size": "events"})
+        yield pdf.groupby(["agent", "second"], as_index=False).size().rename(columns={"size": "events"})
 
 
 def sessions(events: DataFrame, idle: str = "20 minutes", max_session: str = "4 hours", delay: str = "10 minutes") -> DataFrame:
@@ -236,15 +230,17 @@ def sessions(events: DataFrame, idle: str = "20 minutes", max_session: str = "4
     an agent waits for the watermark.
     """
     use_rocksdb(events.sparkSession)
-    slim = events.select("agent", F.col("ts").cast("timestamp").alias("ts"))
-    counted = slim.mapInPandas(per_second, "agent string, ts timestamp, events bigint")
-    timed = counted.withWatermark("ts", delay).withColumn("second", F.unix_seconds("ts"))
-    return timed.groupBy("agent").transformWithStateInPandas(
+    slim = events.select("agent", F.unix_seconds(F.col("ts").cast("timestamp")).alias("second"))
+    counted = slim.mapInPandas(per_second, "agent string, second bigint, events bigint")
+    timed = counted.withColumn("ts", F.timestamp_seconds("second")).withWatermark("ts", delay)
+    ended = timed.groupBy("agent").transformWithStateInPandas(
         SessionProcessor(_seconds(idle), _seconds(max_session)),
         outputStructType=T.StructType.fromDDL(SESSION_SCHEMA),
         outputMode="append",
         timeMode="eventTime",
     )
+    moment = lambda c: F.timestamp_seconds(c).alias(c)
+    return ended.select("agent", moment("session_start"), moment("last_seen"), "events", "end_reason")
 
 
 GRANT_SCHEMA = "grant_id string, statements bigint, rows bigint, bytes bigint, end_reason string"

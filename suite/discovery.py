@@ -10,7 +10,7 @@ from maskwright.session import run_dir, spread
 from maskwright.sources import catalog
 from maskwright.sources.sinks import load_rules, save_rules, valid_rules
 from suite import query, table
-from suite.derived import PERSONAL, QUASI, derive, with_sql
+from suite.derived import COLUMN_NAMES, PERSONAL, QUASI, derive, pick, with_sql
 from suite.fragments import found
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -271,8 +271,6 @@ LABELS = """select distinct case when p_partkey % 3 = 0 then concat("column", '
 
 
 def _labels_sql():
-    from suite.derived import COLUMN_NAMES, pick
-
     return LABELS.replace("{name}", pick(COLUMN_NAMES, "p_partkey")).replace("{part}", "part")
 
 
@@ -288,8 +286,6 @@ from (select label, kind, pattern,
 group by label""",
 )
 def by_name(spark, sf):
-    from suite.derived import COLUMN_NAMES, pick
-
     sql = LABELS.replace("{name}", pick(COLUMN_NAMES, "p_partkey")).replace('"', "`")
     return rules.match_by_name(spark.sql(sql, part=table(spark, sf, "part")), RULES, "label")
 

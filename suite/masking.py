@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from maskwright.functions import masks
-from maskwright.operators import masking
+from maskwright.operators import masking, statements
 from maskwright.operators.rules import RuleSet
 from maskwright.session import run_dir
 from maskwright.sources.sinks import publish_masked
@@ -154,9 +154,7 @@ select event_id, case when engine = 'oracle' or contains(sql, '--') then '<redac
     ),
 )
 def literals(spark, sf):
-    from maskwright.operators.statements import redact_literals
-
-    return redact_literals(derive(spark, sf, "audit")).select("event_id", "redacted_sql")
+    return statements.redact_literals(derive(spark, sf, "audit")).select("event_id", "redacted_sql")
 
 
 @query(
@@ -164,9 +162,7 @@ def literals(spark, sf):
     with_sql("audit", body="select event_id, event_id % 13 = 6 and engine <> 'oracle' as clear_literal from audit"),
 )
 def clear(spark, sf):
-    from maskwright.operators.statements import clear_literals
-
-    return clear_literals(derive(spark, sf, "audit")).select("event_id", "clear_literal")
+    return statements.clear_literals(derive(spark, sf, "audit")).select("event_id", "clear_literal")
 
 
 CAP = 300
