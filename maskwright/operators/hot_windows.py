@@ -42,7 +42,8 @@ def _on_a_line(df: DataFrame, column: str) -> Column:
 def _segment(df: DataFrame, keys: Sequence[str], first: str, descending: bool, hot_rows: int) -> DataFrame:
     """df with ``_seg``, which grows along the order; 0 for every row of a key that is not hot."""
     value = _on_a_line(df, first)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    # The hot keys and their bounds are small and used several times: each is worked out once.
+    sizes = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows))
     largest = sizes.agg(F.max("_n")).first()[0]
     if largest is None:
         return df.withColumn("_seg", F.lit(0))
@@ -54,7 +55,7 @@ def _segment(df: DataFrame, keys: Sequence[str], first: str, descending: bool, h
     bounds = hot.groupBy(*keys).agg(
         F.percentile_approx(value, F.array(*[F.lit(p) for p in at]), F.lit(max(10_000, 20 * n))).alias("_bounds")
     )
-    marked = df.join(small(bounds), list(keys), "left")
+    marked = df.join(small(cut_lineage(bounds)), list(keys), "left")
     below = lambda items: F.size(F.filter(items, lambda b: b < value))
     blocks = F.transform(F.sequence(F.lit(step), F.size("_bounds"), F.lit(step)), lambda i: F.get("_bounds", i - 1))
     blocks = F.when(F.size("_bounds") >= step, blocks).otherwise(F.array().cast("array<double>"))
