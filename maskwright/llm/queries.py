@@ -124,3 +124,27 @@ def op8_quality(spark, sf):
     model = train(docs, labels, ~held_out("doc_id", 4, 2))
     scored = score(docs, model, extra=[F.col("doc_id"), held_out("doc_id", 4, 2).alias("held_out")])
     return scored.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+@query(
+    "op10_nearest",
+    """
+with v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings
+           where vec_id is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+n as (select vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) as norm from v where list_sum(list_transform(e, lambda x: x * x)) > 0),
+s as (select a.vec_id as query_id, b.vec_id, list_sum(list_transform(generate_series(1, len(a.e)), lambda i: a.e[i] * b.e[i])) / (a.norm * b.norm) as score
+      from n a join n b on a.vec_id % 50 = 0 and a.vec_id <> b.vec_id and len(a.e) = len(b.e)),
+r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from s)
+select query_id, rank, vec_id, score from r where rank <= 5""",
+)
+def op10_nearest(spark, sf):
+    from maskwright.llm.rotated_codes import nearest
+
+    return nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query("op3_private_spans")
+def op3_private_spans(spark, sf):
+    from maskwright.llm.private_spans import digest, find_private
+
+    return digest(find_private(table(spark, sf, "documents")))
