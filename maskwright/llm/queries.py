@@ -148,3 +148,11 @@ def op3_private_spans(spark, sf):
     from maskwright.llm.private_spans import digest, find_private
 
     return digest(find_private(table(spark, sf, "documents")))
+
+
+@query("op2_nce_score")
+def op2_nce_score(spark, sf):
+    from maskwright.llm.noise_contrastive import score_texts
+    from maskwright.llm.subword_quality import held_out
+
+    return score_texts(table(spark, sf, "documents"), held_out("doc_id", 7, 2))
