@@ -2,10 +2,13 @@
 
 Sampled splitters range-partition the normalised texts (A-Z lowered, nothing
 else), each partition is sorted outside memory, and equal texts lie next to
-each other. A text is compared in full with its neighbour. The splitters cut
-by text and identifier, so thousands of copies of one text spread over many
-tasks; runs that go on in the next partition are tied together afterwards,
-again by comparing the two texts.
+each other. A text is compared in full with its neighbour.
+
+Order: the first characters, a hash of the whole text, the whole text, the
+identifier. The splitters see the short parts of it only, as their sample
+goes through the driver; they cut between identifiers too, so thousands of
+copies of one text spread over many tasks. Runs that go on in the next
+partition are tied together afterwards, again by comparing the two texts.
 
 Nulls: a null text is empty, a null identifier comes after all others and is
 kept only if its group has no other. Of repeated rows (same identifier and
@@ -27,6 +30,10 @@ from pyspark.sql import types as T
 from maskwright.llm.common import as_doc, ascii_lower, hold, quoted, whole_text
 
 
+# Characters that a splitter compares before the hash.
+SPLIT_ON = 16
+
+
 def _marker(digest: bool):
     """Number the runs of equal texts of a sorted partition; its first and last text go along, for its neighbours."""
 
@@ -75,9 +82,10 @@ def sorted_runs(docs: DataFrame, payload, text: str, id: str, keep: str, digest:
     text_sha256 if asked. Moves: part, and the run that its run 0 goes on.
     """
     key = F.col(quoted(id))
-    order = [F.asc("norm"), F.desc_nulls_last("key") if keep == "largest" else F.asc_nulls_last("key")]
+    last = F.desc_nulls_last("key") if keep == "largest" else F.asc_nulls_last("key")
     rows = docs.select(payload.alias("doc"), key.alias("key"), ascii_lower(whole_text(text)).alias("norm"))
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc", "norm")
+    rows = rows.withColumns({"start": F.substring("norm", 1, SPLIT_ON), "hash": F.xxhash64("norm")})
+    rows = rows.repartitionByRange("start", "hash", last).sortWithinPartitions("start", "hash", "norm", last).select("doc", "norm")
     kind = T.StructType([
         T.StructField("doc", rows.schema["doc"].dataType),
         T.StructField("part", T.IntegerType()),
