@@ -21,25 +21,28 @@ def k_min_group(df: DataFrame, keys: Sequence[str | Column], having: Column | st
     return groups.agg(F.min("_k").alias("n"))
 
 
+def _named(column: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def k_values(base: DataFrame, column: str, values: Sequence) -> DataFrame:
-    """Subjects per filter value in the column's own table; an absent value counts 0."""
+    """Subjects per filter value in the column's own table; an absent value counts 0, a null counts the nulls."""
     spark = base.sparkSession
     dtype = base.schema[column].dataType.simpleString()
-    wanted = spark.createDataFrame([(str(v),) for v in dict.fromkeys(values)], "value string").select(
+    wanted = spark.createDataFrame([(None if v is None else str(v),) for v in dict.fromkeys(values)], "value string").select(
         F.col("value").cast(dtype).alias("value")
     )
-    counts = (
-        base.where(F.col(column).isin(list(dict.fromkeys(values))))
-        .groupBy(F.col(column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    return wanted.join(counts, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
+    c = _named(column)
+    kept = c.isin([v for v in dict.fromkeys(values) if v is not None])
+    counts = base.where(kept | c.isNull() if None in values else kept).groupBy(c.alias("seen")).agg(F.count(F.lit(1)).alias("n"))
+    return wanted.join(counts, F.col("value").eqNullSafe(F.col("seen")), "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def k_subjects(base: DataFrame, column: str, values: Sequence | None) -> DataFrame:
     """The least subject count over the values of a filter; None counts the nulls."""
     if values is None:
-        return base.where(F.col(column).isNull()).agg(F.count(F.lit(1)).alias("n"))
+        return base.where(_named(column).isNull()).agg(F.count(F.lit(1)).alias("n"))
     return k_values(base, column, values).agg(F.min("n").alias("n"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from maskwright.functions.detectors import let
-from maskwright.session import cut_lineage, small
+from maskwright.session import cut_lineage
 
 HOT_ROWS = 1_000_000
 MAX_SEGMENTS = 10_000
@@ -51,11 +51,11 @@ def _segment(df: DataFrame, keys: Sequence[str], first: str, descending: bool, h
     # Bounds are looked up in two steps: a block of bounds, then the place in the block.
     step = math.ceil(math.sqrt(n))
     at = [i / n for i in range(1, n)]
-    hot = df.join(small(sizes.select(*keys)), list(keys), "left_semi")
+    hot = df.join(sizes.select(*keys), list(keys), "left_semi")
     bounds = hot.groupBy(*keys).agg(
         F.percentile_approx(value, F.array(*[F.lit(p) for p in at]), F.lit(max(10_000, 20 * n))).alias("_bounds")
     )
-    marked = df.join(small(cut_lineage(bounds)), list(keys), "left")
+    marked = df.join(cut_lineage(bounds), list(keys), "left")
     below = lambda items: F.size(F.filter(items, lambda b: b < value))
     blocks = F.transform(F.sequence(F.lit(step), F.size("_bounds"), F.lit(step)), lambda i: F.get("_bounds", i - 1))
     blocks = F.when(F.size("_bounds") >= step, blocks).otherwise(F.array().cast("array<double>"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from maskwright.operators.rules import RuleSet, resolve_modes
 from maskwright.plans.provenance import Kind
-from maskwright.session import cut_lineage, small
+from maskwright.session import cut_lineage
 
 # Mask modes as bits, so that a union of modes is a bitwise or.
 MODE_BITS = {"redact": 1, "partial": 2, "email": 4}
@@ -53,11 +53,13 @@ def _flow(edges_state: DataFrame) -> DataFrame:
     )
 
 
-def propagate(edges: DataFrame, rules: RuleSet, max_rounds: int = 100) -> DataFrame:
+def propagate(edges: DataFrame, rules: RuleSet) -> DataFrame:
     """Kind, modes and mask of every column of a lineage graph, to the fixpoint.
 
     Each round carries on only the columns whose state changed: node, kind,
-    modes (bits), lit, mask. Columns no edge leads to are base columns.
+    modes (bits), lit, mask. Columns no edge leads to are base columns. A
+    state only ever grows in its lattice, so the rounds end by themselves;
+    changes are appended, and a column's state is the union of its changes.
     """
     # Parallel edges say the same: each is kept once before the rounds.
     edges = cut_lineage(
@@ -71,13 +73,12 @@ def propagate(edges: DataFrame, rules: RuleSet, max_rounds: int = 100) -> DataFr
     base = modes_of(base, rules).select(
         "node", F.lit(int(Kind.IDENTITY)).alias("kind"), bits.alias("modes"), F.lit(False).alias("lit")
     )
-    state = frontier = cut_lineage(base)
-    for _ in range(max_rounds):
-        # A small frontier goes to the edges: they are read in place and only
-        # what they hand on is shuffled, merged per destination first.
-        fed = edges.join(small(frontier.withColumnRenamed("node", "src")), "src")
-        new = _flow(fed).join(
-            state.select("node", F.col("kind").alias("k0"), F.col("modes").alias("m0"), F.col("lit").alias("l0")),
+    changes = frontier = cut_lineage(base)
+    while not frontier.isEmpty():
+        # AQE sends a small frontier to the edges: only what they hand on is
+        # shuffled, merged per destination first.
+        new = _flow(edges.join(frontier.withColumnRenamed("node", "src"), "src")).join(
+            _state(changes).select("node", F.col("kind").alias("k0"), F.col("modes").alias("m0"), F.col("lit").alias("l0")),
             "node",
             "left",
         )
@@ -91,10 +92,12 @@ def propagate(edges: DataFrame, rules: RuleSet, max_rounds: int = 100) -> DataFr
             "l0",
         ).where("k0 is null or kind <> k0 or modes <> m0 or lit <> l0")
         frontier = cut_lineage(merged.drop("k0", "m0", "l0"))
-        if frontier.isEmpty():
-            return state.withColumn("mask", _mask())
-        state = cut_lineage(state.join(frontier, "node", "left_anti").unionByName(frontier))
-    raise RuntimeError(f"the lineage did not settle after {max_rounds} rounds")
+        changes = changes.unionByName(frontier)
+    return _state(changes).withColumn("mask", _mask())
+
+
+def _state(changes: DataFrame) -> DataFrame:
+    return changes.groupBy("node").agg(F.max("kind").alias("kind"), F.bit_or("modes").alias("modes"), F.bool_or("lit").alias("lit"))
 
 
 def _mask() -> Column:
@@ -106,18 +109,16 @@ def _mask() -> Column:
     ).otherwise(F.lit("redact"))
 
 
-def sources(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def sources(edges: DataFrame) -> DataFrame:
     """The base columns behind every column: dst, source. Pairs, never a list per column."""
     edges = cut_lineage(edges.where("kind <> 'const'").select("dst", "src").distinct())
     derived = edges.select(F.col("dst").alias("src")).distinct()
     found = frontier = cut_lineage(edges.join(derived, "src", "left_anti").select("dst", F.col("src").alias("source")))
-    for _ in range(max_rounds):
-        step = edges.join(small(frontier.withColumnRenamed("dst", "src")), "src").select("dst", "source").distinct()
+    while not frontier.isEmpty():
+        step = edges.join(frontier.withColumnRenamed("dst", "src"), "src").select("dst", "source").distinct()
         frontier = cut_lineage(step.join(found, ["dst", "source"], "left_anti"))
-        if frontier.isEmpty():
-            return found
         found = found.unionByName(frontier)
-    raise RuntimeError(f"the lineage did not settle after {max_rounds} rounds")
+    return found
 
 
 EQUALITY = ("=", "<=>", "is not distinct from", "in", "is null")
@@ -171,8 +172,10 @@ def steering_risk(uses: DataFrame, inventory: DataFrame, rules: RuleSet, names)
     """Uses that steer a result on a column only the detectors protect, with ``risk`` (its type class)."""
     steering = uses.where(~((F.lower("clause") == "select") & (F.lower("op") == "plain")))
     parted = steering.select("*", *column_parts(F.col("source")))
-    known = inventory.select("db", "table", "column", "type", "generated", "type_loose", F.lit(True).alias("_known"))
-    joined = resolve_modes(parted, rules).where(~F.col("allowed")).join(known, ["db", "table", "column"], "left")
+    known = inventory.select("db", "table", "column", "type", "view", "generated", "type_loose", F.lit(True).alias("_known"))
+    joined = resolve_modes(parted, rules).join(known, ["db", "table", "column"], "left")
+    # An allow rule speaks of a base column; a view's may hold anything.
+    joined = joined.where(~F.col("allowed") | F.coalesce("view", F.lit(False)))
     generated = F.coalesce("generated", F.lit(False))
     cls = F.when(
         F.col("_known").isNull() | (F.coalesce("type_loose", F.lit(False)) & ~generated), F.lit("text")

@@ -83,7 +83,12 @@ def cut_note(df: DataFrame, max_chars: int) -> DataFrame:
 
 
 def cap_bytes(lines: DataFrame, n: int, line: str = "line", order: str = "row_no") -> DataFrame:
-    """Rows kept while the running size of their lines fits in n bytes.
+    """Rows kept while the running size of their lines fits in n bytes."""
+    return measured(lines, line, order).where(F.col("running_bytes") <= n)
+
+
+def measured(lines: DataFrame, line: str = "line", order: str = "row_no") -> DataFrame:
+    """lines with the running size in bytes and the number of all rows.
 
     For row-capped input: ``cap_rows`` comes first, so one partition holds it.
     """
@@ -92,11 +97,16 @@ def cap_bytes(lines: DataFrame, n: int, line: str = "line", order: str = "row_no
         Window.partitionBy(F.lit(0)).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     )
     total = F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))
-    return lines.withColumn("running_bytes", running).withColumn("total_rows", total).where(F.col("running_bytes") <= n)
+    return lines.withColumn("running_bytes", running).withColumn("total_rows", total)
 
 
 def governed_lines(df: DataFrame, limits: Limits, fmt: str = "tsv", order: Sequence[str | Column] = ()) -> DataFrame:
     """Row, cell and byte caps applied in order: row_no, line, cut_cells, truncated, total_rows."""
+    return measured_lines(df, limits, fmt, order).where(F.col("running_bytes") <= limits.max_output_bytes)
+
+
+def measured_lines(df: DataFrame, limits: Limits, fmt: str = "tsv", order: Sequence[str | Column] = ()) -> DataFrame:
+    """The lines within the row and cell caps, those over the byte cap among them."""
     if fmt not in ("tsv", "json"):
         raise ValueError("format: want tsv or json")
     names = df.columns
@@ -115,4 +125,4 @@ def governed_lines(df: DataFrame, limits: Limits, fmt: str = "tsv", order: Seque
     cells = [cap_chars(F.col(f"`{c}`"), limits.max_cell_chars).alias(c) for c in names]
     line = F.concat_ws("\t", *cells) if fmt == "tsv" else F.to_json(F.struct(*cells), {"ignoreNullFields": "false"})
     lines = text.select("row_no", "truncated", long.alias("cut_cells"), line.alias("line"))
-    return cap_bytes(lines, limits.max_output_bytes)
+    return measured(lines)

@@ -30,8 +30,6 @@ from maskwright.plans.refusals import Refused
 from maskwright.session import cut_lineage
 
 MAX_PASSES = 8
-# The rows a side of a join without an equality may have.
-MAX_NESTED_ROWS = 10_000
 
 # Window functions that are not aggregates, and the frames offered.
 RANKING = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
@@ -40,8 +38,6 @@ WINDOW_AGGREGATES = (
     "count sum avg min max stddev std stddev_pop stddev_samp variance var_pop var_samp "
     "bit_and bit_or bit_xor bool_and bool_or every any_value"
 ).split()
-# A name in such an expression may be a type, a unit, an alias or a variable, not a column.
-_AMBIGUOUS = re.compile(r"(?i)->|\b(?:as|from|interval|timestampadd|timestampdiff|dateadd|datediff)\b|\w\.\s*[a-z_`]")
 _BOUND = r"(?:UNBOUNDED (?:PRECEDING|FOLLOWING)|CURRENT ROW|\d+ (?:PRECEDING|FOLLOWING))"
 _UP_TO_HERE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW".split()
 _FRAME = re.compile(rf"(?:ROWS|RANGE) (?:BETWEEN {_BOUND} AND {_BOUND}|{_BOUND})")
@@ -127,51 +123,27 @@ class Governed:
         return isinstance(text, str) and any(fold(c) == fold(text.strip("`")) for c in self._prov)
 
     def _reads(self, expr: str | Column) -> list[str]:
-        """The columns an expression reads, by what Spark can resolve it with.
+        """The columns an expression reads, as Spark's analysis of it over an empty frame refers to them.
 
-        The names written in it are tried first. Spark names each one still
-        missing, and a masked column counts only if nothing resolves without it.
+        The plan is judged, not the text: one row source (the empty frame), no
+        subquery, no function whose body is not known.
         """
-        nested = (
-            re.search(r"(?i)\bselect\b", _without_literals(expr))
-            if isinstance(expr, str)
-            # A frame inside a column shows as its columns and types.
-            else re.search(r"\(\[[^\]]*: \w", str(expr))
-        )
-        if nested:
-            raise Refused("E_UNSUPPORTED_SYNTAX", "a subquery is written as a governed frame: semi_join, anti_join or with_scalar")
-        used = self._written(expr) if isinstance(expr, str) else []
-        while (problem := self._unresolved(expr, used)) is not None:
-            condition = problem.getCondition() or ""
-            if not condition.startswith("UNRESOLVED_COLUMN"):
-                raise Refused("E_INVALID_SQL", f"Spark cannot resolve the expression ({condition})")
-            named = problem.getMessageParameters()["objectName"]
-            parts = re.findall(r"`((?:[^`]|``)*)`", named)
-            name = self._name(parts[0].replace("``", "`") if parts else named)
-            if name in used:
-                raise Refused("E_UNKNOWN_NAME", "unknown field of a column")
-            used.append(name)
-        doubtful = [c for c in used if self._prov[c].sensitive or (isinstance(expr, str) and _AMBIGUOUS.search(expr))]
-        for c in doubtful:
-            rest = [x for x in used if x != c]
-            if self._unresolved(expr, rest) is None:
-                used = rest
-        return used
-
-    def _unresolved(self, expr: str | Column, columns: list[str]) -> AnalysisException | None:
-        """Why Spark cannot resolve an expression with these columns alone, or nothing."""
         try:
-            known = _empty(self._df).select(*[F.col(f"`{c}`") for c in columns])
-            known.select(F.expr(expr) if isinstance(expr, str) else expr)
-        except AnalysisException as e:
-            return e
-        return None
-
-    def _written(self, text: str) -> list[str]:
-        """The columns whose names stand in an expression, outside its string literals."""
-        words = {fold(w) for w in re.findall(r"[^\W\d]\w*", _without_literals(text))}
-        quoted = {fold(w) for w in re.findall(r"`([^`]+)`", text)}
-        return [c for c in self._prov if fold(c) in words | quoted]
+            plan = _empty(self._df).select(F.expr(expr) if isinstance(expr, str) else expr)._jdf.queryExecution().analyzed()
+        except AnalysisException as problem:
+            condition = problem.getCondition() or ""
+            if condition.startswith("UNRESOLVED_COLUMN"):
+                named = problem.getMessageParameters()["objectName"]
+                raise Refused("E_UNKNOWN_NAME", f"unknown or ambiguous column {named[:64].lower()}") from None
+            if condition.startswith("TABLE_OR_VIEW_NOT_FOUND"):
+                raise Refused("E_UNSUPPORTED_SYNTAX", "an expression reads the columns of its own frame, no table") from None
+            raise Refused("E_INVALID_SQL", f"Spark cannot resolve the expression ({condition})") from None
+        if not plan.subqueriesAll().isEmpty() or plan.collectLeaves().size() != 1 or plan.output().size() != 1:
+            raise Refused("E_UNSUPPORTED_SYNTAX", "a subquery is written as a governed frame: semi_join, anti_join or with_scalar")
+        if any(_unknown(e) for node in _nodes(plan) for e in _scala(node.expressions())):
+            raise Refused("E_UNSUPPORTED_SYNTAX", "an expression holds a function that is not built in, or that calls out")
+        names = _sources(plan)
+        return [c for c in self._prov if c in names]
 
     def _value(self, expr: str | Column) -> Prov:
         if self._is_column(expr):
@@ -287,14 +259,22 @@ class Governed:
             raise Refused("E_MASKED_FILTER", f"a PII column ({p.names()}) may only be compared with literals")
         if p.sources & self._trail.views:
             raise Refused("E_MASKED_FILTER", f"a PII column ({p.names()}) of a view cannot be compared: filter on the base table")
+        if op in ("<=>", "is not distinct from") and values is None:
+            listed = None
         masked = sorted(p.sources & self._trail.masked)
         if not masked:
             raise Refused("E_MASKED_FILTER", f"a PII column ({p.names()}) has no base column to count")
         bases = dict(self._trail.bases)
         # The subjects are counted in the column's own table: a join cannot inflate them.
-        checks = tuple(("the PII filter", k_subjects(bases[s], s.split(".")[-1], listed), False) for s in masked)
+        checks = tuple(("the PII filter", k_subjects(bases[s], s.split(".", 2)[2], listed), False) for s in masked)
         c = F.col(f"`{name}`")
-        kept = self._df.where(c.isNull() if listed is None else c.isin(listed))
+        if listed is None:
+            test = c.isNull()
+        elif op in ("<=>", "is not distinct from"):
+            test = c.eqNullSafe(F.lit(values))
+        else:
+            test = c.isin(listed)
+        kept = self._df.where(test)
         trail = self._touch("where", p)
         trail = replace(trail, pii_filter=True, checks=trail.checks + checks)
         return self._with(kept, self._prov, trail, _due=True)
@@ -360,8 +340,7 @@ class Governed:
             conditions.append(f"({where})")
         if not conditions:
             raise Refused("E_INVALID_SQL", "a join needs a condition: use cross_join")
-        left, right = (a._df, b._df) if pairs else _bounded(a._df, b._df)
-        return Governed(left.join(right, F.expr(" AND ".join(conditions)), how), provs, trail)
+        return Governed(a._df.join(b._df, F.expr(" AND ".join(conditions)), how), provs, trail)
 
     def _using(self, other: Governed, using: list[str], how: str, where: str | None) -> Governed:
         pairs = self._pairs(other, using)
@@ -386,20 +365,16 @@ class Governed:
             raise Refused("E_INVALID_SQL", "no column in common: use cross_join")
         return self.join(other, using=shared, how=how)
 
-    def cross_join(self, other: Governed) -> Governed:
-        """All pairs, while one side is small; a larger product is refused as too costly."""
+    def cross_join(self, other: Governed, max_rows: int | None = None) -> Governed:
+        """All pairs. With ``max_rows``, a product whose smaller side has more rows than that is refused."""
         a, b, trail = self._joinable(other, [])
         clash = {fold(c) for c in a._prov} & {fold(c) for c in b._prov}
         if clash:
             raise Refused("E_UNKNOWN_NAME", f"ambiguous columns {', '.join(sorted(clash)).lower()[:80]}")
         provs = {**a._prov, **b._prov}
-        many, few = (a._df, b._df) if _few(b._df) else (b._df, a._df)
-        if few is a._df and not _few(few):
-            raise Refused("E_COST", f"a cross join needs a side of at most {MAX_NESTED_ROWS} rows")
-        # The small side is one value of at most MAX_NESTED_ROWS rows, unfolded beside every row.
-        rows = few.agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in few.columns]))).scalar()
-        out = many.select("*", F.inline(rows))
-        return Governed(out.select(*[F.col(f"`{c}`") for c in provs]), provs, trail)
+        if max_rows is not None and all(side.limit(max_rows + 1).count() > max_rows for side in (a._df, b._df)):
+            raise Refused("E_COST", f"neither side of the product is within the {max_rows} rows asked for")
+        return Governed(a._df.crossJoin(b._df), provs, trail)
 
     def semi_join(self, other: Governed, on) -> Governed:
         """Rows with a match: IN (subquery), = ANY, EXISTS."""
@@ -500,13 +475,14 @@ class Governed:
         for p in key_provs:
             if p.sensitive:
                 raise Refused("E_MASKED_ORDER", f"a PII column ({p.names()}) is not allowed in DISTINCT ON")
-        down = {bool(re.search(r"(?i)\sdesc$", o.strip())) for o in order_by}
-        for o in order_by:
-            me._order_key(o)
+        ways = [_direction(me._order_key(o)) for o in order_by]
+        down = {d for d, _ in ways}
         row = F.struct(*[F.col(f"`{c}`") for c in me._prov])
         trail = me._touch("order by", *key_provs, *[me._value(_bare(o)) for o in order_by])
         if len(down) == 1:
-            place = F.struct(*[F.struct(F.expr(_bare(o)).isNull().alias("n"), F.expr(_bare(o)).alias("v")).alias(f"o{i}") for i, o in enumerate(order_by)])
+            # Ahead in the order is small, or large for max_by: so are the nulls that come first.
+            ahead = [F.expr(_bare(o)).isNull() == F.lit(first == d) for o, (d, first) in zip(order_by, ways)]
+            place = F.struct(*[F.struct(n.alias("n"), F.expr(_bare(o)).alias("v")).alias(f"o{i}") for i, (n, o) in enumerate(zip(ahead, order_by))])
             pick = F.max_by(row, place) if down == {True} else F.min_by(row, place)
             df = me._df.groupBy(*[F.col(f"`{k}`").alias(f"_g{i}") for i, k in enumerate(keys)]).agg(pick.alias("_row"))
             return me._with(df.select("_row.*"), me._prov, trail)
@@ -540,8 +516,6 @@ class Governed:
         for fn, *_ in functions.values():
             if fn not in (*RANKING, *ANALYTIC, *WINDOW_AGGREGATES):
                 raise Refused("E_INVALID_SQL", f"{fn[:40]} is not a window function")
-        if not partition_by and not order_by:
-            raise Refused("E_COST", "a window over the whole table runs in one task: partition or order it")
         provs = []
         for k in partition_by:
             provs.append(me._value(k))
@@ -555,6 +529,8 @@ class Governed:
                 raise Refused("E_MASKED_EXPRESSION", f"a PII column ({p.names()}) is used inside window function {functions[n][0]}")
         if frame is not None and not _FRAME.fullmatch(frame.upper().strip()):
             raise Refused("E_UNSUPPORTED_SYNTAX", "frame: want ROWS or RANGE with integer offsets")
+        if not partition_by:
+            raise Refused("E_COST", "a window without PARTITION BY runs in one task: partition it, or use order_by with limit")
         if hot_rows is not None:
             df = me._hot(functions, partition_by, order_by, frame, hot_rows)
         else:
@@ -648,34 +624,45 @@ class Governed:
         df = me._df.offset(offset) if offset else me._df
         return me._with(df.limit(n), me._prov, _limit=n)
 
-    def recursive(self, step: Callable[[Governed], Governed], max_rounds: int = 100) -> Governed:
+    def recursive(self, step: Callable[[Governed], Governed], distinct: bool = False, max_rounds: int | None = None) -> Governed:
         """A recursive CTE: this frame is the anchor, ``step`` maps the last rows to the next ones.
 
         The provenance is followed to a fixpoint first. Then each round joins
-        only the rows of the round before, until none is left.
+        only the rows of the round before, until none is left. ``distinct``
+        is UNION in place of UNION ALL: a row found before is not followed
+        again, so a cycle ends. ``max_rounds`` is a bound for callers that
+        want one; there is none by itself.
         """
         me = self._settle()
         provs, trail = me._prov, me._trail
+        if distinct:
+            for p in provs.values():
+                me._dedupe(p, "UNION")
         for _ in range(MAX_PASSES):
             tried = step(Governed(me._df, provs, trail))
-            if len(tried._trail.checks) > len(trail.checks):
-                raise Refused("E_MASKED_FILTER", "a recursive CTE cannot filter, group or aggregate PII columns")
+            if len(tried.k_checks()) > len(trail.checks):
+                raise Refused("E_MASKED_FILTER", "PII columns may be carried through a recursive CTE, not filtered, grouped or aggregated in it")
             if len(tried._prov) != len(provs):
                 raise Refused("E_INVALID_SQL", "the arms of a recursive CTE have different numbers of columns")
             wider = {n: l.union(r) for (n, l), r in zip(provs.items(), tried._prov.values())}
             trail = trail.merge(tried._trail)
+            if distinct:
+                for p in wider.values():
+                    replace(me, _trail=trail)._dedupe(p, "UNION")
             if wider == provs:
                 break
             provs = wider
         else:
             raise Refused("E_TOO_COMPLEX", "the provenance of a recursive CTE does not converge")
-        rows = frontier = cut_lineage(me._df)
-        for _ in range(max_rounds):
-            frontier = cut_lineage(step(Governed(frontier, provs, trail))._df.toDF(*provs))
-            if frontier.isEmpty():
-                return Governed(rows, provs, trail)
-            rows = rows.unionAll(frontier)
-        raise Refused("E_TOO_COMPLEX", f"the recursion did not end after {max_rounds} rounds")
+        rows = frontier = cut_lineage(me._df.distinct() if distinct else me._df)
+        rounds = 0
+        while not frontier.isEmpty():
+            if rounds == max_rounds:
+                raise Refused("E_TOO_COMPLEX", f"the recursion went past the {max_rounds} rounds asked for")
+            found = step(Governed(frontier, provs, trail))._df.toDF(*provs)
+            frontier = cut_lineage(found.subtract(rows) if distinct else found)
+            rows, rounds = rows.unionAll(frontier), rounds + 1
+        return Governed(rows, provs, trail)
 
     # ---- results ----
 
@@ -730,8 +717,47 @@ class Governed:
         ).write.mode(mode).parquet(path)
 
 
-def _without_literals(text: str) -> str:
-    return re.sub(r"'(?:[^'\\]|\\.)*'", " ", text)
+# Spark's classes of functions that run a caller's code, call methods by name or tell where rows are kept.
+_CALLS_OUT = frozenset(
+    "PythonUDF PythonUDAF ScalaUDF ScalaUDAF ScalaAggregator HiveSimpleUDF HiveGenericUDF HiveUDAFFunction SQLFunctionExpression "
+    "CallMethodViaReflection TryReflect StaticInvoke Invoke ApplyFunctionExpression V2Aggregator "
+    "InputFileName InputFileBlockStart InputFileBlockLength".split()
+)
+# Functions that Spark itself writes as calls of its own library.
+_OWN_CALLS = "org.apache.spark.sql.catalyst."
+
+
+def _scala(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _nodes(plan) -> list:
+    """A plan and all below it."""
+    return [plan, *(n for child in _scala(plan.children()) for n in _nodes(child))]
+
+
+def _ids(attributes) -> set[int]:
+    return {a.exprId().id() for a in _scala(attributes)}
+
+
+def _sources(plan) -> set[str]:
+    """The columns of the one leaf that the output of an analysed plan is made from."""
+    need = _ids(plan.output())
+    while plan.children().size():
+        if plan.nodeName() == "Project":
+            made = [e for e in _scala(plan.projectList()) if e.exprId().id() in need]
+            need = set().union(*[_ids(e.references().toSeq()) for e in made])
+        else:
+            need |= _ids(plan.references().toSeq())
+        plan = plan.children().head()
+    return {a.name() for a in _scala(plan.output()) if a.exprId().id() in need}
+
+
+def _unknown(expression) -> bool:
+    """Whether an analysed expression calls what this library does not know."""
+    kind = expression.getClass().getSimpleName()
+    own = kind in ("StaticInvoke", "Invoke") and _OWN_CALLS in expression.toString()
+    return (kind in _CALLS_OUT and not own) or any(_unknown(e) for e in _scala(expression.children()))
 
 
 _EMPTY: dict[tuple, DataFrame] = {}
@@ -745,32 +771,23 @@ def _empty(df: DataFrame) -> DataFrame:
     return _EMPTY[key]
 
 
-def _few(side: DataFrame) -> bool:
-    return side.limit(MAX_NESTED_ROWS + 1).count() <= MAX_NESTED_ROWS
-
-
-def _bounded(a: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A join without an equality pairs every row: one side must be small, and is broadcast."""
-    if _few(b):
-        return a, F.broadcast(b)
-    if _few(a):
-        return F.broadcast(a), b
-    raise Refused("E_COST", f"a join without an equality needs a side of at most {MAX_NESTED_ROWS} rows")
-
-
 def _bare(key: str) -> str:
     """An ordering key without its direction."""
     return re.sub(r"(?i)(\s+(asc|desc))?(\s+nulls\s+(first|last))?\s*$", "", key)
 
 
-def _sorting(key: str) -> Column:
-    c, tail = F.expr(_bare(key)), key[len(_bare(key)) :].lower()
+def _direction(key: str) -> tuple[bool, bool]:
+    """Whether an ordering key descends, and whether its nulls come first (as Spark has it where the key says nothing)."""
+    tail = key[len(_bare(key)) :].lower()
     down = "desc" in tail
-    if "first" in tail:
-        return c.desc_nulls_first() if down else c.asc_nulls_first()
-    if "last" in tail:
-        return c.desc_nulls_last() if down else c.asc_nulls_last()
-    return c.desc() if down else c.asc()
+    return down, "first" in tail or ("last" not in tail and not down)
+
+
+def _sorting(key: str) -> Column:
+    c, (down, first) = F.expr(_bare(key)), _direction(key)
+    if down:
+        return c.desc_nulls_first() if first else c.desc_nulls_last()
+    return c.asc_nulls_first() if first else c.asc_nulls_last()
 
 
 @dataclass(frozen=True)

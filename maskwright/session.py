@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -52,15 +51,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-# The rows a side may have to be sent whole to every task.
-SMALL_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """df marked for broadcast when a count says it is small; else the join shuffles, and AQE splits skew."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def spread(df: DataFrame, most: int = 16) -> DataFrame:
     """Rows of few large splits (one file, a compressed log) dealt out to idle cores.
 

@@ -10,7 +10,6 @@ from maskwright.operators.rules import RuleSet
 
 INVENTORY_SCHEMA = "db string, table string, column string, type string, view boolean, generated boolean, type_loose boolean"
 SAMPLE_ROWS = 20
-SAMPLE_COLUMNS = 64
 SAMPLE_CHARS = 256
 
 
@@ -43,14 +42,16 @@ def _cells(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def sample_columns(df: DataFrame, cols: list[str], n: int = SAMPLE_ROWS) -> DataFrame:
-    """At most n values per column, the same ones on every run: (column, value)."""
-    if len(cols) > SAMPLE_COLUMNS:
-        raise ValueError(f"a scan samples at most {SAMPLE_COLUMNS} columns")
-    cells = _cells(df, cols).select("column", F.substring("value", 1, SAMPLE_CHARS).alias("value"))
+    """At most n values per column, the same ones on every run: (column, value).
+
+    Whole values are ordered; what is shown of one is cut to SAMPLE_CHARS.
+    """
+    cells = _cells(df, cols)
     order = Window.partitionBy("column").orderBy(F.xxhash64("value"), "value")
     # Spark keeps n rows per column in each map task before the shuffle
     # (WindowGroupLimit), so no column travels whole.
-    return cells.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n).drop("_n")
+    kept = cells.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n)
+    return kept.select("column", F.substring("value", 1, SAMPLE_CHARS).alias("value"))
 
 
 def describe_table(df: DataFrame, db: str, table: str, rules: RuleSet = RuleSet()) -> DataFrame:

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import detectors as det
 from maskwright.operators.masking import mask_table
-from maskwright.operators.output import Limits, governed_lines
+from maskwright.operators.output import Limits, measured_lines
 from maskwright.operators.rules import RULE_SCHEMA, valid_pattern
+from maskwright.session import cut_lineage
 
 
 def publish_masked(df, db, table, rules, path, names=det.DEFAULT_DETECTORS, partition_by=(), mode="errorifexists"):
@@ -19,9 +20,11 @@ def publish_masked(df, db, table, rules, path, names=det.DEFAULT_DETECTORS, part
 
 def export_capped(df: DataFrame, path: str, limits: Limits = Limits(), fmt: str = "tsv", order=(), mode: str = "errorifexists") -> None:
     """Write a governed result as text within its caps, with header and closing lines."""
-    lines = governed_lines(df, limits, fmt, order)
-    body = lines.select(F.col("row_no").alias("ord"), "line")
-    shown, total = F.count(F.lit(1)), F.coalesce(F.max("total_rows"), F.lit(0))
+    # At most max_rows lines, worked out once: body and closing lines speak of the same rows.
+    lines = cut_lineage(measured_lines(df, limits, fmt, order))
+    fits = F.col("running_bytes") <= limits.max_output_bytes
+    body = lines.where(fits).select(F.col("row_no").alias("ord"), "line")
+    shown, total = F.count_if(fits), F.count(F.lit(1))
     cut = F.when(
         shown < total,
         F.concat_ws("", F.lit(f"[output cut at {limits.max_output_bytes} bytes: "), shown.cast("string"), F.lit(" of "), total.cast("string"), F.lit(" rows shown]")),

@@ -123,17 +123,20 @@ def dedupe_events(events: DataFrame, keys: list[str], delay: str = "10 minutes")
 def pair_runs(plans: DataFrame, runs: DataFrame, ttl: str = "10 minutes", delay: str = "10 minutes") -> DataFrame:
     """Each run with its plan, within the plan's lifetime; a plan runs once.
 
-    plans: plan_id, ts. runs: plan_id, run_id, ts.
+    plans: plan_id, ts. runs: plan_id, run_id, ts. Runs outside the lifetime
+    go first, so none of them can stand for a valid one; of several valid
+    runs the one that arrives first stays.
     """
     p = plans.select(F.col("plan_id"), F.col("ts").alias("plan_ts")).withWatermark("plan_ts", delay)
     r = runs.select(F.col("plan_id").alias("run_plan"), "run_id", F.col("ts").alias("run_ts")).withWatermark("run_ts", delay)
-    r = r.dropDuplicatesWithinWatermark(["run_plan"])
     paired = p.join(
         r,
         F.expr(f"run_plan = plan_id AND run_ts >= plan_ts AND run_ts <= plan_ts + INTERVAL {ttl}"),
         "inner",
     )
-    return paired.select("plan_id", "plan_ts", "run_id", "run_ts")
+    # One event time is enough from here on.
+    timed = paired.select("plan_id", "plan_ts", "run_id", F.expr("run_ts + INTERVAL 0 SECONDS").alias("run_ts"))
+    return timed.dropDuplicatesWithinWatermark(["plan_id"])
 
 
 def undecided(pending: DataFrame, decisions: DataFrame, within: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

@@ -74,3 +74,12 @@ def test_limits():
     p = Limits.production()
     assert (p.k_anonymity, p.explain_rows_warn, p.explain_rows_refuse, p.max_rows) == (10, 20_000, 200_000, 200)
     assert Limits().k_anonymity == 5
+
+
+def test_a_line_over_the_byte_cap_is_told(spark, tmp_path):
+    from maskwright.sources.sinks import export_capped
+
+    wide = spark.range(3).select(*[F.lit("x" * 200).alias(f"c{i}") for i in range(400)])
+    export_capped(wide, str(tmp_path / "out"), Limits())
+    lines = [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()]
+    assert len(lines) == 3 and "0 of 3 rows" in lines[1] and lines[2].startswith("(0 rows)")

@@ -249,3 +249,17 @@ def test_drift_and_k(spark):
     assert disclosure.k_min_group(df, ["k"]).first()["n"] == 1 and disclosure.k_min_group(df.limit(0), ["k"]).first()["n"] is None
     assert {(r["value"], r["n"]) for r in disclosure.k_values(df, "k", ["a", "z"]).collect()} == {("a", 2), ("z", 0)}
     assert disclosure.k_subjects(df, "k", None).first()["n"] == 0
+
+
+def test_plans_in_a_circle_are_refused_and_unset_limits_are_the_usual_ones(spark):
+    fields = "plan_id string, node_id int, parent_id int, ord int, table string, access string, est_rows bigint, sort boolean, temp boolean, correlated boolean, no_join_cond boolean, recursive boolean, detail string, cost double"
+    flat = lambda p, n, up, table=None, est=-1: (p, n, up, n, table, "ref" if table else None, est, False, False, False, False, False, "", 0.0)
+    nodes = spark.createDataFrame([flat("round", 1, 2), flat("round", 2, 1), flat("round", 3, 1, "t", 5), flat("plain", 1, None), flat("plain", 2, 1, "t", 3)], fields)
+    verdict, found = plan_weight.weigh_plans(nodes, Limits(explain_rows_warn=0, explain_rows_refuse=0))
+    assert {r["plan_id"]: r["level"] for r in verdict.collect()} == {"round": "REFUSE", "plain": "OK"}
+    assert {r["plan_id"] for r in found.collect()} == {"round"}
+
+
+def test_many_rules(spark):
+    rules = RuleSet.of([f"db.t{i}.c" for i in range(20_000)])
+    assert rules.mode("db", "t19999", "c") == "redact" and rules.mode("db", "t20000", "c") is None
