@@ -115,11 +115,11 @@ _SPAN = f"(?s){_QUOTES}.*{_QUOTES}"
 
 
 def redact_message(msg: Column, sql: Column, names=det.DEFAULT_DETECTORS) -> Column:
-    """An error message without the row values it may quote.
+    """The message with its quoted stretch blanked, and the detectors over what remains.
 
-    First to last quote is replaced, unless every quoted part is text of the
-    statement or a server phrase and only known words join them. A single
-    quote redacts the rest. The detectors read what is left.
+    The stretch stays if nothing in it can be a value of a row: each quotation
+    occurs in the statement or is a fixed phrase, with fixed words between.
+    With one lone quote, all after it is blanked.
     """
     statement = F.lower(F.coalesce(sql, F.lit("")))
 

@@ -77,7 +77,7 @@ def cut_note(df: DataFrame, max_chars: int) -> DataFrame:
         F.lit("["),
         n.cast("string"),
         cells,
-        F.lit(f" cut: a value longer than {max_chars} characters (max_cell_chars) or {MAX_CELL_BYTES} bytes ends with …]"),
+        F.lit(f" shown in part, up to the … (limits: {max_chars} characters, {MAX_CELL_BYTES} bytes)]"),
     )
     return df.agg(n.cast("bigint").alias("cut_cells"), F.when(n > 0, note).alias("note"))
 

@@ -238,7 +238,7 @@ class Governed:
         if p.sensitive:
             raise Refused(
                 "E_MASKED_FILTER",
-                f"a PII column ({p.names()}) may only be compared for equality with a constant or with another PII column",
+                f"{p.names()} is masked: a condition on it is an equality, through filter_pii or a join",
             )
         groups = self._groups.where(expr) if self._groups is not None else None
         return self._with(self._df.where(expr), self._prov, self._touch("where", p), _groups=groups)
@@ -291,7 +291,7 @@ class Governed:
             pii, other = (l, r) if l.sensitive else (r, l)
             raise Refused(
                 "E_MASKED_FILTER",
-                f"a PII column ({pii.names()}) may only be joined with another PII column; {other.names()} has no mask rule",
+                f"{pii.names()} is masked and {other.names()} is not: the join would tell values apart",
             )
         if l.lit or r.lit:
             raise Refused("E_MASKED_FILTER", f"a PII column ({l.names()}) is compared with values that may be literals")
@@ -391,7 +391,7 @@ class Governed:
         for l, r in pairs:
             p = mixed([a._prov[l], b._prov[r]])
             if p.sensitive:
-                raise Refused("E_MASKED_FILTER", f"a PII column ({p.names()}) may only be filtered by positive conditions")
+                raise Refused("E_MASKED_FILTER", f"{p.names()} is masked: rows are not chosen by what it is not")
         a, b, trail = self._joinable(other, pairs, "where")
         keys = b._df.select(*[F.col(f"`{r}`").alias(f"_k{i}") for i, (_, r) in enumerate(pairs)])
         condition = " AND ".join(f"`{l}` = _k{i}" for i, (l, _) in enumerate(pairs))
@@ -455,7 +455,7 @@ class Governed:
 
     def _dedupe(self, p: Prov, what: str) -> None:
         if p.sensitive and not self._all_pii(p):
-            raise Refused("E_MASKED_SET_OP", f"duplicate removal compares a PII column with a value chosen by the query ({what})")
+            raise Refused("E_MASKED_SET_OP", f"{what} would match masked values against the query's own")
 
     def having(self, expr: str) -> Governed:
         """A condition on groups: their aggregates and keys that are not masked."""
@@ -579,7 +579,7 @@ class Governed:
                 trail = replace(both, _trail=trail)._touch("set operation", l, r)
                 if l.sensitive or r.sensitive:
                     if not (both._all_pii(l) and both._all_pii(r)):
-                        raise Refused("E_MASKED_SET_OP", f"a set operation compares a PII column with other values (column {i + 1})")
+                        raise Refused("E_MASKED_SET_OP", f"column {i + 1} holds masked values in one arm and others in the other")
                     if same_column(l, r):
                         raise Refused("E_MASKED_FILTER", "a PII column is compared with itself")
             out[name] = l.union(r)
@@ -606,7 +606,7 @@ class Governed:
     def _order_key(self, key: str, where: str = "ORDER BY") -> str:
         p = self._value(_bare(key))
         if p.sensitive:
-            raise Refused("E_MASKED_ORDER", f"{where} a PII column ({p.names()}) is not allowed: it reveals the order of its values")
+            raise Refused("E_MASKED_ORDER", f"{where}: sorted rows would rank the masked values of {p.names()}")
         return key
 
     def order_by(self, *keys: str) -> Governed:
@@ -708,10 +708,10 @@ class Governed:
         """Append to a table: no masked value is stored, and a column under a rule takes nulls only."""
         for name, p in self._prov.items():
             if p.sensitive:
-                raise Refused("E_MASKED_WRITE", f"this write stores values of PII column {p.names()}")
+                raise Refused("E_MASKED_WRITE", f"{p.names()} would be kept unmasked")
             null = dict(self._df.dtypes)[name] == "void"
             if rules.mode(db, table, name) and not null:
-                raise Refused("E_MASKED_WRITE", f"this write stores a chosen value into PII column {name.lower()}")
+                raise Refused("E_MASKED_WRITE", f"{name.lower()} is masked and takes nulls only")
         self._df.select(
             *[F.col(f"`{c}`").cast("string") if t == "void" else F.col(f"`{c}`") for c, t in self._df.dtypes]
         ).write.mode(mode).parquet(path)
@@ -811,7 +811,7 @@ class Grouped:
                 if extra:
                     q = mixed(g._prov[c] for c in g._reads(extra))
                     if q.sensitive:
-                        raise Refused("E_MASKED_ORDER", f"a PII column ({q.names()}) is not allowed in FILTER or an aggregate's ORDER BY")
+                        raise Refused("E_MASKED_ORDER", f"{q.names()} is masked: it neither filters nor orders what an aggregate takes in")
                     trail = replace(g, _trail=trail)._touch("select", q)
         columns = [a.column().alias(a.alias) for a in aggs]
         key_columns = [c for c, _ in self.keys.values()]

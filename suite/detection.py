@@ -11,18 +11,19 @@ from suite.derived import derive, with_sql
 from suite.fragments import found, masked, partial
 
 
-def _documents(kind):
+def _texts(kind, name="documents", key="doc_id", text="text"):
     def run(spark, sf):
-        docs = spread(table(spark, sf, "documents"))
-        hits = F.size(det.find(kind, F.col("text")))
-        return docs.select("doc_id", hits.alias("hits"), F.md5(det.mask(kind, F.col("text"))).alias("masked_md5")).where("hits > 0")
+        rows = spread(table(spark, sf, name))
+        hits = F.size(det.find(kind, F.col(text)))
+        keys = key.split(", ")
+        return rows.select(*keys, hits.alias("hits"), F.md5(det.mask(kind, F.col(text))).alias("masked_md5")).where("hits > 0")
 
     return run
 
 
-def _documents_sql(kind):
+def _texts_sql(kind, name="documents", key="doc_id", text="text"):
     return f"""
-select * from (select doc_id, cast(len({found(kind, 'text')}) as int) as hits, md5({masked(kind, 'text')}) as masked_md5 from documents)
+select * from (select {key}, cast(len({found(kind, text)}) as int) as hits, md5({masked(kind, text)}) as masked_md5 from {name})
 where hits > 0"""
 
 
@@ -45,12 +46,15 @@ def _notes_sql(kind, column):
     )
 
 
-query("c1_email_documents", _documents_sql("email"))(_documents("email"))
+query("c1_email_documents", _texts_sql("email"))(_texts("email"))
+for _kind in ("email", "phone", "card", "iban"):
+    for _name, _key, _text in (("conversations", "conv_id, turn", "text"), ("pages", "page_id", "html")):
+        query(f"{dict(email='c1', phone='c2', card='c5', iban='c4')[_kind]}_{_kind}_{_name}", _texts_sql(_kind, _name, _key, _text))(_texts(_kind, _name, _key, _text))
 query("c1_email_notes", _notes_sql("email", "email"))(_notes("email", "email"))
-query("c2_phone_documents", _documents_sql("phone"))(_documents("phone"))
+query("c2_phone_documents", _texts_sql("phone"))(_texts("phone"))
 query("c2_phone_notes", _notes_sql("phone", "phone"))(_notes("phone", "phone"))
 query("c4_iban_notes", _notes_sql("iban", "iban"))(_notes("iban", "iban"))
-query("c5_card_documents", _documents_sql("card"))(_documents("card"))
+query("c5_card_documents", _texts_sql("card"))(_texts("card"))
 query("c6_be_niss_notes", _notes_sql("be_niss", "niss"))(_notes("be_niss", "niss"))
 query("c7_fr_nir_notes", _notes_sql("fr_nir", "nir"))(_notes("fr_nir", "nir"))
 query("c8_nl_bsn_notes", _notes_sql("nl_bsn", "bsn"))(_notes("nl_bsn", "bsn"))

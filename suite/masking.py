@@ -80,12 +80,11 @@ def mask_people(spark, sf):
 
 @query(
     "d5_mask_lineitem",
-    f"select l_orderkey, l_linenumber, {partial('l_returnflag')} as l_returnflag, '<redacted>' as l_extendedprice, l_quantity from lineitem",
+    f"""select * replace ({partial('l_returnflag')} as l_returnflag, '<redacted>' as l_extendedprice) from lineitem""",
 )
 def mask_lineitem(spark, sf):
     rules = RuleSet.of({"*.lineitem.l_returnflag": "partial", "*.*.*extended*": "redact"})
-    cols = ["l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "l_quantity"]
-    return masking.mask_table(table(spark, sf, "lineitem").select(cols), "shop", "lineitem", rules)
+    return masking.mask_table(table(spark, sf, "lineitem"), "shop", "lineitem", rules)
 
 
 @query(
@@ -149,7 +148,7 @@ LITERAL = "''[^'']*''|\\b[0-9]+\\b"
     with_sql(
         "audit",
         body=f"""
-select event_id, case when engine = 'oracle' or contains(sql, '--') then '<redacted: the statement carries credentials>'
+select event_id, case when engine = 'oracle' or contains(sql, '--') then '<redacted: may hold a secret>'
   else regexp_replace(sql, '{LITERAL}', '''<redacted>''', 'g') end as redacted_sql from audit""",
     ),
 )

@@ -78,7 +78,7 @@ def escaped(spark, sf):
     return docs.select("doc_id", F.md5(escape(text)).alias("text_md5"))
 
 
-NOTE = "cells cut: a value longer than 200 characters (max_cell_chars) or 65536 bytes ends with …]"
+NOTE = "cells shown in part, up to the … (limits: 200 characters, 65536 bytes)]"
 
 
 @query(

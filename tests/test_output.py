@@ -64,9 +64,9 @@ def test_export(spark, tmp_path):
 def test_cut_note(spark):
     df = spark.createDataFrame([("x" * 300, "y" * 300), ("a", "b")], "a string, b string")
     note = O.cut_note(O.cap_cell_chars(df, 200), 200).first()
-    assert note["cut_cells"] == 2 and note["note"].startswith("[2 cells cut: a value longer than 200 characters")
+    assert note["cut_cells"] == 2 and note["note"].startswith("[2 cells shown in part")
     one = O.cut_note(O.cap_cell_chars(df.select("a"), 200), 200).first()
-    assert one["note"].startswith("[1 cell cut:")
+    assert one["note"].startswith("[1 cell shown in part")
     assert O.cut_note(O.cap_cell_chars(df.limit(0), 200), 200).first()["note"] is None
 
 
