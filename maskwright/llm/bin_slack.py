@@ -19,6 +19,7 @@ the two named columns are read.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -29,28 +30,61 @@ from pyspark.sql import types as T
 
 from maskwright.llm.common import hold, quoted, running_sum, whole_text
 
-# Words a task remembers the ids of, and ids of words not remembered are worked out anew.
-REMEMBERED = 200_000
+# What a task remembers of words, and of the parts that the tokenizer cuts them into; others are worked out anew.
+REMEMBERED = 250_000
+# How that tokenizer cuts lowered Latin text (a fixed value; other texts it cuts itself).
+PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+# Printable ASCII and the letters of Latin-1, as UTF-8.
+LATIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+WORD_END, TOGETHER = "</w>", 512
 
 
 def _word_ids(path: str):
-    """bytes text -> little-endian ids. The tokenizer never joins across ASCII white space, so words are looked up one by one."""
+    """bytes texts -> little-endian ids.
+
+    The tokenizer never joins across ASCII white space, and marks the last
+    token of each part, so parts not seen before are encoded many at a time.
+    """
     from tokenizers import Tokenizer
 
-    tokenizer, known = Tokenizer.from_file(path), {}
+    tokenizer = Tokenizer.from_file(path)
+    known: dict[bytes, bytes] = {}
+    known_parts: dict[str, bytes] = {}
+    last = np.zeros(tokenizer.get_vocab_size(), bool)
+    last[[i for token, i in tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+
+    def one_by_one(words):
+        return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+
+    def together(parts: list[str]) -> list[bytes]:
+        out = []
+        for at in range(0, len(parts), TOGETHER):
+            group = parts[at : at + TOGETHER]
+            ids = np.array(tokenizer.encode(" ".join(group), add_special_tokens=False).ids, "<u4")
+            ends = (np.flatnonzero(last[ids]) + 1) * 4
+            if len(ends) != len(group):
+                out += one_by_one(group)
+                continue
+            raw, start = ids.tobytes(), 0
+            for end in ends.tolist():
+                out.append(raw[start:end])
+                start = end
+        return out
 
     def ids(texts: list[bytes]) -> list[bytes]:
-        nonlocal known
         cut = [t.split() for t in texts]
         new = list({w for words in cut for w in words if w not in known})
-        found = tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)
-        fresh = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(new, found)}
-        here = known
+        plain = {w: PARTS.findall(w.decode().lower()) for w in new if b"<|" not in w and LATIN.fullmatch(w)}
+        parts = list({p for found in plain.values() for p in found if p not in known_parts})
+        coded = dict(zip(parts, together(parts)))
+        if len(known_parts) + len(coded) <= REMEMBERED:
+            known_parts.update(coded)
+        fresh = {w: b"".join([known_parts[p] if p in known_parts else coded[p] for p in found]) for w, found in plain.items()}
+        odd = [w for w in new if w not in plain]
+        fresh.update(zip(odd, one_by_one([w.decode() for w in odd])))
         if len(known) + len(fresh) <= REMEMBERED:
             known.update(fresh)
-        else:
-            here = {**known, **fresh}
-        return [b"".join([here[w] for w in words]) for words in cut]
+        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in cut]
 
     return ids
 
