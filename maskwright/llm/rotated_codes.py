@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import hold, quoted
 
-BLOCK, QUERY_BLOCK, SLICE = 8192, 4096, 1024
+BLOCK, QUERY_BLOCK, SLICE = 32_768, 1024, 4096
 
 
 @lru_cache(8)
@@ -81,35 +81,36 @@ def _encode(bits: int, as_query: bool):
 
 
 def _estimate(k: int, sureness: float):
-    """Of a block of codes and a block of queries: the pairs that may be among the query's k best."""
+    """Of a block of codes and a block of queries: the pairs that may be among the query's k best. Codes are unpacked slice by slice."""
 
     def run(codes: pa.Table, queries: pa.Table) -> pa.Table:
+        kinds = {"query": pa.int64(), "cid": pa.int64(), "low": pa.float32(), "high": pa.float32()}
         n, m = codes.num_rows, queries.num_rows
-        out = {"query": pa.int64(), "cid": pa.int64(), "low": pa.float32(), "high": pa.float32()}
         if not n or not m:
-            return pa.table({c: pa.array([], t) for c, t in out.items()})
-        packed = np.frombuffer(b"".join(codes["code"].to_pylist()), np.uint8).reshape(n, -1)
-        fit = codes["fit"].to_numpy()
-        wide = packed.shape[1] * 8
-        signs = np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1
-        error = (sureness * np.sqrt(np.maximum(0, 1 - fit**2)) / (fit * np.sqrt(max(1, wide - 1)))).astype(np.float32)
-        factor = (1 / (fit * np.sqrt(wide))).astype(np.float32)
-        cids, qids = codes["cid"].to_numpy(), queries["cid"].to_numpy()
-        parts = []
-        for at in range(0, m, SLICE):
-            turned = np.frombuffer(b"".join(queries["code"].slice(at, SLICE).to_pylist()), np.float32).reshape(-1, wide)
-            guess = (turned @ signs.T) * factor
+            return pa.table({c: pa.array([], t) for c, t in kinds.items()})
+        turned = np.frombuffer(b"".join(queries["code"].to_pylist()), np.float32).reshape(m, -1)
+        wide = turned.shape[1]
+        cids, fits, qids = codes["cid"].to_numpy(), codes["fit"].to_numpy(), queries["cid"].to_numpy()
+        best, parts = np.full((m, k), -np.inf, np.float32), []
+        for at in range(0, n, SLICE):
+            packed = np.frombuffer(b"".join(codes["code"].slice(at, SLICE).to_pylist()), np.uint8).reshape(-1, wide // 8)
+            fit = fits[at : at + SLICE]
+            signs = np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1
+            error = (sureness * np.sqrt(np.maximum(0, 1 - fit**2)) / (fit * np.sqrt(max(1, wide - 1)))).astype(np.float32)
+            guess = (turned @ signs.T) / (fit * np.sqrt(wide)).astype(np.float32)
             low = guess - error
-            bar = np.partition(low, n - k, axis=1)[:, n - k] if n > k else np.full(len(low), -np.inf, np.float32)
-            q, c = np.nonzero(guess + error >= bar[:, None])
-            parts.append((qids[at + q], cids[c], low[q, c], guess[q, c] + error[c]))
-        return pa.table({name: pa.array(np.concatenate(p), t) for (name, t), p in zip(out.items(), zip(*parts))})
+            best = np.partition(np.concatenate((best, low), axis=1), -k, axis=1)[:, -k:]
+            q, c = np.nonzero(guess + error >= best.min(1)[:, None])
+            parts.append((q, cids[at + c], low[q, c], guess[q, c] + error[c]))
+        q, cid, low, high = (np.concatenate(p) for p in zip(*parts))
+        keep = high >= best.min(1)[q]
+        return pa.table({name: pa.array(x[keep], t) for (name, t), x in zip(kinds.items(), (qids[q], cid, low, high))})
 
     return run
 
 
 def nearest(
-    embeddings: DataFrame, is_query: Column, k: int = 5, bits: int = 512, sureness: float = 3.0, vector: str = "embedding", id: str = "vec_id"
+    embeddings: DataFrame, is_query: Column, k: int = 5, bits: int = 768, sureness: float = 3.0, vector: str = "embedding", id: str = "vec_id"
 ) -> DataFrame:
     """query_id, rank, vec_id, score: of each row with ``is_query`` (an expression on vec_id) its k nearest other rows."""
     rows = usable(embeddings, vector, id)
