@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,53 +158,29 @@ def leak_variants(seeds: DataFrame, seed: str = "seed") -> DataFrame:
     return seeds.select(c.alias("seed"), F.inline(forms)).distinct()
 
 
-LEAK_SCHEMA = "column string, seed string, form string"
-# The needles one pass carries to every task; more of them take more passes.
-MAX_NEEDLES = 100_000
-
-
-def _matcher(needles: list[tuple[str, str, str]]):
-    """A function from a text to the (seed, form) pairs whose needle it holds."""
-    by_needle: dict[str, list[tuple[str, str]]] = {}
-    for needle, seed, form in needles:
-        by_needle.setdefault(needle, []).append((seed, form))
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda text: {pair for n, pairs in by_needle.items() if n in text for pair in pairs}
-    trie = ahocorasick.Automaton()
-    for n, pairs in by_needle.items():
-        trie.add_word(n, pairs)
-    trie.make_automaton()
-    return lambda text: {pair for _, pairs in trie.iter(text) for pair in pairs}
+# Characters of a seeded value that cells are searched for; shorter values are searched for whole.
+LEAK_KEY = 12
 
 
 def leak_hits(df: DataFrame, seeds: DataFrame, seed: str = "seed") -> DataFrame:
-    """One row per cell and seed form found in it: column, seed, form.
+    """One row per cell and seed form found in it: column, seed, form. Case is ignored.
 
-    Each text is read once per pass, whatever the number of needles; case is
-    ignored. A set of seeds too large for one pass is split by hash.
+    Cells are cut into overlapping pieces as long as the keys of the needles,
+    pieces meet keys by equality, and only cells with a hit are searched for
+    the whole needle. Seeds and cells may both be of any number.
     """
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
-    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("cell")) for c in text])))
-    cells = cells.where("cell is not null").select("column", F.lower("cell").alias("cell"))
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lower(F.col(f"`{c}`")).alias("cell")) for c in text])))
+    cells = cells.where("cell is not null").withColumn("mark", F.xxhash64("cell"))
     needles = leak_variants(seeds, seed).select(F.lower("needle").alias("needle"), "seed", "form").where("needle <> ''")
-    passes = max(1, -(-needles.count() // MAX_NEEDLES))
-    part = F.pmod(F.xxhash64("needle"), F.lit(passes))
-    out = None
-    for i in range(passes):
-        carried = [tuple(r) for r in needles.where(part == i).collect()]
-        shared = df.sparkSession.sparkContext.broadcast(carried)
-
-        def search(batches, shared=shared):
-            find = _matcher(shared.value)
-            for pdf in batches:
-                hits = [(c, s, f) for c, t in zip(pdf["column"], pdf["cell"]) for s, f in find(t)]
-                yield pd.DataFrame(hits, columns=["column", "seed", "form"])
-
-        hits = cells.mapInPandas(search, LEAK_SCHEMA)
-        out = hits if out is None else out.unionAll(hits)
-    return out
+    needles = needles.withColumn("key", F.substring("needle", 1, LEAK_KEY))
+    # As many as the key has characters, at most.
+    lengths = sorted(r[0] for r in needles.select(F.char_length("key")).distinct().collect())
+    if not lengths:
+        return cells.select("column", F.lit("").alias("seed"), F.lit("").alias("form")).limit(0)
+    pieces = F.array_distinct(F.concat(*[F.regexp_extract_all("cell", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]))
+    met = cells.select("column", "mark", F.explode(pieces).alias("key")).join(needles, "key").select("column", "mark", "needle", "seed", "form").distinct()
+    return cells.join(met, ["column", "mark"]).where(F.contains("cell", "needle")).select("column", "seed", "form")
 
 
 def leak_scan(df: DataFrame, seeds: DataFrame, seed: str = "seed") -> DataFrame:

@@ -125,11 +125,11 @@ def test_leak_scan(spark, tmp_path):
     assert got == {("a", "reversed"), ("b", "hex"), ("a", "base64"), ("b", "plain"), ("b", "lower")}
 
 
-def test_leak_scan_in_several_passes(spark, monkeypatch):
-    from maskwright.operators import masking
-
-    seeds = spark.createDataFrame([(f"seed-value-{i:03d}",) for i in range(40)], "seed string")
-    cells = spark.createDataFrame([(f"x seed-value-{i:03d} y",) for i in range(0, 60, 3)], "t string")
-    want = {r["seed"] for r in leak_hits(cells, seeds).collect()}
-    monkeypatch.setattr(masking, "MAX_NEEDLES", 25)
-    assert {r["seed"] for r in leak_hits(cells, seeds).collect()} == want == {f"seed-value-{i:03d}" for i in range(0, 40, 3)}
+def test_leaks_of_short_long_and_repeated_values(spark):
+    seeds = spark.createDataFrame([(f"seed-value-{i:03d}",) for i in range(40)] + [("ab",), ("",), (None,), ("ééé" * 9,)], "seed string")
+    cells = [f"x seed-value-{i:03d} y" for i in range(0, 60, 3)] + ["x AB\ny", "x AB\ny", None, "", "é" * 30, "seed-value-0000"]
+    got = [(r["seed"], r["form"]) for r in leak_hits(spark.createDataFrame([(c,) for c in cells], "t string"), seeds).collect() if r["form"] == "plain"]
+    want = [(s, "plain") for c in cells if c for s in [f"seed-value-{i:03d}" for i in range(40)] + ["ab", "ééé" * 9] if s in c.lower()]
+    assert sorted(got) == sorted(want)
+
+
