@@ -1,9 +1,11 @@
 """Window functions over partitions too large for one task.
 
 Spark sorts a window partition in one task. Here the rows of a hot key are
-cut into segments along the order, each segment is ranked or added up on its
-own, and what came before a segment is added from a small table of segment
-totals. Rows that tie stay in one segment, so the results are exact.
+cut into segments along the order, as many as its own size asks for, each
+segment is ranked or added up on its own, and what came before a segment is
+added from a small table of segment totals. Rows that tie stay in one
+segment, so the results are exact. The rows of all other keys go through
+Spark's own window.
 """
 
 from __future__ import annotations
@@ -39,23 +41,21 @@ def _on_a_line(df: DataFrame, column: str) -> Column:
     return c.cast("double")
 
 
-def _segment(df: DataFrame, keys: Sequence[str], first: str, descending: bool, hot_rows: int) -> DataFrame:
-    """df with ``_seg``, which grows along the order; 0 for every row of a key that is not hot."""
-    value = _on_a_line(df, first)
-    # The hot keys and their bounds are small and used several times: each is worked out once.
-    sizes = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows))
+def _segment(hot: DataFrame, sizes: DataFrame, keys: Sequence[str], first: str, descending: bool, hot_rows: int) -> DataFrame:
+    """The rows of hot keys with ``_seg``, which grows along the order."""
+    value = _on_a_line(hot, first)
     largest = sizes.agg(F.max("_n")).first()[0]
-    if largest is None:
-        return df.withColumn("_seg", F.lit(0))
     n = max(2, min(MAX_SEGMENTS, math.ceil(largest / hot_rows)))
     # Bounds are looked up in two steps: a block of bounds, then the place in the block.
     step = math.ceil(math.sqrt(n))
     at = [i / n for i in range(1, n)]
-    hot = df.join(sizes.select(*keys), list(keys), "left_semi")
     bounds = hot.groupBy(*keys).agg(
         F.percentile_approx(value, F.array(*[F.lit(p) for p in at]), F.lit(max(10_000, 20 * n))).alias("_bounds")
     )
-    marked = df.join(cut_lineage(bounds), list(keys), "left")
+    # A smaller key takes every so many of the bounds.
+    every = F.greatest(F.lit(1), F.floor(F.lit(n) / F.ceil(F.col("_n") / hot_rows)))
+    own = F.filter("_bounds", lambda b, i: (i + 1) % every == 0)
+    marked = hot.join(bounds.join(sizes, list(keys)).withColumn("_bounds", own).drop("_n"), list(keys), "left")
     below = lambda items: F.size(F.filter(items, lambda b: b < value))
     blocks = F.transform(F.sequence(F.lit(step), F.size("_bounds"), F.lit(step)), lambda i: F.get("_bounds", i - 1))
     blocks = F.when(F.size("_bounds") >= step, blocks).otherwise(F.array().cast("array<double>"))
@@ -84,11 +84,20 @@ def hot_windows(
     sort = [F.col(c).desc() if down else F.col(c).asc() for c, down in order]
     first, descending = order[0]
     inside = Window.partitionBy(*keys, "_seg").orderBy(*sort)
-    local = _segment(df, keys, first, descending, hot_rows).withColumn("_rn", F.row_number().over(inside))
+    # Null keys are never among the hot ones: no equality finds them.
+    sizes = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows))
+    usual = Window.partitionBy(*keys).orderBy(*sort)
+    plain = [_plain(fn, arg, usual).alias(n) for n, (fn, arg) in functions.items()]
+    if sizes.isEmpty():
+        _on_a_line(df, first)  # a wrong order column fails whatever the data
+        return df.select(*df.columns, *plain)
+    hot = df.join(sizes.select(*keys), list(keys), "left_semi")
+    cold = df.join(sizes.select(*keys), list(keys), "left_anti").select(*df.columns, *plain)
+    local = _segment(hot, sizes, keys, first, descending, hot_rows).withColumn("_rn", F.row_number().over(inside))
     for i, (fn, arg) in enumerate(functions.values()):
         if fn not in ("row_number", "ntile"):
             local = local.withColumn(f"_x{i}", _inside(fn, arg, inside))
-    # The rows are read twice from here on, and by whatever follows.
+    # The rows of hot keys are read twice from here on, and by whatever follows.
     local = cut_lineage(local)
     totals = [_total(fn, arg, f"_x{i}").alias(f"_t{i}") for i, (fn, arg) in enumerate(functions.values())]
     parts = local.groupBy(*keys, "_seg").agg(F.count(F.lit(1)).alias("_rows"), *totals)
@@ -109,7 +118,15 @@ def hot_windows(
     for i, k in enumerate(keys):
         same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     out = [_whole(fn, arg, i).alias(n) for i, (n, (fn, arg)) in enumerate(functions.items())]
-    return local.join(parts, same).select(*df.columns, *out)
+    ranked = local.join(parts, same).select(*df.columns, *out)
+    return ranked.select(*[F.col(f"`{f.name}`").cast(f.dataType) for f in cold.schema]).unionByName(cold)
+
+
+def _plain(fn: str, arg: str | int | None, w) -> Column:
+    """The function by Spark's own window."""
+    if fn in RANKS:
+        return F.call_function(fn, *([F.lit(int(arg))] if fn == "ntile" else [])).over(w)
+    return F.call_function(fn, _value(arg)).over(w.rowsBetween(Window.unboundedPreceding, 0))
 
 
 def _value(arg: str | int | None) -> Column:

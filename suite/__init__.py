@@ -30,4 +30,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Register every query."""
-    from suite import detection, discovery, governed, logs, masking, output, policy, scalars, streams  # noqa: F401
+    from suite import composed, detection, discovery, governed, logs, masking, output, policy, scalars, streams  # noqa: F401
