@@ -28,9 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.common import hold, quoted, running_sum, whole_text
+from maskwright.llm.common import hold, quoted, remembered, running_sum, whole_text
 
-# What a task remembers of words, and of the parts that the tokenizer cuts them into; others are worked out anew.
+# What a Python worker remembers of words, and of the parts that the tokenizer cuts them into; others are worked out anew.
 REMEMBERED = 250_000
 # How that tokenizer cuts lowered Latin text (a fixed value; other texts it cuts itself).
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, end = _word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
+        ids, end = remembered(("word ids", tokenizer), lambda: _word_ids(tokenizer)), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

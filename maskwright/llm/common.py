@@ -39,6 +39,17 @@ def hold(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remembered(key, make):
+    """make(), once in a Python worker: functions travel by value and would start anew in each task."""
+    import sys
+    import types
+
+    kept = sys.modules.setdefault("_maskwright_worker", types.ModuleType("_maskwright_worker")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def running_sum(df: DataFrame, by: str, order: list[str], value: Column, name: str, bucket_rows: int = 4096) -> DataFrame:
     """Adds the sum of value over the rows of the same ``by`` that come before, in an order shuffled by ``order``.
 
