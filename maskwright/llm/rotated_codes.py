@@ -110,7 +110,7 @@ def _estimate(k: int, sureness: float):
 
 
 def nearest(
-    embeddings: DataFrame, is_query: Column, k: int = 5, bits: int = 768, sureness: float = 3.0, vector: str = "embedding", id: str = "vec_id"
+    embeddings: DataFrame, is_query: Column, k: int = 5, bits: int = 1024, sureness: float = 2.5, vector: str = "embedding", id: str = "vec_id"
 ) -> DataFrame:
     """query_id, rank, vec_id, score: of each row with ``is_query`` (an expression on vec_id) its k nearest other rows."""
     rows = usable(embeddings, vector, id)
