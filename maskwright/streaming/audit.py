@@ -252,7 +252,9 @@ GRANT_SCHEMA = "grant_id string, statements bigint, rows bigint, bytes bigint, e
 class GrantProcessor(StatefulProcessor):
     """The budget of a grant: charged run by run, ended by time, idleness or its budget.
 
-    A grant covers a bounded number of statements, so its runs are few.
+    A grant covers a bounded number of statements, so its runs are few. An
+    ended grant is remembered until the watermark passes its expiry, and is
+    then forgotten: a first run that comes later still says nothing.
     """
 
     def __init__(self, idle: int, min_bytes: int):
@@ -274,6 +276,8 @@ class GrantProcessor(StatefulProcessor):
             return
         state, out = self.state.get(), []
         s = list(state) if state else None
+        if s is None and timerValues.getCurrentWatermarkInMs() >= int(first[7]) * 1000:
+            return
         # No more runs than statements left can be charged, and the next one ends the grant.
         most = (s[3] if s else int(first[4])) + 1
         for at, _, n_rows, n_bytes, ms, mr, mb, expires in heapq.nsmallest(most, chain([first], runs)):
@@ -297,8 +301,7 @@ class GrantProcessor(StatefulProcessor):
         self.state.update(tuple(s))
         for t in self.handle.listTimers():
             self.handle.deleteTimer(t)
-        if not s[8]:
-            self.handle.registerTimer(min(s[6], s[7] + self.idle) * 1000)
+        self.handle.registerTimer((s[6] if s[8] else min(s[6], s[7] + self.idle)) * 1000)
         yield pd.DataFrame(out, columns=["grant_id", "statements", "rows", "bytes", "end_reason"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -306,6 +309,10 @@ class GrantProcessor(StatefulProcessor):
         if state and not state[8]:
             out.append(self._end(key, state, "expired" if state[6] <= state[7] + self.idle else "idle"))
             self.state.update((*state[:8], True))
+        if state and expiredTimerInfo.getExpiryTimeInMs() >= state[6] * 1000:
+            self.state.clear()
+        elif state:
+            self.handle.registerTimer(state[6] * 1000)
         yield pd.DataFrame(out, columns=["grant_id", "statements", "rows", "bytes", "end_reason"])
 
     def close(self) -> None:
