@@ -40,13 +40,21 @@ def grant_coverage(plans: DataFrame, grants: DataFrame, bucket_seconds: int = 36
     """plans with ``grant_id``: the grant a plan may run under, or null when it must ask.
 
     plans: plan_id, agent, db, ts, relations, class, unmask, warnings, k_checks,
-    verdict, est_rows. grants: grant_id, agent, db, tables, start, expires,
-    statements, rows, bytes (what is left). A grant is looked up by agent,
-    database and the hours it is active in: a plan meets only the grants of
-    its hour, and those are human decisions, as few as the ticket limit allows.
+    verdict, est_rows, and if known pii_filter (a masked column is compared),
+    hidden (the estimate is not shown) and steers (on a column that only the
+    detectors protect). grants: grant_id, agent, db, tables, start, expires,
+    statements, rows, bytes (what is left).
+
+    A grant lies in at most two time buckets as wide as its lifetime, rounded
+    up to a power of two; a plan looks in one bucket for each width there is.
     """
-    hour = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / bucket_seconds)
-    active = grants.select(
+    second = lambda c: F.unix_seconds(c.cast("timestamp"))
+    spans = grants.withColumn("_span", F.greatest(second(F.col("expires")) - second(F.col("start")), F.lit(1)))
+    spans = spans.withColumn("_level", F.greatest(F.ceil(F.log2(F.col("_span") / bucket_seconds)), F.lit(0)).cast("int"))
+    # A lifetime in seconds fits 63 widths.
+    levels = sorted(r[0] for r in spans.select("_level").distinct().collect())
+    bucket = lambda c, level: F.floor(second(c) / (F.pow(F.lit(2.0), level) * bucket_seconds))
+    active = spans.select(
         "grant_id",
         "agent",
         "db",
@@ -56,8 +64,9 @@ def grant_coverage(plans: DataFrame, grants: DataFrame, bucket_seconds: int = 36
         F.col("statements").alias("_statements"),
         F.col("rows").alias("_rows"),
         F.col("bytes").alias("_bytes"),
-        F.explode(F.sequence(hour(F.col("start")), hour(F.col("expires")))).alias("_hour"),
-    )
+        "_level",
+        F.explode(F.sequence(bucket(F.col("start"), F.col("_level")), bucket(F.col("expires"), F.col("_level")))).alias("_bucket"),
+    ).where("_expires > _start")
     grantable = (
         (F.col("class") == "read")
         & ~F.col("unmask")
@@ -66,10 +75,14 @@ def grant_coverage(plans: DataFrame, grants: DataFrame, bucket_seconds: int = 36
         & (F.col("verdict") != "REFUSE")
         & (F.size("relations") > 0)
     )
+    for flag in ("pii_filter", "hidden", "steers"):
+        if flag in plans.columns:
+            grantable = grantable & ~F.coalesce(F.col(flag), F.lit(False))
     candidates = (
         plans.where(grantable)
-        .select("plan_id", "agent", "db", "ts", "relations", "est_rows", hour(F.col("ts")).alias("_hour"))
-        .join(active, ["agent", "db", "_hour"])
+        .select("plan_id", "agent", "db", "ts", "relations", "est_rows", F.explode(F.array(*[F.lit(x) for x in levels]).cast("array<int>")).alias("_level"))
+        .withColumn("_bucket", bucket(F.col("ts"), F.col("_level")))
+        .join(active, ["agent", "db", "_level", "_bucket"])
         .where((F.col("ts") >= F.col("_start")) & (F.col("ts") < F.col("_expires")))
         .where(F.size(F.array_except("relations", "tables")) == 0)
     )

@@ -204,15 +204,16 @@ select concat('q', event_id) as plan_id, concat('agent', user_id) as agent, conc
   {pick(['app.users', 'app.orders', 'app.users;app.orders', 'app.notes'], 'event_id')} as relations_text,
   {pick(['read', 'read', 'read', 'write'], 'event_id')} as class, event_id % 6 = 0 as unmask,
   cast(case when event_id % 10 = 0 then 1 else 0 end as int) as warnings, cast(case when event_id % 14 = 0 then 1 else 0 end as int) as k_checks,
-  {pick(['OK', 'WARN', 'OK', 'REFUSE', 'OK'], 'event_id')} as verdict, cast(event_id % 300 as bigint) as est_rows
+  {pick(['OK', 'WARN', 'OK', 'REFUSE', 'OK'], 'event_id')} as verdict, cast(event_id % 300 as bigint) as est_rows,
+  event_id % 22 = 3 as pii_filter, event_id % 26 = 5 as hidden, event_id % 9 = 2 as steers
 from {{events}} where event_type <> 'signup'
 """
 
-# The runs of a grant: the next events of its agent, by number.
+# The runs of a grant: what its agent does, but for signing up, until the next grant. Numbers go by time.
 RUNS = """
-select concat('r', r.event_id) as run_id, concat('g', g.event_id) as grant_id, r.ts as ts,
-  cast(r.event_id % 60 as bigint) as "rows", cast((r.event_id * 13) % 4000 as bigint) as bytes
-from {events} r join {events} g on r.user_id = g.user_id and g.event_type = 'signup' and r.event_type = 'purchase' and r.ts >= g.ts
+select concat('r', event_id) as run_id, concat('g', latest) as grant_id, ts, cast(event_id % 60 as bigint) as "rows", cast((event_id * 13) % 4000 as bigint) as bytes
+from (select *, max(case when event_type = 'signup' then event_id end) over (partition by user_id order by event_id rows between unbounded preceding and current row) as latest from {events}) e
+where event_type <> 'signup' and latest is not null
 """
 
 NEEDS = {

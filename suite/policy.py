@@ -248,7 +248,7 @@ GRANTED = """
 , c as (select p.plan_id, g.grant_id, g.statements >= 1 and g."rows" >= 1 and g.bytes >= 512 and p.est_rows <= g."rows" as ok,
     row_number() over (partition by p.plan_id order by g.start, g.grant_id) as rn
   from plans p join grants g on p.agent = g.agent and p.db = g.db and p.ts >= g.start and p.ts < g.expires
-  where p.class = 'read' and not p.unmask and p.warnings = 0 and p.k_checks = 0 and p.verdict <> 'REFUSE'
+  where p.class = 'read' and not p.unmask and p.warnings = 0 and p.k_checks = 0 and p.verdict <> 'REFUSE' and not p.pii_filter and not p.hidden and not p.steers
     and list_has_all(string_split(g.tables_text, ';'), string_split(p.relations_text, ';')))
 select p.plan_id, c.grant_id from plans p left join c on c.plan_id = p.plan_id and c.rn = 1 and c.ok"""
 
