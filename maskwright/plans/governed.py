@@ -376,6 +376,29 @@ class Governed:
             raise Refused("E_COST", f"neither side of the product is within the {max_rows} rows asked for")
         return Governed(a._df.crossJoin(b._df), provs, trail)
 
+    def band_join(self, other: Governed, left: str, right: str, low: float, high: float) -> Governed:
+        """Pairs with low <= left - right <= high, over unmasked numbers.
+
+        The number line is cut into buckets as wide as the band: a right value
+        reaches two or three of them, and the pairs meet by equality there.
+        """
+        l, r = self._name(left), other._name(right)
+        if low > high:
+            raise Refused("E_INVALID_SQL", "a band goes from its low end to its high end")
+        a, b, trail = self._joinable(other, [])
+        clash = {fold(c) for c in a._prov} & {fold(c) for c in b._prov}
+        if clash:
+            raise Refused("E_UNKNOWN_NAME", f"ambiguous columns {', '.join(sorted(clash)).lower()[:80]}: use prefix or rename")
+        p = mixed([a._prov[l], b._prov[r]])
+        if p.sensitive:
+            raise Refused("E_MASKED_FILTER", f"{p.names()} is masked: a distance to it would tell its value")
+        provs = {**a._prov, **b._prov}
+        trail = Governed(a._df, provs, trail)._touch("join", a._prov[l], b._prov[r])
+        x, y, width = F.col(f"`{l}`"), F.col(f"`{r}`"), max(high - low, 1)
+        reached = b._df.withColumn("_at", F.explode(F.sequence(F.floor((y + low) / width), F.floor((y + high) / width))))
+        met = a._df.withColumn("_at", F.floor(x / width)).join(reached, "_at").where((x - y).between(low, high))
+        return Governed(met.select(*[F.col(f"`{c}`") for c in provs]), provs, trail)
+
     def semi_join(self, other: Governed, on) -> Governed:
         """Rows with a match: IN (subquery), = ANY, EXISTS."""
         pairs = self._pairs(other, on)

@@ -156,6 +156,12 @@ def theta(spark, sf):
     return g.select("c_custkey", "n_nationkey").result()
 
 
+@query("e9_band_join", "select s_suppkey, p_partkey from supplier join part on p_partkey - s_suppkey between -1 and 2")
+def band(spark, sf):
+    parts, suppliers = shop(spark, sf, "part").select("p_partkey"), shop(spark, sf, "supplier").select("s_suppkey")
+    return parts.band_join(suppliers, "p_partkey", "s_suppkey", -1, 2).select("s_suppkey", "p_partkey").result()
+
+
 @query("e10_semi_join", f"select c_custkey, {NAME} as c_name from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)")
 def semi(spark, sf):
     big = shop(spark, sf, "orders").filter("o_totalprice > 300000")

@@ -94,3 +94,9 @@ def test_spread_leaves_split_tables_alone(spark):
 def test_group_by_of_masked_keys_checks_with_one_more_aggregate(spark, customer):
     g = governed(customer, "shop", "customer", SHOP).group_by("c_name").agg(agg("count", alias="n"))
     assert "_k" not in plan(g.result()) and len(g.k_checks()) == 1
+
+
+def test_a_band_join_has_no_nested_loop(spark):
+    o = governed(table(spark, SF, "orders"), "shop", "orders", SHOP)
+    got = o.band_join(governed(table(spark, SF, "part"), "shop", "part", SHOP), "o_custkey", "p_size", 0, 2)
+    assert "NestedLoop" not in plan(got.result()) and "Cartesian" not in plan(got.result())
