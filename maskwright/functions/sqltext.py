@@ -250,16 +250,20 @@ def normalised(toks: Column, dialect: Column) -> Column:
     return per_dialect(dialect, lambda d: F.array_join(F.transform(toks, lambda t: _plain(t, d)), " "))
 
 
-MAX_DEPTH = 256
-
-
 def top_level(norm: Column) -> Column:
     """The normalised form with every parenthesised group folded into one mark.
 
-    Each pass folds the innermost groups; a parenthesis left over is unbalanced.
+    Each pass folds the innermost groups, so there are as many as the nesting
+    is deep; a parenthesis left over is unbalanced.
     """
-    opens = F.char_length(F.regexp_replace(norm, r"[^(]", ""))
-    passes = F.when(opens > 0, F.sequence(F.lit(1), F.least(opens, F.lit(MAX_DEPTH)))).otherwise(F.array().cast("array<int>"))
+
+    def deeper(a: Column, c: Column) -> Column:
+        now = F.when(c == "(", a["now"] + 1).when(c == ")", F.greatest(a["now"] - 1, F.lit(0))).otherwise(a["now"])
+        return F.struct(now.alias("now"), F.greatest(a["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    depth = F.aggregate(F.split(F.regexp_replace(norm, "[^()]", ""), ""), start, deeper, lambda a: a["most"])
+    passes = let(depth, lambda d: F.when(d > 0, F.sequence(F.lit(1), d)).otherwise(F.array().cast("array<int>")))
     return F.aggregate(passes, norm, lambda text, _: F.regexp_replace(text, r"\([^()]*\)", FOLDED))
 
 
