@@ -201,9 +201,10 @@ def near_links(
     Jaccard similarity of the shingle sets reaches ``similarity``.
 
     In a set of up to ``few`` documents that meet, all pairs are checked; in a
-    larger one each document is checked against the first and the one before
-    it, in an order that differs from sample to sample. Rows stay in
-    proportion to documents.
+    larger one each document is checked against the centre, which is the one
+    that meets most others over all samples (copies resemble their original
+    more than one another), and against the three before it, in an order that
+    differs from sample to sample. Rows stay in proportion to documents.
     """
     base = hold(sample_fingerprints(docs, words, samples, size, text, id), "samples")
     # Of repeated rows one is enough.
@@ -213,17 +214,18 @@ def near_links(
     # Most fingerprints are alone: they need no further step.
     used = shared.join(roots, "fp", "left").where("rows > 1 or root is not null").select("fp", F.coalesce("root", "fp").alias("bucket"))
     members = hold(of.join(used, "fp").select("bucket", "t", "key", "n"), "members")
-    sizes = members.groupBy("bucket", "t").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("t", "key"), "key", "n")).alias("first"))
-    dealt = members.join(sizes.where("size > 1"), ["bucket", "t"])
+    sizes = members.groupBy("bucket", "t").agg(F.count("*").alias("size"))
+    dealt = hold(members.join(sizes.where("size > 1"), ["bucket", "t"]), "dealt")
     alike = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n)  # noqa: E731  else the sets cannot be alike enough
     small = dealt.where(F.col("size") <= few).groupBy("bucket", "t").agg(F.collect_list(F.struct("key", "n")).alias("all"))
     small = small.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: y["key"] > F.col("x.key"))).alias("y"))
     large = dealt.where(F.col("size") > few)
-    star = large.select(F.struct("first.key", "first.n").alias("x"), F.struct("key", "n").alias("y"))
+    met = large.groupBy("key").agg(F.sum("size").alias("met"))
+    centres = large.join(met, "key").groupBy("bucket", "t").agg(F.max(F.struct("met", F.xxhash64("key"), "key", "n")).alias("centre"))
+    star = large.join(centres, ["bucket", "t"]).select(F.struct("centre.key", "centre.n").alias("x"), F.struct("key", "n").alias("y"))
     # The one before: within a slice of the order of about 64, so that no task holds a large set.
     slices = large.withColumn("order", F.xxhash64("t", "key")).withColumn("slice", F.pmod(F.shiftright("order", 20), F.ceil(F.col("size") / 64)))
-    spans = _one_before(slices)
-    chain = spans.where("before is not null").select(F.col("before").alias("x"), F.struct("key", "n").alias("y"))
+    chain = _before(slices).select("x", F.struct("key", "n").alias("y"))
     pairs = small.unionByName(star).unionByName(chain).where(alike(F.col("x.n"), F.col("y.n")))
     pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).where("a <> b").distinct()
     texts = docs.select(document_key(text, id).alias("key"), whole_text(text).alias("text"))
@@ -236,8 +238,11 @@ def near_links(
     return base.select("key", "doc_id"), scored
 
 
-def _one_before(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("before", F.lag(F.struct("key", "n")).over(Window.partitionBy("bucket", "t", "slice").orderBy("order", "key")))
+def _before(rows: DataFrame, reach: int = 3) -> DataFrame:
+    """rows with each of the ``reach`` ones before them as x."""
+    window = Window.partitionBy("bucket", "t", "slice").orderBy("order", "key")
+    near = F.array(*[F.lag(F.struct("key", "n"), i).over(window) for i in range(1, reach + 1)])
+    return rows.withColumn("near", F.array_compact(near)).withColumn("x", F.explode("near"))
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id") -> DataFrame:
