@@ -315,3 +315,32 @@ def rowbound(spark, sf):
     )
     approvals = audit.select(F.col("event_id").alias("plan_id"), (F.col("event_id") % 50).alias("max_affected"))
     return governance.rowbound_violations(runs, approvals).select("event_id", "affected", "max_affected")
+
+
+# ---- limits and detectors of two policies ----
+
+LIMITS_BEFORE = "select case p_partkey when 1 then 'k_anonymity' when 2 then 'ticket_window' else concat('limit', p_partkey) end as name, cast(p_size as bigint) as value from {part} where p_partkey % 7 <> 6"
+LIMITS_AFTER = "select case p_partkey when 1 then 'k_anonymity' when 2 then 'ticket_window' else concat('limit', p_partkey) end as name, cast(case when p_partkey % 3 = 0 then p_size else (p_size * 7) % 11 end as bigint) as value from {part} where p_partkey % 11 <> 9"
+
+
+@query(
+    "h16_limits_diff",
+    f"""with b as ({LIMITS_BEFORE.replace('{part}', 'part')}), a as ({LIMITS_AFTER.replace('{part}', 'part')})
+select coalesce(b.name, a.name) as name, b.value as old, a.value as new,
+  coalesce(case when coalesce(b.name, a.name) in ('k_anonymity', 'ticket_window') then a.value < b.value else b.value <> 0 and (a.value = 0 or a.value > b.value) end, true) as loosens
+from b full join a on a.name = b.name where a.value is distinct from b.value""",
+)
+def limits(spark, sf):
+    part = table(spark, sf, "part")
+    return rules.limits_diff(spark.sql(LIMITS_BEFORE, part=part), spark.sql(LIMITS_AFTER, part=part)).select("name", "old", "new", "loosens")
+
+
+@query(
+    "h16_detectors_diff",
+    """with b as (select distinct p_brand || p_size as detector from part where p_partkey % 3 > 0), a as (select distinct p_brand || p_size as detector from part where p_partkey % 4 > 0)
+select coalesce(b.detector, a.detector) as detector, a.detector is null as loosens from b full join a on a.detector = b.detector where a.detector is null or b.detector is null""",
+)
+def detectors(spark, sf):
+    part = table(spark, sf, "part")
+    named = lambda rest: part.where(rest).select(F.concat("p_brand", F.col("p_size").cast("string")).alias("detector")).distinct()
+    return rules.detectors_diff(named("p_partkey % 3 > 0"), named("p_partkey % 4 > 0"))

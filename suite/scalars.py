@@ -223,3 +223,41 @@ MATCHES = {
     "m_not": ("p_name not like '%e%'", "p_name not like '%e%'"),
 }
 _family("j8_patterns", MATCHES, "part", ["p_partkey"], lambda spark, sf: shop(spark, sf, "part"))
+
+
+# More names of the same families.
+STRINGS_MORE = {
+    "s_position": ("position('e' in p_name)", "cast(instr(p_name, 'e') as int)"),
+    "s_ltrim": ("ltrim(concat('  ', p_name))", "p_name"),
+    "s_rtrim": ("rtrim(concat(p_name, '  '))", "p_name"),
+    "s_lcase": ("lcase(p_type)", "lower(p_type)"),
+    "s_ucase": ("ucase(p_name)", "upper(p_name)"),
+    "s_chars": ("char_length(p_name)", "cast(length(p_name) as int)"),
+    "s_character": ("character_length(p_brand)", "cast(length(p_brand) as int)"),
+    "s_char": ("char(97 + p_size % 26)", "chr(97 + p_size % 26)"),
+}
+NUMBERS_MORE = {
+    "n_tan": ("round(tan(p_size), 6)", "round(tan(p_size), 6)"),
+    "n_asin": ("round(asin(p_size / 100D), 6)", "round(asin(p_size / 100.0), 6)"),
+    "n_acos": ("round(acos(p_size / 100D), 6)", "round(acos(p_size / 100.0), 6)"),
+    "n_atan": ("round(atan(p_size), 6)", "round(atan(p_size), 6)"),
+    "n_cot": ("round(cot(p_size), 6)", "round(cot(p_size), 6)"),
+    "n_log": ("round(log(p_size), 6)", "round(ln(p_size), 6)"),
+    "n_log_base": ("round(log(2, p_size), 6)", "round(ln(p_size) / ln(2), 6)"),
+    "n_pow": ("pow(p_size, 2)", "pow(p_size, 2)"),
+}
+DATES_MORE = {
+    "d_hour": ("hour(o_orderdate)", "cast(hour(o_orderdate) as int)"),
+    "d_minute": ("minute(o_orderdate)", "cast(minute(o_orderdate) as int)"),
+    "d_second": ("second(o_orderdate)", "cast(second(o_orderdate) as int)"),
+    "d_sub": ("cast(date_sub(cast(o_orderdate as date), 5) as string)", "cast(cast(o_orderdate as date) - 5 as varchar)"),
+    "d_add": ("date_format(timestampadd(DAY, 3, o_orderdate), 'yyyy-MM-dd HH:mm')", "strftime(o_orderdate + interval 3 day, '%Y-%m-%d %H:%M')"),
+    "d_part": ("cast(date_part('doy', o_orderdate) as int)", "cast(date_part('doy', o_orderdate) as int)"),
+    "d_unix": ("unix_timestamp(cast(o_orderdate as timestamp))", "cast(epoch(o_orderdate) as bigint)"),
+    "d_from": ("from_unixtime(o_orderkey * 3600)", "strftime(make_timestamp(o_orderkey * 3600000000), '%Y-%m-%d %H:%M:%S')"),
+    "d_to": ("cast(to_date(concat('2024-', lpad(o_orderkey % 12 + 1, 2, '0'), '-07')) as string)", "concat('2024-', lpad(cast(o_orderkey % 12 + 1 as varchar), 2, '0'), '-07')"),
+    "d_make": ("date_format(make_timestamp(2024, cast(o_orderkey % 12 + 1 as int), 3, 4, 5, 6), 'yyyy-MM-dd HH:mm:ss')", "strftime(make_timestamp(2024, o_orderkey % 12 + 1, 3, 4, 5, 6), '%Y-%m-%d %H:%M:%S')"),
+}
+_family("j1_strings_more", STRINGS_MORE, "part", ["p_partkey"], lambda spark, sf: shop(spark, sf, "part"))
+_family("j3_numbers_more", NUMBERS_MORE, "part", ["p_partkey"], lambda spark, sf: shop(spark, sf, "part"))
+_family("j4_dates_more", DATES_MORE, "orders", ["o_orderkey"], lambda spark, sf: shop(spark, sf, "orders").select("o_orderkey", "o_orderdate"))
