@@ -24,10 +24,12 @@ result. Only the two named columns are read, so others cannot clash.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,20 +133,7 @@ def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, text: str =
 
 # --- near copies of whole documents -------------------------------------------------------------
 
-
-def _samples(hashes: np.ndarray, count: int, size: int) -> list[int]:
-    """SimHash of ``size`` minwise sampled shingles, for ``count`` independent orders of the shingles."""
-    out, size = [], min(size, len(hashes))
-    rng = np.random.default_rng(SEED)
-    odd, shift = rng.integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, count, np.uint64)
-    for t in range(count):
-        with np.errstate(over="ignore"):
-            order = (hashes ^ shift[t]) * odd[t]
-            order ^= order >> np.uint64(32)
-            order *= odd[t]
-        least = np.argpartition(order, size - 1)[:size] if size else []
-        out.append(simhash(hashes[least]) if size else 0)
-    return out
+SAMPLE, HOT, WIDTH, BLOCK = 1 << 22, 1 << 18, 512, 1024
 
 
 def document_key(text: str = "text", id: str = "doc_id"):
@@ -152,22 +141,82 @@ def document_key(text: str = "text", id: str = "doc_id"):
     return F.concat_ws(":", F.coalesce(F.col(quoted(id)).cast("string"), F.lit("")), F.hex(F.xxhash64(ascii_lower(whole_text(text)))))
 
 
-def sample_fingerprints(docs: DataFrame, words: int, samples: int, size: int, text: str, id: str) -> DataFrame:
-    """(key, doc_id, n distinct shingles, t, fp): ``samples`` rows per document with words."""
+def _sets(batch, words: int) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column("text")]
+
+
+def hot_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles in order, their counts): those that come most often in a sample of documents, at most HOT."""
 
     def run(batches):
         for batch in batches:
-            hashes = [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column("text")]
-            fps = [_samples(h, samples, size) if len(h) else [] for h in hashes]
-            columns = [batch.column("key"), batch.column("doc_id"), pa.array([len(h) for h in hashes], pa.int64()), pa.array(fps, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "n", "fps"])
-
+            for part in _sets(batch, words):
+                yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64))], ["shingle"])
+
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    one_in = max(1, size // (6 * SAMPLE))
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text")
+    counts = hold(sample.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 3"), "hot-shingles")
+    level = F.floor(F.log2("count") * 4)
+    least, taken = None, 0
+    for r in counts.groupBy(level.alias("level")).agg(F.count("*").alias("n"), F.min("count").alias("least")).orderBy(F.desc("level")).collect():
+        if taken + r["n"] > HOT:
+            break
+        taken, least = taken + r["n"], r["least"]
+    found = counts.where(F.col("count") >= (least if least is not None else 1 << 62)).toArrow()
+    shingles = found["shingle"].to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], found["count"].to_numpy()[order]
+
+
+def prefixes(docs: DataFrame, words: int, similarity: float, text: str, id: str) -> DataFrame:
+    """(key, doc_id, n distinct shingles, bits, prefix): one row per document.
+
+    The prefix are the first n - ceil(similarity * n) + 1 shingles in an order
+    that is the same for all documents (by hash, the hot ones last, the hottest
+    at the end): two sets as alike as ``similarity`` share one of them. The bits
+    are the parities of the shingles over as many classes as there are shingles
+    (a power of two, WIDTH at least), folded to compare sets of unequal sizes;
+    two sets differ in at least as many shingles as their bits do.
+    """
     read = docs.select(document_key(text, id).alias("key"), F.col(quoted(id)).alias("doc_id"), whole_text(text).alias("text"))
+    sent = docs.sparkSession.sparkContext.broadcast(hot_shingles(read, words))
+
+    def prefix(part, hot, counts):
+        if not len(part):
+            return part
+        most = len(part) - math.ceil(similarity * len(part) - 1e-9) + 1
+        if len(hot):
+            at = np.minimum(np.searchsorted(hot, part), len(hot) - 1)
+            part = part[np.argsort(np.where(hot[at] == part, counts[at], 0), kind="stable")]
+        return part[:most]
+
+    def bits(part):
+        width = max(WIDTH, 1 << (len(part) - 1).bit_length()) if len(part) else WIDTH
+        odd = np.bincount((part >> np.uint64(32)).astype(np.int64) % width, minlength=width) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+    def run(batches):
+        hot, counts = sent.value
+        for batch in batches:
+            sets = _sets(batch, words)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("key"),
+                    batch.column("doc_id"),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    pa.array([bits(x) for x in sets], pa.binary()),
+                    pa.array([prefix(x, hot, counts).view(np.int64) for x in sets], pa.list_(pa.int64())),
+                ],
+                ["key", "doc_id", "n", "bits", "prefix"],
+            )
+
     kind = T.StructType([
         T.StructField("key", T.StringType()),
         T.StructField("doc_id", read.schema["doc_id"].dataType),
         T.StructField("n", T.LongType()),
-        T.StructField("fps", T.ArrayType(T.LongType())),
+        T.StructField("bits", T.BinaryType()),
+        T.StructField("prefix", T.ArrayType(T.LongType())),
     ])
     return read.mapInArrow(run, kind)
 
@@ -182,67 +231,135 @@ def _jaccard(words: int):
                 right = np.unique(shingle_hashes(b.as_py(), words))
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 out.append(both / max(1, len(left) + len(right) - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(out, pa.float64())], ["a", "b", "jaccard"])
+            kept = ["row_a", "row_b", "a", "b"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(out, pa.float64())], [*kept, "jaccard"])
+
+    return run
+
+
+def _unlike(similarity: float) -> float:
+    """Of two sets as alike as ``similarity``, the part of both sizes in which they differ at most."""
+    return (1 - similarity) / (1 + similarity)
+
+
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    """The bits of a set at a smaller width of ``size`` bytes."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, "<u8").reshape(-1, size // 8), axis=0)
+
+
+def _across(similarity: float):
+    """Pairs of a block that are in different groups and that sizes and bits do not rule out."""
+
+    def run(block):
+        out = [np.empty((2, 0), np.int64)]
+        bits = block.column("bits").to_pylist()
+        sizes = np.array([len(x) for x in bits])
+        columns = [block.column(k).to_numpy() for k in ("row", "root", "n", "side")]
+        one = (columns[3] == columns[3][0]).all()
+        # Sets that can be alike have widths that are equal or next to each other.
+        for size in np.unique(sizes).tolist():
+            of = np.flatnonzero((sizes == size) | (sizes == 2 * size))
+            row, root, n, side = (c[of] for c in columns)
+            least, folded = sizes[of] == size, np.stack([_folded(bits[i], size) for i in of])
+            for at in range(0, len(of), 64):
+                part = slice(at, at + 64)
+                fits = (root[part, None] != root) & (row[part, None] < row) & (least[part, None] | least)
+                fits &= np.minimum(n[part, None], n) >= similarity * np.maximum(n[part, None], n) - 1e-9
+                if not one:
+                    fits &= side[part, None] != side
+                left, right = np.nonzero(fits)
+                left += at
+                step = max(1, (1 << 24) // size)
+                for i, j in ((left[k : k + step], right[k : k + step]) for k in range(0, len(left), step)):
+                    apart = np.bitwise_count(folded[i] ^ folded[j]).sum(1, dtype=np.int64)
+                    near = apart <= _unlike(similarity) * (n[i] + n[j]) + 1e-9
+                    out.append(np.stack((row[i[near]], row[j[near]])))
+        a, b = np.concatenate(out, axis=1)
+        return pa.table({"a": a, "b": b})
+
+    return run
+
+
+def _near_bits(similarity: float):
+    """Pairs whose bits do not rule them out."""
+
+    def run(batches):
+        for batch in batches:
+            sizes = zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), batch.column("n").to_pylist())
+            kept = []
+            for x, y, n in sizes:
+                size = min(len(x), len(y))
+                apart = int(np.bitwise_count(_folded(x, size) ^ _folded(y, size)).sum(dtype=np.int64))
+                kept.append(apart <= _unlike(similarity) * n + 1e-9)
+            yield batch.filter(pa.array(kept, pa.bool_())).select(["row_a", "row_b", "a", "b"])
 
     return run
 
 
 def near_links(
-    docs: DataFrame, words: int = 5, similarity: float = 0.8, samples: int = 10, size: int = 4, few: int = 8, text: str = "text", id: str = "doc_id"
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, few: int = 8, text: str = "text", id: str = "doc_id"
 ) -> tuple[DataFrame, DataFrame]:
     """(documents: key, doc_id), (links: a, b, jaccard), of documents alike by their word shingles.
 
-    At a similarity of 0.8, whole-document fingerprints differ in some 10 of
-    64 bits, which no index prunes. So each document has ``samples``
-    fingerprints, each of ``size`` minwise sampled shingles: two documents
-    have the same one with probability similarity ** size, and a pair at 0.8
-    is missed in all ten with probability 0.005, one at 0.9 hardly ever. Fingerprints meet by
-    ``links`` (at two bits or fewer), and a link stands only if the exact
-    Jaccard similarity of the shingle sets reaches ``similarity``.
-
-    In a set of up to ``few`` documents that meet, all pairs are checked; in a
-    larger one each document is checked against the centre, which is the one
-    that meets most others over all samples (copies resemble their original
-    more than one another), and against the three before it, in an order that
-    differs from sample to sample. Rows stay in proportion to documents.
+    Whole-document fingerprints differ in some 10 of 64 bits at a similarity
+    of 0.8, which no index prunes. So documents meet by equality of a shingle
+    of their ``prefixes``, which no pair misses, and a link stands only if the
+    exact Jaccard similarity of the shingle sets reaches ``similarity``.
+
+    In a set of up to ``few`` documents that meet, all pairs are checked. In a
+    larger one each document is first checked against the centre, the one that
+    meets most others over all shingles; then every pair that is not connected
+    by then is, in blocks of about BLOCK documents, unless sizes or bits rule
+    it out. So the links connect just what those of all pairs would.
     """
-    base = hold(sample_fingerprints(docs, words, samples, size, text, id), "samples")
+    base = hold(prefixes(docs, words, similarity, text, id).withColumn("row", F.monotonically_increasing_id()), "prefixes")
     # Of repeated rows one is enough.
-    of = hold(base.dropDuplicates(["key"]).select("key", "n", F.posexplode("fps").alias("t", "fp")), "sample-rows")
-    shared = of.groupBy("fp").agg(F.count("*").alias("rows"))
-    roots = components(links(shared.select("fp"))).withColumnRenamed("node", "fp")
-    # Most fingerprints are alone: they need no further step.
-    used = shared.join(roots, "fp", "left").where("rows > 1 or root is not null").select("fp", F.coalesce("root", "fp").alias("bucket"))
-    members = hold(of.join(used, "fp").select("bucket", "t", "key", "n"), "members")
-    sizes = members.groupBy("bucket", "t").agg(F.count("*").alias("size"))
-    dealt = hold(members.join(sizes.where("size > 1"), ["bucket", "t"]), "dealt")
-    alike = lambda m, n: F.least(m, n) >= similarity * F.greatest(m, n)  # noqa: E731  else the sets cannot be alike enough
-    small = dealt.where(F.col("size") <= few).groupBy("bucket", "t").agg(F.collect_list(F.struct("key", "n")).alias("all"))
-    small = small.select("all", F.explode("all").alias("x")).select("x", F.explode(F.filter("all", lambda y: y["key"] > F.col("x.key"))).alias("y"))
-    large = dealt.where(F.col("size") > few)
-    met = large.groupBy("key").agg(F.sum("size").alias("met"))
-    centres = large.join(met, "key").groupBy("bucket", "t").agg(F.max(F.struct("met", F.xxhash64("key"), "key", "n")).alias("centre"))
-    star = large.join(centres, ["bucket", "t"]).select(F.struct("centre.key", "centre.n").alias("x"), F.struct("key", "n").alias("y"))
-    # The one before: within a slice of the order of about 64, so that no task holds a large set.
-    slices = large.withColumn("order", F.xxhash64("t", "key")).withColumn("slice", F.pmod(F.shiftright("order", 20), F.ceil(F.col("size") / 64)))
-    chain = _before(slices).select("x", F.struct("key", "n").alias("y"))
-    pairs = small.unionByName(star).unionByName(chain).where(alike(F.col("x.n"), F.col("y.n")))
-    pairs = pairs.select(F.least("x.key", "y.key").alias("a"), F.greatest("x.key", "y.key").alias("b")).where("a <> b").distinct()
+    repeated = base.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("key", "least")
+    spare = base.select("key", "row").join(repeated, "key").where("row <> least").select("row")
+    once = base.join(spare, "row", "left_anti")
+    info = hold(once.select("row", "key", "n", "bits"), "documents")
+    cells = once.select("row", F.explode("prefix").alias("token"))
+    same = [F.bit_xor(F.xxhash64(F.lit(i), "row")).alias(f"s{i}") for i in range(2)]
+    shared = cells.groupBy("token").agg(F.count("*").alias("size"), *same).where("size > 1")
+    # Of shingles that the same documents share one is enough.
+    shared = shared.groupBy("size", "s0", "s1").agg(F.min("token").alias("token")).select("token", "size")
+    cells = hold(cells.join(shared, "token"), "cells")
+    small = cells.where(F.col("size") <= few).groupBy("token").agg(F.collect_list("row").alias("all"))
+    small = small.select("all", F.explode("all").alias("a")).select("a", F.explode(F.filter("all", lambda y: y > F.col("a"))).alias("b"))
+    large = cells.where(F.col("size") > few)
+    met = large.groupBy("row").agg(F.sum("size").alias("met"))
+    centres = large.join(met, "row").groupBy("token").agg(F.max(F.struct("met", "row"))["row"].alias("centre"))
+    star = large.join(centres, "token").select(F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b")).where("a <> b")
+    first = hold(small.union(star).distinct(), "pairs")
+    found = hold(_scored(docs, first, info, words, similarity, text, id), "near")
+    roots = components(found.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))).withColumnRenamed("node", "row")
+    grouped = hold(large.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "grouped")
+    apart = grouped.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
+    sides = F.ceil(F.col("size") / BLOCK)
+    dealt = grouped.join(apart, "token").join(info.select("row", "n", "bits"), "row").withColumn("side", F.pmod(F.xxhash64("row"), sides))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), sides - 1)))
+    dealt = dealt.select("token", F.least("side", "other").alias("from"), F.greatest("side", "other").alias("to"), "row", "root", "n", "bits", "side")
+    blocks = dealt.groupBy("token", "from", "to")
+    second = blocks.applyInArrow(_across(similarity), "a long, b long").distinct()
+    second = hold(second.join(first, ["a", "b"], "left_anti"), "pairs")
+    more = _scored(docs, second, info, words, similarity, text, id)
+    return base.select("key", "doc_id"), found.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+
+
+def _scored(docs: DataFrame, pairs: DataFrame, info: DataFrame, words: int, similarity: float, text: str, id: str) -> DataFrame:
+    """(row_a, row_b, a, b, jaccard) of the pairs (a, b) of rows that are as alike as ``similarity``."""
+    sides = [info.select(F.col("row").alias(x), F.struct("key", "n", "bits").alias(f"of_{x}")) for x in "ab"]
+    met, m, n = pairs.join(sides[0], "a").join(sides[1], "b"), F.col("of_a.n"), F.col("of_b.n")
+    met = met.where(F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9)
+    named = [F.col("a").alias("row_a"), F.col("b").alias("row_b"), F.col("of_a.key").alias("a"), F.col("of_b.key").alias("b")]
+    met = met.select(*named, F.col("of_a.bits").alias("bits_a"), F.col("of_b.bits").alias("bits_b"), (m + n).alias("n"))
+    met = hold(met.mapInArrow(_near_bits(similarity), "row_a long, row_b long, a string, b string"), "met")
     texts = docs.select(document_key(text, id).alias("key"), whole_text(text).alias("text"))
-    pairs = hold(pairs, "pairs")
-    needed = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "key")
+    needed = met.select("a").union(met.select("b")).distinct().withColumnRenamed("a", "key")
     texts = hold(texts.join(needed, "key", "left_semi").dropDuplicates(["key"]), "texts")
-    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a")
-    both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b").select("a", "b", "a_text", "b_text")
-    scored = both.mapInArrow(_jaccard(words), "a string, b string, jaccard double").where(F.col("jaccard") >= similarity)
-    return base.select("key", "doc_id"), scored
-
-
-def _before(rows: DataFrame, reach: int = 3) -> DataFrame:
-    """rows with each of the ``reach`` ones before them as x."""
-    window = Window.partitionBy("bucket", "t", "slice").orderBy("order", "key")
-    near = F.array(*[F.lag(F.struct("key", "n"), i).over(window) for i in range(1, reach + 1)])
-    return rows.withColumn("near", F.array_compact(near)).withColumn("x", F.explode("near"))
+    both = met.join(texts.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a")
+    both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b").select("row_a", "row_b", "a", "b", "a_text", "b_text")
+    return both.mapInArrow(_jaccard(words), "row_a long, row_b long, a string, b string, jaccard double").where(F.col("jaccard") >= similarity)
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id") -> DataFrame:

@@ -204,6 +204,47 @@ def test_a_large_group_of_near_copies_keeps_one(spark):
     assert [r["doc_id"] for r in simhash.drop_near_copies(frame(spark, rows)).collect()] == [0]
 
 
+def mixed_families():
+    """One large set that shares a passage: families of copies of copies, in steps that go on from any earlier copy."""
+    rnd = random.Random(8)
+    word = lambda: "w" + str(rnd.randint(0, 50000))
+    passage = [word() for _ in range(80)]
+    texts = []
+    for _ in range(12):
+        family = [[word() for _ in range(60)]]
+        for _ in range(39):
+            copy = list(rnd.choice(family))
+            for _ in range(rnd.randint(1, 5)):
+                copy[rnd.randrange(60)] = word()
+            family.append(copy)
+        texts += [" ".join(passage + f) for f in family]
+    rnd.shuffle(texts)
+    return [(i, t, "s") for i, t in enumerate(texts)]
+
+
+def test_near_copies_of_a_large_mixed_set_against_all_pairs(spark, monkeypatch):
+    rows = mixed_families()
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for _, t, _ in rows)]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both >= 0.8 * (len(a) + len(sets[j]) - both):
+                x, y = sorted((find(i), find(j)))
+                parent[y] = x
+    stay = {i for i in parent if find(i) == i}
+    assert 20 < len(stay) < len(rows) - 20
+    for block in (1024, 16):
+        monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
+        assert {r["doc_id"] for r in simhash.drop_near_copies(frame(spark, rows)).collect()} == stay
+
+
 def test_near_copies_of_odd_rows(spark, odd, none):
     kept = simhash.drop_near_copies(odd)
     ids = [r["doc_id"] for r in kept.collect()]
