@@ -18,9 +18,10 @@ is spread over many tasks. Points meet sources by an equality on cells of a
 grid, blocks by an equality on (source, block).
 
 Null source: a source of its own, last. Null text: no words; documents
-without words are never taken. Repeated rows are documents of their own. All
-of it depends on the rows alone, so reruns agree. Empty tables give empty
-results.
+without words are never taken. Repeated rows are documents of their own; they
+follow each other in the stream. Its order is that of hashes of identifier,
+text and source, so all of it depends on the rows alone, not on how they are
+split, and reruns agree. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -39,11 +40,17 @@ def word_count(text: str = "text") -> Column:
     return F.regexp_count(whole_text(text), F.lit(WORD)).cast("long")
 
 
-def sized(docs: DataFrame, extra: list[Column] = (), text: str = "text", id: str = "doc_id", source: str = "source") -> DataFrame:
-    """doc_id, key (of the source, never null), size in words."""
+# Rows with equal ones of these are the same to the schedule.
+SAME = ["key", "size", "mark", "mark2"]
+
+
+def sized(docs: DataFrame, extra: list[Column] = (), text: str = "text", id: str = "doc_id", source: str = "source", others: list[str] = ()) -> DataFrame:
+    """doc_id, key (of the source, never null), size in words, two hashes of the row: identifier, text, source and ``others``."""
     name = F.col(quoted(source)).cast("string")
     key = F.when(name.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), name))
-    return docs.select(F.col(quoted(id)).alias("doc_id"), key.alias("key"), word_count(text).alias("size"), *extra)
+    known = [F.col(quoted(c)) for c in (id, text, source, *others)]
+    marks = [F.xxhash64(F.lit(i), *known).alias(m) for i, m in enumerate(SAME[2:])]
+    return docs.select(F.col(quoted(id)).alias("doc_id"), key.alias("key"), word_count(text).alias("size"), *marks, *extra)
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], epochs: float) -> DataFrame:
@@ -112,7 +119,7 @@ def schedule(docs: DataFrame, weights: tuple[float, ...], epochs: float, block_w
     room = F.when(F.floor(F.col("k") / F.col("blocks")) < F.col("rounds"), F.lit(block_words)).otherwise(F.least(F.lit(block_words), F.col("rest") - block * block_words))
     slots = slots.select("slot", "key", "k", block.cast("long").alias("block"), room.cast("long").alias("room"))
     # Documents laid end to end, and cut.
-    laid = running_sum(docs.select("row", "doc_id", "key", "size"), "key", ["doc_id", "size", "row"], F.col("size"), "offset").where("size > 0")
+    laid = _laid(docs.where("size > 0"))
     end = F.col("offset") + F.col("size")
     pieces = laid.select("row", "key", "offset", end.alias("end"), F.explode(F.sequence(F.floor(F.col("offset") / block_words), F.floor((end - 1) / block_words))).alias("block"))
     pieces = pieces.select("row", "key", "block", F.greatest(F.col("offset") - F.col("block") * block_words, F.lit(0)).alias("from"), F.least(F.col("end") - F.col("block") * block_words, F.lit(block_words)).alias("to"))
@@ -120,6 +127,17 @@ def schedule(docs: DataFrame, weights: tuple[float, ...], epochs: float, block_w
     return mix.select("slot", "key", "k", "block", "row", "from", "words"), sources
 
 
+def _laid(docs: DataFrame) -> DataFrame:
+    """row, key, size, offset in the stream of its source. ``row`` decides among rows that are the same only."""
+    alike = hold(docs.groupBy(*SAME).agg(F.count("*").alias("times")), "alike")
+    starts = running_sum(alike, "key", ["mark", "mark2", "size"], F.col("size") * F.col("times"), "start")
+    laid = hold(docs.select("row", *SAME).join(starts, SAME), "laid")
+    repeated = laid.where("times > 1").withColumn("group", F.concat_ws(":", "mark", "mark2", "size", "key"))
+    repeated = running_sum(repeated, "group", ["row"], F.lit(1), "rank")
+    offset = F.col("start") + F.col("rank") * F.col("size")
+    return laid.where("times = 1").withColumn("rank", F.lit(0)).unionByName(repeated.drop("group")).select("row", "key", "size", offset.alias("offset"))
+
+
 def mix_sources(
     docs: DataFrame,
     weights: tuple[float, ...] = (5, 2, 1),
@@ -129,16 +147,22 @@ def mix_sources(
     id: str = "doc_id",
     source: str = "source",
     extra: list[Column] = (),
+    others: list[str] = (),
 ) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken, and the extra columns."""
-    base = hold(sized(docs, [F.monotonically_increasing_id().alias("row"), *extra], text, id, source), "sizes")
+    """One row per document: doc_id, size, source_size, target, taken, and the extra columns.
+
+    Rows that differ in one of the columns ``others`` only are not the same.
+    """
+    base = hold(sized(docs, [F.monotonically_increasing_id().alias("row"), *extra], text, id, source, others), "sizes")
     mix, sources = schedule(base, weights, epochs, block_words)
     taken = mix.groupBy("row").agg(F.sum("words").alias("taken"))
-    return base.join(sources, "key").join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("row", "key")
+    return base.join(sources, "key").join(taken, "row", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long")).drop("row", "key", "mark", "mark2")
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), epochs: float = 3, block_words: int = 1024) -> DataFrame:
     """The documents of the mix, as often as it takes them: taken words over size, rounded. Columns as they came."""
-    mixed = mix_sources(docs, weights, epochs, block_words, extra=[as_doc(docs)])
+    # Spark hashes no maps.
+    others = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and f.name not in ("doc_id", "text", "source")]
+    mixed = mix_sources(docs, weights, epochs, block_words, extra=[as_doc(docs)], others=others)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
     return mixed.select("doc", times.alias("times")).where("times > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")

@@ -619,6 +619,19 @@ def test_mix_against_brute_force(spark, odd):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_mix_does_not_depend_on_how_rows_are_split(spark, monkeypatch):
+    monkeypatch.setattr(source_schedule, "running_sum", lambda *args: running_sum(*args, bucket_rows=16))
+    rnd = random.Random(13)
+    rows = [(i, "w " * rnd.randint(1, 40), f"s{i % 3}") for i in range(300)] + [(None, f"v{i} " * 9, "s0") for i in range(20)] + [(7, "same words", "s0")] * 60
+    docs = frame(spark, rows)
+    first, second = (docs.repartition(n, *by) for n, by in ((2, ["text"]), (5, [F.xxhash64("doc_id")])))
+    got = [source_schedule.mix_sources(d, block_words=64).collect() for d in (first, second)]
+    check_mix(rows, got[0])
+    assert Counter(map(tuple, got[0])) == Counter(map(tuple, got[1]))
+    mixed = [source_schedule.mixed_documents(d, block_words=64).collect() for d in (first, second)]
+    assert Counter(map(tuple, mixed[0])) == Counter(map(tuple, mixed[1]))
+
+
 def test_mix_of_small_and_empty_sources(spark, none):
     rows = [(1, "a", "a"), (2, "b " * 5000, "b"), (3, "", "c"), (4, None, "d"), (5, "x y", None)]
     check_mix(rows, source_schedule.mix_sources(frame(spark, rows)).collect())
