@@ -92,3 +92,31 @@ def components(links: DataFrame) -> DataFrame:
         sign = (got[0], got[1])
     members = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return members.union(members.select("root", "root").distinct())
+
+
+class Recent:
+    """Values of keys, worked out many at a time by ``make(keys)`` and remembered.
+
+    Two generations of at most about ``room`` bytes each (and one batch over):
+    when the young one is full it becomes the old one, and a key that is met
+    again moves back. So what recurs stays, whatever came first.
+    """
+
+    # What a key and its value cost besides their own length.
+    EACH = 200
+
+    def __init__(self, make, room: int = 96 << 20):
+        self.make, self.room = make, room
+        self.young, self.old, self.held = {}, {}, 0
+
+    def of(self, keys: set) -> dict:
+        """A mapping that has all of the keys."""
+        if self.held > self.room:
+            self.young, self.old, self.held = {}, self.young, 0
+        missing = keys.difference(self.young)
+        again = {k: self.old[k] for k in missing if k in self.old}
+        new = list(missing.difference(again))
+        for found in (again, dict(zip(new, self.make(new)))):
+            self.young.update(found)
+            self.held += sum(map(len, found)) + sum(map(len, found.values())) + self.EACH * len(found)
+        return self.young

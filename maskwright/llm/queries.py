@@ -156,3 +156,64 @@ def op2_nce_score(spark, sf):
     from maskwright.llm.subword_quality import held_out
 
     return score_texts(table(spark, sf, "documents"), held_out("doc_id", 7, 2))
+
+
+@query("op11_sentencepiece")
+def op11_sentencepiece(spark, sf):
+    import public_tokenizers
+
+    from maskwright.llm.piece_merges import encode
+
+    coded = encode(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"), packed=True, decoded=True)
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "agrees",
+    )
+
+
+def _lloyd_sql(parts: int, entries: int, rounds: int) -> str:
+    """Rounds of assignment and renewal over one row per component."""
+    nearest = """a{0} as (
+  select rid, part, min(struct_pack(d := d, j := j)) as best from (
+    select rid, part, j, sum((x - y) * (x - y)) as d from comp join c{0} using (part, place) group by rid, part, j)
+  group by rid, part)"""
+    renewed = """c{1} as (
+  select part, j, place, coalesce((t - ((t % n) + n) % n) // n, y) as y from c{0} left join (
+    select part, best.j as j, place, cast(sum(x) as bigint) as t, count(*) as n from a{0} join comp using (rid, part) group by all) using (part, j, place))"""
+    steps = [s.format(r, r + 1) for r in range(rounds) for s in (nearest, renewed)] + [nearest.format(rounds)]
+    return f"""
+with v as (
+  select row_number() over (order by vec_id nulls last, embedding) - 1 as rid, vec_id, label, embedding as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+comp as (
+  select rid, (i * {parts}) // len(e) as part, i % (len(e) // {parts}) as place, cast(floor(256 * e[i + 1]::double) as bigint) as x
+  from (select rid, e, unnest(range(len(e))) as i from v)),
+c0 as (select part, rid as j, place, x as y from comp where rid < {entries}),
+{', '.join(steps)},
+coded as (
+  select rid, string_agg(printf('%02x', best.j), '' order by part) as code, cast(sum(best.d) as bigint) as error from a{rounds} group by rid)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+       (select sha256(string_agg(cast(y as varchar), ',' order by part, j, place)) from c{rounds}) as codebooks_sha256
+from v join coded using (rid)"""
+
+
+@query("op12_vector_codes", _lloyd_sql(16, 64, 2))
+def op12_vector_codes(spark, sf):
+    from maskwright.llm.active_lloyd import books_digest, compress, with_group_error
+
+    coded, books = compress(table(spark, sf, "embeddings"), parts=16, entries=64, rounds=2, carry=("label",))
+    found = with_group_error(coded, "label", "label_error")
+    return found.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(books_digest(books)).alias("codebooks_sha256"))
+
+
+@query("op13_token_links")
+def op13_token_links(spark, sf):
+    import public_tokenizers
+
+    from maskwright.llm.token_links import align
+
+    found, _ = align(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found
