@@ -28,10 +28,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.common import hold, quoted, remembered, running_sum, whole_text
+from maskwright.llm.common import Recent, hold, quoted, remembered, running_sum, whole_text
 
-# What a Python worker remembers of words, and of the parts that the tokenizer cuts them into; others are worked out anew.
-REMEMBERED = 250_000
+# Bytes that a Python worker remembers, twice, of words and of the parts that the tokenizer cuts them into; what does not recur makes room.
+WORDS_ROOM, PARTS_ROOM = 160 << 20, 40 << 20
 # How that tokenizer cuts lowered Latin text (a fixed value; other texts it cuts itself).
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 # Printable ASCII and the letters of Latin-1, as UTF-8.
@@ -48,8 +48,6 @@ def _word_ids(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    known: dict[bytes, bytes] = {}
-    known_parts: dict[str, bytes] = {}
     last = np.zeros(tokenizer.get_vocab_size(), bool)
     last[[i for token, i in tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
 
@@ -71,20 +69,22 @@ def _word_ids(path: str):
                 start = end
         return out
 
-    def ids(texts: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]
-        new = list({w for words in cut for w in words if w not in known})
+    known_parts = Recent(together, PARTS_ROOM)
+
+    def words(new: list[bytes]) -> list[bytes]:
         plain = {w: PARTS.findall(w.decode().lower()) for w in new if b"<|" not in w and LATIN.fullmatch(w)}
-        parts = list({p for found in plain.values() for p in found if p not in known_parts})
-        coded = dict(zip(parts, together(parts)))
-        if len(known_parts) + len(coded) <= REMEMBERED:
-            known_parts.update(coded)
-        fresh = {w: b"".join([known_parts[p] if p in known_parts else coded[p] for p in found]) for w, found in plain.items()}
+        coded = known_parts.of(set().union(*plain.values()))
+        found = {w: b"".join(map(coded.__getitem__, parts)) for w, parts in plain.items()}
         odd = [w for w in new if w not in plain]
-        fresh.update(zip(odd, one_by_one([w.decode() for w in odd])))
-        if len(known) + len(fresh) <= REMEMBERED:
-            known.update(fresh)
-        return [b"".join([known[w] if w in known else fresh[w] for w in words]) for words in cut]
+        found.update(zip(odd, one_by_one([w.decode() for w in odd])))
+        return [found[w] for w in new]
+
+    known = Recent(words, WORDS_ROOM)
+
+    def ids(texts: list[bytes]) -> list[bytes]:
+        cut = [t.split() for t in texts]
+        coded = known.of(set().union(*cut)).__getitem__
+        return [b"".join(map(coded, found)) for found in cut]
 
     return ids
 
