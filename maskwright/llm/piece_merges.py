@@ -10,8 +10,10 @@ around characters that are in no longer piece, around user-defined symbols),
 so no merge does. The agenda therefore runs once per distinct stretch between
 such places, and a Python worker remembers the stretches that recur.
 
-With ``check`` each Arrow batch is also given to the sentencepiece library, and
-``agrees`` says per document whether ids and decoded text are the same.
+Each Arrow batch is checked against the sentencepiece library: the stretches
+that are new to the worker always (``check="stretches"``), or every text whole
+and its decoded text too (``check="texts"``). ``agrees`` says per document
+whether all of it is the same.
 
 Null texts are empty: the begin and end ids only. A null identifier and
 repeated rows stay as they are. Texts are encoded whole, however long. An
@@ -34,6 +36,8 @@ from pyspark.sql import types as T
 from maskwright.llm.common import Recent, quoted, remembered, whole_text
 
 BLANK, UNKNOWN_TEXT, SLICE = "▁", " ⁇ ", 256
+# Bytes that a Python worker remembers of stretches, twice.
+ROOM = 160 << 20
 # Kinds of pieces and the merge type of models, as the public model format numbers them (fixed values).
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGES = 2
@@ -98,7 +102,11 @@ class Merges:
         inner = any(a != BLANK and b == BLANK for n in longer for a, b in zip(n, n[1:]))
         stretch = f"[{BLANK}{joined}]+" if inner or not joined else f"{BLANK}*[{joined}]+|{BLANK}+"
         self.stretch = re.compile(f"{stretch}|.", re.DOTALL)
-        self.ids_of = Recent(lambda found: [self._ids(x) for x in found])
+        # The library without the blank that it puts first: what it makes of a stretch inside a text.
+        # A later field of the wire format overrides: of the normaliser's settings (3), the prefix (3) and the squeezing (4) are off.
+        self.bare = sentencepiece.SentencePieceProcessor(model_proto=self.library.serialized_model_proto() + bytes([3 << 3 | 2, 4, 3 << 3, 0, 4 << 3, 0]))
+        self.checks, self.differs = True, set()
+        self.ids_of = Recent(self._checked, ROOM)
         self.controls = {i for i, k in enumerate(self.kinds) if k == CONTROL}
         shown = {BYTE: lambda n: bytes([int(n[1:-1], 16)]), CONTROL: lambda n: b"", UNKNOWN: lambda n: UNKNOWN_TEXT.encode()}
         self.shown = [shown.get(k, lambda n: n.replace(BLANK, " ").encode())(n) for n, k in zip(names, self.kinds)]
@@ -141,6 +149,16 @@ class Merges:
         packed = self.packed
         return b"".join([packed[p] if p in packed else b"".join([self.packed_bytes[b] for b in p.encode()]) for p in pieces])
 
+    def by_library(self, stretches: list[str]) -> list[bytes]:
+        asked = self.bare.encode([x.replace(BLANK, " ") for x in stretches], num_threads=1)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in asked]
+
+    def _checked(self, stretches: list[str]) -> list[bytes]:
+        found = [self._ids(x) for x in stretches]
+        if self.checks:
+            self.differs.update(x for x, own, other in zip(stretches, found, self.by_library(stretches)) if own != other)
+        return found
+
     def _stretches(self, text: str) -> list[str]:
         if self.user is None:
             return self.stretch.findall(text)
@@ -149,7 +167,12 @@ class Merges:
 
     def encode(self, texts: list[str], begin: bool = True, end: bool = True) -> list[bytes]:
         """Ids of each text, as little-endian 32-bit integers."""
-        cut = [self._stretches(t) for t in self.library.normalize(texts)]
+        return self.encoded(self.cut(texts), begin, end)
+
+    def cut(self, texts: list[str]) -> list[list[str]]:
+        return [self._stretches(t) for t in self.library.normalize(texts)]
+
+    def encoded(self, cut: list[list[str]], begin: bool = True, end: bool = True) -> list[bytes]:
         known = self.ids_of.of(set().union(*cut))
         first, last = (struct.pack("<I", i) if wanted else b"" for i, wanted in ((self.begins, begin), (self.ends, end)))
         return [first + b"".join(map(known.__getitem__, found)) + last for found in cut]
@@ -180,15 +203,17 @@ def _model(path: str) -> Merges:
 
 
 def encode(
-    docs: DataFrame, model: str, begin: bool = True, end: bool = True, packed: bool = False, decoded: bool = False, check: bool = True,
+    docs: DataFrame, model: str, begin: bool = True, end: bool = True, packed: bool = False, decoded: bool = False, check: str | None = "stretches",
     text: str = "text", id: str = "doc_id",
 ) -> DataFrame:
     """doc_id, ids (and decoded, agrees): one row per document.
 
     ``ids`` is an array of integers, or with ``packed`` their little-endian 32
     bits in a row; ``decoded`` adds the text that they stand for; ``check``
-    adds whether the library gives the same.
+    ("stretches", "texts" or None) adds whether the library gives the same.
     """
+    if check not in (None, "stretches", "texts"):
+        raise ValueError('check is "stretches", "texts" or None')
 
     def run(batches):
         merges = _model(model)
@@ -196,17 +221,18 @@ def encode(
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 texts = part.column("text").to_pylist()
-                raws = merges.encode(texts, begin, end)
-                lists = [np.frombuffer(r, "<u4").tolist() for r in raws]
+                cut = merges.cut(texts)
+                raws = merges.encoded(cut, begin, end)
+                lists = [np.frombuffer(r, "<u4").tolist() for r in raws] if decoded or check == "texts" or not packed else None
                 columns = [part.column("doc_id"), pa.array(raws, pa.binary()) if packed else pa.array(lists, pa.list_(pa.int32()))]
-                agrees = [True] * len(texts)
-                if check:
+                agrees = [not merges.differs or merges.differs.isdisjoint(found) for found in cut]
+                if check == "texts":
                     asked = merges.library.encode(texts, add_bos=begin, add_eos=end, num_threads=1)
-                    agrees = [a == b for a, b in zip(lists, asked)]
+                    agrees = [a and b == c for a, b, c in zip(agrees, lists, asked)]
                 if decoded:
                     shown = [merges.decode(x) for x in lists]
                     columns.append(pa.array(shown, pa.string()))
-                    if check:
+                    if check == "texts":
                         agrees = [a and b == c for a, b, c in zip(agrees, shown, merges.library.decode(lists, num_threads=1))]
                 if check:
                     columns.append(pa.array(agrees, pa.bool_()))

@@ -24,6 +24,8 @@ columns are read.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.common import hold, quoted, remembered, whole_text
+from maskwright.llm.common import Recent, hold, quoted, remembered, whole_text
+from maskwright.llm.piece_merges import Merges
 
 HOT, SLICE, SLICE_BYTES, PAIRS = 1 << 19, 512, 4 << 20, 1 << 20
+# Bytes that a Python worker remembers of stretches, twice for each side.
+ROOM = 96 << 20
+# White space as Unicode has it (a fixed value): what the pattern of A takes for it.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
@@ -48,15 +55,25 @@ def byte_level(token: str) -> bytes:
 
 
 class Pair:
-    """Two tokenizers: ids of texts, and the bytes of ids."""
+    """Two tokenizers: ids of texts, and the bytes of ids.
+
+    The pattern that cuts texts for A never joins white space to what is before
+    it, so a stretch of white space and what follows has the same ids in any
+    text; stretches of B are those of ``Merges``. Both are encoded once and
+    remembered by the worker.
+    """
 
     def __init__(self, a: str, b: str):
-        import sentencepiece
         from tokenizers import Tokenizer
 
         self.a = Tokenizer.from_file(a)
         self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b)
+        told = json.loads(self.a.to_str())
+        cuts = told["pre_tokenizer"] or {}
+        plain = cuts.get("type") == "ByteLevel" and cuts.get("use_regex", True) and not cuts.get("add_prefix_space")
+        self.stretch = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+") if plain and told["normalizer"] is None else None
+        self.merges = Merges(b)
+        self.b = self.merges.library
         names = [self.a.id_to_token(i) or "" for i in range(self.a.get_vocab_size())]
         special = {i for i, t in self.a.get_added_tokens_decoder().items() if t.special}
         self.a_bytes = pa.array([n.encode() if i in special else byte_level(n) for i, n in enumerate(names)], pa.binary())
@@ -66,10 +83,28 @@ class Pair:
         # Ids as text with what follows them: inside a side, at its end, at the end of the group.
         self.shown = pa.array([f"{i}{c}" for size, c in ((n, ","), (n, "|"), (m, ","), (m, ";")) for i in range(size)])
         self.starts = (0, n, 2 * n, 2 * n + m)
+        self.a_known, self.b_known = Recent(self._encoded, ROOM), Recent(self.merges.by_library, ROOM)
+
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> tuple[pa.ListArray, pa.ListArray]:
-        a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-        return pa.array(a, pa.list_(pa.int32())), pa.array(self.b.encode(texts, num_threads=1), pa.list_(pa.int32()))
+        blank_first = [" " + t for t in texts]
+        if self.stretch is None:
+            a = self._encoded(blank_first)
+        else:
+            a = _looked_up(self.a_known, [self.stretch.findall(t) for t in blank_first])
+        return _as_lists(a), _as_lists(_looked_up(self.b_known, self.merges.cut(texts)))
+
+
+def _looked_up(known: Recent, cut: list[list[str]]) -> list[bytes]:
+    ids = known.of(set().union(*cut)).__getitem__
+    return [b"".join(map(ids, found)) for found in cut]
+
+
+def _as_lists(raws: list[bytes]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, raws)]) // 4
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raws), "<i4")))
 
 
 def _pair(a: str, b: str) -> Pair:

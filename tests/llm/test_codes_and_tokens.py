@@ -52,6 +52,13 @@ def test_ids_are_those_of_the_library(merges, texts, other):
     assert [merges.decode(x) for x in got] == merges.library.decode(got)
 
 
+def test_a_wrong_agenda_is_noticed():
+    wrong = piece_merges.Merges(PIECES)
+    del wrong.key["▁the"]
+    wrong.encode(["the cat"])
+    assert wrong.differs == {"▁the"}
+
+
 def test_any_ids_decode_as_in_the_library(merges):
     rnd, blank = random.Random(2), merges.library.piece_to_id("▁")
     for _ in range(4000):
@@ -95,7 +102,9 @@ def test_encoding_of_odd_rows(spark, merges):
     for i, t, _ in rows:
         want[(i, tuple(merges.library.encode(t or "", add_bos=True, add_eos=True)), merges.library.decode(merges.library.encode(t or "")))] += 1
     coded = piece_merges.encode(docs, PIECES, decoded=True)
+    whole = piece_merges.encode(docs, PIECES, decoded=True, check="texts").collect()
     got = coded.collect()
+    assert Counter(map(str, got)) == Counter(map(str, whole))
     assert Counter((r["doc_id"], tuple(r["ids"]), r["decoded"]) for r in got) == want and all(r["agrees"] for r in got)
     back = piece_merges.decode(coded, PIECES).collect()
     assert Counter((r["doc_id"], r["decoded"]) for r in back) == Counter((i, d) for (i, _, d), n in want.items() for _ in range(n))
@@ -209,6 +218,15 @@ def pair():
     return token_links.Pair(BYTES, PIECES)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(ODD + "\x1c\x85\u200b'sÀ5"), max_size=60), max_size=5), st.text(max_size=20))
+def test_stretches_have_the_ids_of_whole_texts(pair, texts, other):
+    texts = [*texts, other.encode("utf-8", "ignore").decode()]
+    a, b = pair.ids(texts)
+    assert a.to_pylist() == [e.ids for e in pair.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
+    assert b.to_pylist() == pair.b.encode(texts)
+
+
 def brute(pair, text):
     """(n_a, n_b, groups, links) from all pairs of token spans."""
     whole = (" " + (text or "")).encode()
