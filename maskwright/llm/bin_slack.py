@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from maskwright.llm.common import Recent, hold, quoted, remembered, running_sum, whole_text
 
 # Bytes that a Python worker remembers, twice, of words and of the parts that the tokenizer cuts them into; what does not recur makes room.
-WORDS_ROOM, PARTS_ROOM = 160 << 20, 40 << 20
+WORDS_ROOM, PARTS_ROOM = 80 << 20, 16 << 20
 # How that tokenizer cuts lowered Latin text (a fixed value; other texts it cuts itself).
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 # Printable ASCII and the letters of Latin-1, as UTF-8.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from maskwright.session import run_dir
@@ -39,6 +39,14 @@ def hold(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame, purpose: str) -> tuple[DataFrame, int, int]:
+    """``hold``, with the number of rows and the sum of their hashes: both are observed while the table is written."""
+    seen = Observation()
+    found = hold(df.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*[F.col(quoted(c)) for c in df.columns]).cast("decimal(38,0)")).alias("sign")), purpose)
+    got = seen.get
+    return found, got["n"], int(got["sign"] or 0)
+
+
 def remembered(key, make):
     """make(), once in a Python worker: functions travel by value and would start anew in each task."""
     import sys
@@ -76,20 +84,16 @@ def components(links: DataFrame) -> DataFrame:
     more than its share (a skewed join is split). Rounds grow with the
     logarithm of the longest chain. Each round is held, not chained.
     """
-    edges = hold(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    if edges.isEmpty():
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    sign, last = None, ()
-    while sign != last:
+    edges, n, sign = held(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+    last = None
+    while n and sign != last:
         last = sign
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = hold(small.union(low).distinct(), "links")
-        got = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        sign = (got[0], got[1])
+        edges, n, sign = held(small.union(low).distinct(), "links")
     members = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return members.union(members.select("root", "root").distinct())
 

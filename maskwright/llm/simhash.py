@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.common import as_doc, ascii_lower, components, hold, quoted, whole_text
+from maskwright.llm.common import as_doc, ascii_lower, components, held, hold, quoted, whole_text
 
 SEED = 42
 SEGMENTS = 4
@@ -296,10 +296,13 @@ def _near_bits(similarity: float):
     return run
 
 
+LINK = "row_a long, row_b long, a string, b string, jaccard double"
+
+
 def near_links(
     docs: DataFrame, words: int = 5, similarity: float = 0.8, few: int = 8, text: str = "text", id: str = "doc_id"
-) -> tuple[DataFrame, DataFrame]:
-    """(documents: key, doc_id), (links: a, b, jaccard), of documents alike by their word shingles.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: key, doc_id), (links: a, b, jaccard), (groups: key, root), of documents alike by their word shingles.
 
     Whole-document fingerprints differ in some 10 of 64 bits at a similarity
     of 0.8, which no index prunes. So documents meet by equality of a shingle
@@ -313,10 +316,9 @@ def near_links(
     it out. So the links connect just what those of all pairs would.
     """
     base = hold(prefixes(docs, words, similarity, text, id).withColumn("row", F.monotonically_increasing_id()), "prefixes")
-    # Of repeated rows one is enough.
-    repeated = base.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("key", "least")
-    spare = base.select("key", "row").join(repeated, "key").where("row <> least").select("row")
-    once = base.join(spare, "row", "left_anti")
+    # Of repeated rows one is enough. Their table is held: where it is small, Spark sends it to the tasks.
+    repeated = hold(base.groupBy("key").agg(F.min("row").alias("least"), F.count("*").alias("rows")).where("rows > 1").select("key", "least"), "repeated")
+    once = base.join(repeated, "key", "left").where("least is null or row = least")
     info = hold(once.select("row", "key", "n", "bits"), "documents")
     cells = once.select("row", F.explode("prefix").alias("token"))
     same = [F.bit_xor(F.xxhash64(F.lit(i), "row")).alias(f"s{i}") for i in range(2)]
@@ -330,20 +332,44 @@ def near_links(
     met = large.groupBy("row").agg(F.sum("size").alias("met"))
     centres = large.join(met, "row").groupBy("token").agg(F.max(F.struct("met", "row"))["row"].alias("centre"))
     star = large.join(centres, "token").select(F.least("row", "centre").alias("a"), F.greatest("row", "centre").alias("b")).where("a <> b")
-    first = hold(small.union(star).distinct(), "pairs")
-    found = hold(_scored(docs, first, info, words, similarity, text, id), "near")
-    roots = components(found.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))).withColumnRenamed("node", "row")
-    grouped = hold(large.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "grouped")
+    first, n, _ = held(small.union(star).distinct(), "pairs")
+    named, none = base.select("key", "doc_id"), base.sparkSession.createDataFrame([], LINK)
+    if not n:
+        return named, none.select("a", "b", "jaccard"), none.select(F.col("a").alias("key"), F.col("row_b").alias("root"))
+    found = _scored(docs, first, info, words, similarity, text, id)
+    roots = hold(components(found.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))).withColumnRenamed("node", "row"), "roots")
+    # What a shingle's documents still are: usually one group each, and then nothing is left to do.
+    grouped = large.join(roots, "row", "left").withColumn("root", F.coalesce("root", "row"))
     apart = grouped.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("token")
-    sides = F.ceil(F.col("size") / BLOCK)
-    dealt = grouped.join(apart, "token").join(info.select("row", "n", "bits"), "row").withColumn("side", F.pmod(F.xxhash64("row"), sides))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), sides - 1)))
-    dealt = dealt.select("token", F.least("side", "other").alias("from"), F.greatest("side", "other").alias("to"), "row", "root", "n", "bits", "side")
-    blocks = dealt.groupBy("token", "from", "to")
-    second = blocks.applyInArrow(_across(similarity), "a long, b long").distinct()
-    second = hold(second.join(first, ["a", "b"], "left_anti"), "pairs")
-    more = _scored(docs, second, info, words, similarity, text, id)
-    return base.select("key", "doc_id"), found.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+    apart, n, _ = held(apart, "apart")
+    more = none
+    if n:
+        sides = F.ceil(F.col("size") / BLOCK)
+        kept = hold(large.join(apart, "token").join(roots, "row", "left").withColumn("root", F.coalesce("root", "row")), "grouped")
+        dealt = kept.join(info.select("row", "n", "bits"), "row").withColumn("side", F.pmod(F.xxhash64("row"), sides))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), sides - 1)))
+        dealt = dealt.select("token", F.least("side", "other").alias("from"), F.greatest("side", "other").alias("to"), "row", "root", "n", "bits", "side")
+        blocks = dealt.groupBy("token", "from", "to")
+        second = blocks.applyInArrow(_across(similarity), "a long, b long").distinct()
+        second, n, _ = held(second.join(first, ["a", "b"], "left_anti"), "pairs")
+        if n:
+            more = _scored(docs, second, info, words, similarity, text, id)
+    linked = found.union(more).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "jaccard")
+    return named, linked, _merged(info, roots, more if n else None)
+
+
+def _merged(info: DataFrame, roots: DataFrame, more: DataFrame | None) -> DataFrame:
+    """(key, root) of the rows (row, root) after further links, which join whole groups: only their roots are linked anew."""
+    if more is not None:
+        of = roots.select("row", "root")
+        ends = more.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"))
+        for side in "ab":
+            ends = ends.join(of.select(F.col("row").alias(side), F.col("root").alias(f"to_{side}")), side, "left")
+            ends = ends.withColumn(side, F.coalesce(f"to_{side}", side)).drop(f"to_{side}")
+        joined = hold(components(ends), "joined").select(F.col("node").alias("root"), F.col("root").alias("low"))
+        alone = joined.select(F.col("root").alias("row"), "root").join(of, "row", "left_anti")
+        roots = of.union(alone).join(joined, "root", "left").select("row", F.coalesce("low", "root").alias("root"))
+    return roots.join(info.select("row", "key"), "row").select("key", "root")
 
 
 def _scored(docs: DataFrame, pairs: DataFrame, info: DataFrame, words: int, similarity: float, text: str, id: str) -> DataFrame:
@@ -353,22 +379,25 @@ def _scored(docs: DataFrame, pairs: DataFrame, info: DataFrame, words: int, simi
     met = met.where(F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9)
     named = [F.col("a").alias("row_a"), F.col("b").alias("row_b"), F.col("of_a.key").alias("a"), F.col("of_b.key").alias("b")]
     met = met.select(*named, F.col("of_a.bits").alias("bits_a"), F.col("of_b.bits").alias("bits_b"), (m + n).alias("n"))
-    met = hold(met.mapInArrow(_near_bits(similarity), "row_a long, row_b long, a string, b string"), "met")
+    met, n, _ = held(met.mapInArrow(_near_bits(similarity), "row_a long, row_b long, a string, b string"), "met")
+    if not n:
+        return docs.sparkSession.createDataFrame([], LINK)
     texts = docs.select(document_key(text, id).alias("key"), whole_text(text).alias("text"))
     needed = met.select("a").union(met.select("b")).distinct().withColumnRenamed("a", "key")
     texts = hold(texts.join(needed, "key", "left_semi").dropDuplicates(["key"]), "texts")
     both = met.join(texts.select(F.col("key").alias("a"), F.col("text").alias("a_text")), "a")
     both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("b_text")), "b").select("row_a", "row_b", "a", "b", "a_text", "b_text")
-    return both.mapInArrow(_jaccard(words), "row_a long, row_b long, a string, b string, jaccard double").where(F.col("jaccard") >= similarity)
+    return hold(both.mapInArrow(_jaccard(words), LINK).where(F.col("jaccard") >= similarity), "near")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id") -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id, and all other documents.
 
-    A group is what links of ``near_links`` connect. Texts without words link to nothing and stay.
+    A group is what links of ``near_links`` connect. Texts without words link to nothing and stay. Rows with the same
+    identifier and the same text (but for the case of A-Z) stay or go together.
     """
-    known, found = near_links(docs, words, similarity, text=text, id=id)
-    roots = hold(components(found.select("a", "b")), "groups").withColumnRenamed("node", "key")
+    known, _, groups = near_links(docs, words, similarity, text=text, id=id)
+    roots = hold(groups, "groups")
     members = roots.join(known, "key")
     best = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key"))
     gone = hold(roots.select("key").join(best.select("key"), "key", "left_anti"), "gone")

@@ -161,11 +161,23 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 1500,
     kind = T.StructType([read.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("at", T.ArrayType(T.IntegerType())), T.StructField("share", T.ArrayType(T.FloatType()))])
     # At most 2 * sample rows of two numbers: bounded, so it may go to every task. Of repeated rows one is enough.
     texts = read.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    got = texts.select("doc_id", "label", "text").mapInArrow(run, kind).toArrow().sort_by([("doc_id", "ascending")])
-    examples = [(a.values.to_numpy(), s.values.to_numpy(), y.as_py()) for a, s, y in zip(got["at"], got["share"], got["label"])]
-    if len({e[2] for e in examples}) < 2:
+
+    # The bounded sample is learnt from in one task; the driver sees the model alone.
+    def learn_all(batches):
+        parts = list(batches)
+        if not parts:
+            return
+        got = pa.Table.from_batches(parts).sort_by([("doc_id", "ascending")]).combine_chunks()
+        examples = [(a.values.to_numpy(), s.values.to_numpy(), y.as_py()) for a, s, y in zip(got["at"], got["share"], got["label"])]
+        if len({e[2] for e in examples}) == 2:
+            weight, bias = fit(examples, shares)
+            yield pa.RecordBatch.from_arrays([pa.array([weight.tobytes()], pa.binary()), pa.array([bias])], ["weight", "bias"])
+
+    profiles = texts.select("doc_id", "label", "text").mapInArrow(run, kind)
+    found = profiles.repartition(1).mapInArrow(learn_all, "weight binary, bias double").collect()
+    if not found:
         return np.zeros(1 << BITS, np.float32), math.log(shares[1] / shares[0])
-    return fit(examples, shares)
+    return np.frombuffer(found[0]["weight"], np.float32), found[0]["bias"]
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], text: str = "text", extra: list[Column] = ()) -> DataFrame:

@@ -178,10 +178,11 @@ def test_near_copies_against_all_pairs(spark):
     rows = near_fixture()
     pairs = [(a, b) for a, ta, _ in rows for b, tb, _ in rows if a < b and brute_jaccard(ta, tb) >= 0.8]
     docs = frame(spark, rows)
-    _, found = simhash.near_links(docs)
+    _, found, groups = simhash.near_links(docs)
     key = {r["key"]: r["doc_id"] for r in docs.select(simhash.document_key().alias("key"), "doc_id").collect()}
     got = {tuple(sorted((key[r["a"]], key[r["b"]]))) for r in found.collect()}
     assert got <= set(pairs) and len(got) >= 0.95 * len(pairs) > 10
+    assert {key[r["key"]] for r in groups.collect()} == {x for pair in got for x in pair}
     root = {i: i for i, _, _ in rows}
     for _ in rows:
         for a, b in pairs:
