@@ -10,6 +10,7 @@ from maskwright.functions import detectors as det
 from maskwright.functions.detectors import let
 from maskwright.functions.masks import holds_text, mask_nested, mask_value
 from maskwright.operators.rules import RuleSet
+from maskwright.session import cut_lineage
 
 
 def protect_column(c: Column, dtype: T.DataType, mode: str | None, names, numbers: bool) -> Column:
@@ -158,37 +159,84 @@ def leak_variants(seeds: DataFrame, seed: str = "seed") -> DataFrame:
     return seeds.select(c.alias("seed"), F.inline(forms)).distinct()
 
 
-# Characters of a seeded value that cells are searched for; shorter values are searched for whole.
-LEAK_KEY = 12
+# Characters of a gram; a shorter seeded value is one gram by itself.
+LEAK_GRAM = 6
+# Characters of a cell that are cut into grams at a time.
+LEAK_STRETCH = 256
+# A gram that is the rarest of more needles than this is met together with a second one.
+LEAK_SHARED = 64
 
 
-def leak_hits(df: DataFrame, seeds: DataFrame, seed: str = "seed") -> DataFrame:
-    """One row per cell and seed form found in it: column, seed, form. Case is ignored.
+def _grams(text: Column, n: int) -> Column:
+    """Hashes of the distinct pieces of n characters; linear in the text, which is cut into overlapping stretches first."""
+    stretches = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{1,{LEAK_STRETCH + n - 1}}})).{{1,{LEAK_STRETCH}}}"), F.lit(1))
+    starts = lambda x: F.when(F.char_length(x) >= n, F.sequence(F.lit(1), F.char_length(x) - n + 1)).otherwise(F.array().cast("array<int>"))
+    pieces = F.transform(stretches, lambda x: F.transform(starts(x), lambda i: F.xxhash64(F.lit(n), F.substr(x, i, F.lit(n)))))
+    return F.array_distinct(F.flatten(pieces))
+
+
+def _leak_candidates(cells: DataFrame, words: DataFrame) -> DataFrame:
+    """(cell_id, needle_id) of all pairs in which the needle may be in the cell.
 
-    Cells are cut into overlapping pieces as long as the keys of the needles,
-    pieces meet keys by equality, and only cells with a hit are searched for
-    the whole needle. Seeds and cells may both be of any number.
+    A needle that holds a gram no cell has is in none. Any other needle meets
+    the cells that hold its rarest gram, by how many needles and cells share
+    it; where that one is shared by many needles, cells must hold the second
+    rarest too.
+    """
+    size = F.least(F.char_length("needle"), F.lit(LEAK_GRAM))
+    # At most as many as a gram has characters.
+    sizes = sorted(r[0] for r in words.select(size).distinct().collect())
+    if not sizes:
+        return cells.crossJoin(words).select("cell_id", "needle_id").limit(0)
+    own = F.coalesce(*[F.when(size == n, _grams(F.col("needle"), n)) for n in sizes])
+    all_sizes = F.concat(*[_grams(F.col("cell"), n) for n in sizes])
+    # Made anew where it is read: kept, it would be many times the cells.
+    of_cells = cells.select("cell_id", F.explode(all_sizes).alias("gram"))
+    seen = cut_lineage(of_cells.groupBy("gram").agg(F.count("*").alias("cells")))
+    # A few grams of each needle first, which most needles do not get past.
+    likely = words.select("needle_id", own.alias("own"))
+    for part in (0.2, 0.4, 0.6, 0.8):
+        likely = likely.withColumn("gram", F.get("own", (F.size("own") * part).cast("int"))).join(seen, "gram", "left_semi")
+    of_needles = cut_lineage(likely.select("needle_id", F.explode("own").alias("gram")).join(seen, "gram", "left"))
+    shared = of_needles.groupBy("gram").agg(F.count("*").alias("needles"))
+    weighed = of_needles.join(shared, "gram").select("needle_id", F.struct((F.col("cells") * F.col("needles")).alias("weight"), "gram").alias("key"))
+    ranked = weighed.groupBy("needle_id").agg(
+        F.every(F.col("key.weight").isNotNull()).alias("possible"), F.min("key").alias("first"), F.slice(F.array_sort(F.collect_list("key")), 2, 1).alias("rest")
+    )
+    chosen = cut_lineage(ranked.where("possible").select("needle_id", F.col("first.gram").alias("gram"), F.get("rest", F.lit(0))["gram"].alias("second")))
+    crowded = chosen.where("second is not null").groupBy("gram").count().where(F.col("count") > LEAK_SHARED).select("gram", F.lit(True).alias("crowded"))
+    chosen = cut_lineage(chosen.join(crowded, "gram", "left").withColumn("crowded", F.coalesce(F.col("crowded") & F.col("second").isNotNull(), F.lit(False))))
+    alone = of_cells.join(chosen.where("not crowded"), "gram").select("cell_id", "needle_id")
+    pairs = chosen.where("crowded").select(F.col("gram").alias("first"), "second", "needle_id")
+    if pairs.isEmpty():
+        return alone
+    both = of_cells.join(pairs.select(F.col("first").alias("gram")).distinct(), "gram").select("cell_id", F.col("gram").alias("first"))
+    both = both.join(of_cells.withColumnRenamed("gram", "second"), "cell_id").join(pairs, ["first", "second"])
+    return alone.union(both.select("cell_id", "needle_id"))
+
+
+def leak_counts(df: DataFrame, seeds: DataFrame, seed: str = "seed") -> DataFrame:
+    """column, form, seed, cells: in how many cells each seeded value is found in which form. Case is ignored.
+
+    Equal cells are searched once. Null cells and empty seeds hold nothing.
     """
     text = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    if not text:
+        return seeds.select(F.lit("").alias("column"), F.lit("").alias("form"), F.lit("").alias("seed"), F.lit(0).cast("long").alias("cells")).limit(0)
     cells = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lower(F.col(f"`{c}`")).alias("cell")) for c in text])))
-    cells = cells.where("cell is not null").withColumn("mark", F.xxhash64("cell"))
+    counted = cut_lineage(cells.where("cell is not null").groupBy("column", "cell").agg(F.count("*").alias("n")).withColumn("cell_id", F.monotonically_increasing_id()))
     needles = leak_variants(seeds, seed).select(F.lower("needle").alias("needle"), "seed", "form").where("needle <> ''")
-    needles = needles.withColumn("key", F.substring("needle", 1, LEAK_KEY))
-    # As many as the key has characters, at most.
-    lengths = sorted(r[0] for r in needles.select(F.char_length("key")).distinct().collect())
-    if not lengths:
-        return cells.select("column", F.lit("").alias("seed"), F.lit("").alias("form")).limit(0)
-    pieces = F.array_distinct(F.concat(*[F.regexp_extract_all("cell", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1)) for n in lengths]))
-    met = cells.select("column", "mark", F.explode(pieces).alias("key")).join(needles, "key").select("column", "mark", "needle", "seed", "form").distinct()
-    return cells.join(met, ["column", "mark"]).where(F.contains("cell", "needle")).select("column", "seed", "form")
+    words = cut_lineage(needles.select("needle").distinct().withColumn("needle_id", F.monotonically_increasing_id()))
+    met = _leak_candidates(counted, words).join(words, "needle_id").join(counted, "cell_id").where(F.contains("cell", "needle"))
+    return met.select("column", "n", "needle").join(needles, "needle").groupBy("column", "form", "seed").agg(F.sum("n").alias("cells"))
+
+
+def leak_hits(df: DataFrame, seeds: DataFrame, seed: str = "seed") -> DataFrame:
+    """One row per cell and seed form found in it: column, seed, form. Case is ignored."""
+    hits = leak_counts(df, seeds, seed)
+    return hits.select("column", "seed", "form", F.explode(F.sequence(F.lit(1).cast("long"), F.col("cells")))).drop("col")
 
 
 def leak_scan(df: DataFrame, seeds: DataFrame, seed: str = "seed") -> DataFrame:
     """Seeded values found in a published dataset, per column and form: cells hit, seeds found."""
-    return (
-        leak_hits(df, seeds, seed)
-        .groupBy("column", "form", "seed")
-        .agg(F.count(F.lit(1)).alias("cells"))
-        .groupBy("column", "form")
-        .agg(F.sum("cells").alias("cells"), F.count("seed").alias("seeds"))
-    )
+    return leak_counts(df, seeds, seed).groupBy("column", "form").agg(F.sum("cells").alias("cells"), F.count("seed").alias("seeds"))
