@@ -39,7 +39,7 @@ from maskwright.llm.piece_merges import Merges
 
 HOT, SLICE, SLICE_BYTES, PAIRS = 1 << 19, 512, 1 << 20, 1 << 19
 # Bytes that a Python worker remembers of stretches, twice for each side.
-ROOM = 40 << 20
+ROOM = 72 << 20
 # White space as Unicode has it (a fixed value): what the pattern of A takes for it.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
