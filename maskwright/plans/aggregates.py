@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -35,12 +36,39 @@ JSON_LISTS = ("json_agg", "jsonb_agg", "json_arrayagg", "json_group_array")
 JSON_OBJECTS = ("json_object_agg", "jsonb_object_agg", "json_objectagg", "json_group_object")
 
 
+def bare(key: str) -> str:
+    """An ordering key without its direction."""
+    return re.sub(r"(?i)(\s+(asc|desc))?(\s+nulls\s+(first|last))?\s*$", "", key)
+
+
+def direction(key: str) -> tuple[bool, bool]:
+    """Whether an ordering key descends, and whether its nulls come first (as Spark has it where the key says nothing)."""
+    tail = key[len(bare(key)) :].lower()
+    down = "desc" in tail
+    return down, "first" in tail or ("last" not in tail and not down)
+
+
 def _json(c: Column) -> Column:
     """A value as JSON text."""
     one = F.to_json(F.array(c), {"ignoreNullFields": "false"})
     return F.substr(one, F.lit(2), F.char_length(one) - 2)
 
 
+def _compared(x: Column, y: Column, ways: list[tuple[bool, bool]]) -> Column:
+    """-1, 0 or 1: two structs by o0, o1, ..., each in its direction, and by their value where these are equal."""
+    out = F.lit(0)
+    for name, (down, nulls_first) in reversed([*((f"o{i}", w) for i, w in enumerate(ways)), ("v", (False, True))]):
+        p, q = x[name], y[name]
+        out = (
+            F.when(p.eqNullSafe(q), out)
+            .when(p.isNull(), -1 if nulls_first else 1)
+            .when(q.isNull(), 1 if nulls_first else -1)
+            .when(p < q, 1 if down else -1)
+            .otherwise(-1 if down else 1)
+        )
+    return out
+
+
 @dataclass(frozen=True)
 class Agg:
     """One aggregate: name, argument expressions, alias and modifiers."""
@@ -76,7 +104,8 @@ class Agg:
             if fn == "avg":
                 value = guard(args[0])
                 return F.sum_distinct(value) / F.count_distinct(value)
-            raise Refused("E_UNSUPPORTED_SYNTAX", f"{fn}(DISTINCT ...) is not offered")
+            kept = f"CASE WHEN {self.where} THEN {self.args[0]} END" if self.where else self.args[0]
+            return F.expr(f"{NUMERIC[fn]}(DISTINCT {kept})")
         if fn in TEXTS:
             return self._joined(args[0], keep)
         if fn in LISTS:
@@ -93,13 +122,16 @@ class Agg:
 
     def _ordered(self, value: Column, keep: Column | None) -> Column:
         """The group's values as structs, nulls included, in the order asked for."""
-        parts = [F.expr(o).alias(f"o{i}") for i, o in enumerate(self.order_by)]
+        parts = [F.expr(bare(o)).alias(f"o{i}") for i, o in enumerate(self.order_by)]
         item = F.struct(*parts, value.alias("v"))
         item = item if keep is None else F.when(keep, item)
         items = F.collect_set(item) if self.distinct else F.collect_list(item)
         if not self.order_by and not self.distinct:
             return items
-        return F.sort_array(items, not self.descending)
+        ways = [direction(o if o != bare(o) or not self.descending else f"{o} desc") for o in self.order_by]
+        if all(way == (self.descending, not self.descending) for way in ways):
+            return F.sort_array(items, not self.descending)
+        return F.array_sort(items, lambda x, y: _compared(x, y, ways))
 
     def _list(self, value: Column, keep: Column | None) -> Column:
         return F.transform(self._ordered(value, keep), lambda x: x["v"])
@@ -110,7 +142,8 @@ class Agg:
 
 
 def agg(fn: str, *args: str, alias: str, **options) -> Agg:
-    """``agg("sum", "amount", alias="total")``; options: distinct, where, order_by, descending, separator."""
+    """``agg("sum", "amount", alias="total")``; options: distinct, where, order_by (each key with its own
+    direction: ``("a desc", "b")``; ``descending`` turns those that name none), separator."""
     if isinstance(options.get("order_by"), str):
         options["order_by"] = (options["order_by"],)
     return Agg(fn.lower(), tuple(args), alias, **options)

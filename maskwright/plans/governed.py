@@ -25,6 +25,8 @@ from maskwright.operators.masking import protect_column
 from maskwright.operators.output import Limits
 from maskwright.operators.rules import RuleSet, fold
 from maskwright.plans.aggregates import COUNTS, PICKS, Agg
+from maskwright.plans.aggregates import bare as _bare
+from maskwright.plans.aggregates import direction as _direction
 from maskwright.plans.provenance import Kind, Prov, mixed, same_column
 from maskwright.plans.refusals import Refused
 from maskwright.session import cut_lineage
@@ -399,29 +401,93 @@ class Governed:
         met = a._df.withColumn("_at", F.floor(x / width)).join(reached, "_at").where((x - y).between(low, high))
         return Governed(met.select(*[F.col(f"`{c}`") for c in provs]), provs, trail)
 
-    def semi_join(self, other: Governed, on) -> Governed:
-        """Rows with a match: IN (subquery), = ANY, EXISTS."""
+    def overlap_join(self, other: Governed, left: tuple[str, str], right: tuple[str, str], on: Sequence = ()) -> Governed:
+        """Pairs whose intervals [start, end] share a point, over unmasked numbers, dates or timestamps.
+
+        An interval lies in at most two cells of the smallest power of two
+        above its length, and in at most two of any larger one. A pair meets,
+        by equality, in the cells of its longer interval, once: in the first
+        cell that both reach. Only lengths in use have cells (at most 64), so
+        a row is copied at most 128 times, however long the other intervals
+        are. Nulls and intervals that end before they start meet nothing.
+        ``on`` adds equalities between columns.
+        """
+        l, r = [self._name(c) for c in left], [other._name(c) for c in right]
+        pairs = self._pairs(other, list(on))
+        a, b, trail = self._joinable(other, pairs)
+        both = a._beside(b, trail)
+        p = mixed([*[a._prov[c] for c in l], *[b._prov[c] for c in r]])
+        if p.sensitive:
+            raise Refused("E_MASKED_FILTER", f"{p.names()} is masked: an overlap with it would tell its value")
+        trail = both._touch("join", *[a._prov[c] for c in l], *[b._prov[c] for c in r])
+        x, y = _with_level(a._df, *l, "_l"), _with_level(b._df, *r, "_r")
+        levels = F.array_union(*[d.agg(F.collect_set(c)).scalar() for d, c in ((x, "_level_l"), (y, "_level_r"))])
+        same = [F.col(f"`{c}`") == F.col(f"`{d}`") for c, d in pairs]
+        met = None
+        # The left interval is the longer one or as long; then the right one is longer.
+        for mine, theirs in (("own", "any"), ("larger", "own")):
+            u, v = _in_cells(x, "_l", levels, mine), _in_cells(y, "_r", levels, theirs)
+            at = [F.col("_grain_l") == F.col("_grain_r"), F.col("_cell_l") == F.col("_cell_r"), *same]
+            one = u.join(v, at).where(
+                (F.col("_from_l") <= F.col("_to_r"))
+                & (F.col("_from_r") <= F.col("_to_l"))
+                & (F.col(f"`{l[0]}`") <= F.col(f"`{r[1]}`"))
+                & (F.col(f"`{r[0]}`") <= F.col(f"`{l[1]}`"))
+                & (F.col("_cell_l") == F.greatest(F.col("_first_l"), F.col("_first_r")))
+            ).select(*[F.col(f"`{c}`") for c in both._prov])
+            met = one if met is None else met.unionAll(one)
+        return Governed(met, both._prov, trail)
+
+    def _beside(self, other: Governed, trail: Trail) -> Governed:
+        """The columns of both frames, for judging a condition that reads either; no rows."""
+        clash = {fold(c) for c in self._prov} & {fold(c) for c in other._prov}
+        if clash:
+            raise Refused("E_UNKNOWN_NAME", f"ambiguous columns {', '.join(sorted(clash)).lower()[:80]}: use prefix or rename")
+        both = T.StructType([*self._df.schema.fields, *other._df.schema.fields])
+        return Governed(self._df.sparkSession.createDataFrame([], both), {**self._prov, **other._prov}, trail)
+
+    def _matches(self, other: Governed, pairs, where: str | None, trail: Trail) -> tuple[DataFrame, str, Trail]:
+        """What an existence test needs of the other side, its condition, and the trail with what the condition reads."""
+        if not pairs:
+            raise Refused("E_COST", "an existence test meets its rows by at least one equality")
+        keys = [F.col(f"`{r}`").alias(f"_k{i}") for i, (_, r) in enumerate(pairs)]
+        tests = [f"`{l}` = _k{i}" for i, (l, _) in enumerate(pairs)]
+        if where is not None:
+            both = self._beside(other, trail)
+            reads = both._reads(where)
+            p = mixed(both._prov[c] for c in reads)
+            if p.sensitive:
+                raise Refused("E_MASKED_FILTER", f"{p.names()} is masked: whether a row exists would tell how it compares")
+            trail = both._touch("where", p)
+            keys += [F.col(f"`{c}`") for c in reads if c in other._prov]
+            tests.append(f"({where})")
+        return other._df.select(*keys), " AND ".join(tests), trail
+
+    def semi_join(self, other: Governed, on, where: str | None = None) -> Governed:
+        """Rows with a match: IN (subquery), = ANY, EXISTS.
+
+        ``where`` is what EXISTS asks besides the equalities: any condition
+        over unmasked columns of both frames.
+        """
         pairs = self._pairs(other, on)
         a, b, trail = self._joinable(other, pairs, "where")
-        keys = b._df.select(*[F.col(f"`{r}`").alias(f"_k{i}") for i, (_, r) in enumerate(pairs)])
-        condition = " AND ".join(f"`{l}` = _k{i}" for i, (l, _) in enumerate(pairs))
+        keys, condition, trail = a._matches(b, pairs, where, trail)
         return a._with(a._df.join(keys, F.expr(condition), "left_semi"), a._prov, trail)
 
-    def anti_join(self, other: Governed, on, not_in: bool = False) -> Governed:
-        """Rows without a match: NOT EXISTS, or NOT IN with its rules for nulls."""
+    def anti_join(self, other: Governed, on, not_in: bool = False, where: str | None = None) -> Governed:
+        """Rows without a match: NOT EXISTS (``where`` as in semi_join), or NOT IN with its rules for nulls."""
         pairs = self._pairs(other, on)
+        if not_in and (len(pairs) != 1 or where is not None):
+            raise Refused("E_UNSUPPORTED_SYNTAX", "NOT IN compares one column and nothing else")
         a, b = self._settle(), other._settle()
         for l, r in pairs:
             p = mixed([a._prov[l], b._prov[r]])
             if p.sensitive:
                 raise Refused("E_MASKED_FILTER", f"{p.names()} is masked: rows are not chosen by what it is not")
         a, b, trail = self._joinable(other, pairs, "where")
-        keys = b._df.select(*[F.col(f"`{r}`").alias(f"_k{i}") for i, (_, r) in enumerate(pairs)])
-        condition = " AND ".join(f"`{l}` = _k{i}" for i, (l, _) in enumerate(pairs))
+        keys, condition, trail = a._matches(b, pairs, where, trail)
         df = a._df.join(keys, F.expr(condition), "left_anti")
         if not_in:
-            if len(pairs) != 1:
-                raise Refused("E_UNSUPPORTED_SYNTAX", "NOT IN compares one column")
             key = F.col(f"`{pairs[0][0]}`")
             # One null on the right keeps nothing; a null on the left is kept only against no rows.
             any_null = keys.agg(F.coalesce(F.bool_or(F.col("_k0").isNull()), F.lit(False))).scalar()
@@ -442,6 +508,90 @@ class Governed:
         top = other._with(ranked.drop("_rn"), other._prov, other._touch("order by", *[other._value(_bare(o)) for o in order_by]))
         return self.join(top, on=pairs)
 
+    def lateral_join(
+        self,
+        other: Governed,
+        on,
+        where: str | None = None,
+        columns: dict[str, str] | None = None,
+        aggs: Sequence[Agg] = (),
+        order_by: Sequence[str] = (),
+        limit: int | None = None,
+        how: str = "inner",
+    ) -> Governed:
+        """LATERAL: per row of this frame, a body over the rows of other that match it.
+
+        The body may read this frame's columns: in ``where``, in the computed
+        ``columns`` (by new name; without them, those of other), in ``aggs``
+        (one row, also where nothing matches) and in ``order_by`` with
+        ``limit``. A ``left`` lateral keeps rows whose body is empty. Spark
+        takes the outer references out itself: the equalities become a join,
+        first rows a ranked window on the keys, aggregates a grouping by them.
+        A null key matches nothing; repeated outer rows each get their body.
+        """
+        how = how.lower()
+        if how not in ("inner", "left"):
+            raise Refused("E_UNSUPPORTED_SYNTAX", "a lateral body is joined inner or left")
+        if aggs and (columns or order_by or limit is not None):
+            raise Refused("E_UNSUPPORTED_SYNTAX", "a body of aggregates is one row: nothing to compute, order or cut in it")
+        if limit is not None and limit < 0:
+            raise Refused("E_NO_LIMIT", "LIMIT is a count")
+        pairs = self._pairs(other, on)
+        if not pairs:
+            raise Refused("E_COST", "a lateral body meets its outer row by at least one equality")
+        a, b, trail = self._joinable(other, pairs)
+        body = a._beside(b, trail)
+        texts = [where, *(columns or {}).values(), *[_bare(o) for o in order_by]]
+        texts += [x for g in aggs for x in (*g.args, g.where, *[_bare(o) for o in g.order_by])]
+        if where is not None:
+            body = body.filter(where)
+        taken = {fold(c) for c in a._prov}
+        for n in [*(columns or {}), *[g.alias for g in aggs]]:
+            if fold(n) in taken:
+                raise Refused("E_UNKNOWN_NAME", f"ambiguous column {n.lower()[:64]}: the outer row has it")
+        if columns:
+            body = body.with_columns(columns)
+        for o in order_by:
+            body._order_key(o)
+            body = replace(body, _trail=body._touch("order by", body._value(_bare(o))))
+        if aggs:
+            done = body.agg(*aggs)
+            if len(done.k_checks()) > len(trail.checks):
+                raise Refused("E_MASKED_EXPRESSION", "PII columns may be carried out of a lateral body, not aggregated in it")
+            body = done
+        names = [g.alias for g in aggs] or list(columns or b._prov)
+        seen = a._beside(b, trail)
+        seen = seen.with_columns(columns) if columns else seen
+        read = {c for t in texts if t is not None for c in seen._reads(t) if c in a._prov}
+        needed = list(dict.fromkeys([l for l, _ in pairs] + [c for c in a._prov if c in read]))
+        # Outer columns go by names of their own, so that none is taken for the body's copy of it.
+        out = {c: f"_outer{i}" for i, c in enumerate(a._prov)}
+        if read:
+            # What the body reads of the outer row comes with the keys, once per distinct combination, by an equality join.
+            seen_from = a._df.select(*[F.col(f"`{c}`") for c in needed]).distinct()
+            rows = seen_from.join(b._df, F.expr(" AND ".join(f"`{l}` = `{r}`" for l, r in pairs)))
+            rows = rows.where(F.expr(where)) if where is not None else rows
+            inner = {l: l for l, _ in pairs}
+        else:
+            rows = b._df.where(F.expr(where)) if where is not None else b._df
+            inner = dict(pairs)
+        # Equalities alone: Spark then pairs no inner row with outer values it does not equal.
+        for l, r in inner.items():
+            rows = rows.where(F.col(f"`{r}`") == F.col(out[l]).outer())
+        for c in needed if read else ():
+            if c not in inner:
+                rows = rows.where(F.col(f"`{c}`").eqNullSafe(F.col(out[c]).outer()))
+        if aggs:
+            rows = rows.select(*[g.column().alias(g.alias) for g in aggs])
+        else:
+            rows = rows.select("*", *[F.expr(e).alias(n) for n, e in columns.items()]) if columns else rows
+            rows = rows.orderBy(*[_sorting(o) for o in order_by]) if order_by else rows
+            rows = rows.limit(limit) if limit is not None else rows
+            rows = rows.select(*[F.col(f"`{n}`") for n in names])
+        met = a._df.select(*[F.col(f"`{c}`").alias(o) for c, o in out.items()]).lateralJoin(rows, how=how)
+        df = met.select(*[F.col(o).alias(c) for c, o in out.items()], *[F.col(f"`{n}`") for n in names])
+        return Governed(df, {**a._prov, **{n: body._prov[n] for n in names}}, body._trail)
+
     def with_scalar(self, name: str, other: Governed) -> Governed:
         """The value of a one-row, one-column query as a column."""
         if self._groups is not None:
@@ -783,6 +933,37 @@ def _unknown(expression) -> bool:
     return (kind in _CALLS_OUT and not own) or any(_unknown(e) for e in _scala(expression.children()))
 
 
+def _with_level(df: DataFrame, start: str, end: str, side: str) -> DataFrame:
+    """Rows with an interval, its ends as whole numbers, and the exponent of the power of two above its length."""
+
+    def whole(name: str) -> Column:
+        kind, c = df.schema[name].dataType, F.col(f"`{name}`")
+        if isinstance(kind, T.DateType):
+            return F.unix_date(c).cast("long")
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            return F.unix_micros(c.cast("timestamp"))
+        if isinstance(kind, T.NumericType):
+            return F.floor(c).cast("long")
+        raise Refused("E_INVALID_SQL", f"{name.lower()[:64]} is no number, date or timestamp")
+
+    ends = df.where(F.col(f"`{start}`") <= F.col(f"`{end}`")).select("*", whole(start).alias(f"_from{side}"), whole(end).alias(f"_to{side}"))
+    length = F.col(f"_to{side}") - F.col(f"_from{side}")
+    return ends.withColumn(f"_level{side}", F.when(length == 0, 0).otherwise(F.length(F.bin(length))))
+
+
+def _in_cells(df: DataFrame, side: str, levels: Column, which: str) -> DataFrame:
+    """One row per cell an interval reaches: of its own level, of the larger ones in use, or of any of these."""
+    own = F.col(f"_level{side}")
+    grain, first = f"_grain{side}", f"_first{side}"
+    if which == "own":
+        at = df.withColumn(grain, own)
+    else:
+        used = df.select("*", F.explode(levels).alias(grain))
+        at = used.where(F.col(grain) > own if which == "larger" else F.col(grain) >= own)
+    at = at.select("*", F.expr(f"shiftright(_from{side}, {grain})").alias(first), F.expr(f"shiftright(_to{side}, {grain})").alias("_last"))
+    return at.select("*", F.explode(F.sequence(first, "_last")).alias(f"_cell{side}")).drop("_last")
+
+
 _EMPTY: dict[tuple, DataFrame] = {}
 
 
@@ -794,18 +975,6 @@ def _empty(df: DataFrame) -> DataFrame:
     return _EMPTY[key]
 
 
-def _bare(key: str) -> str:
-    """An ordering key without its direction."""
-    return re.sub(r"(?i)(\s+(asc|desc))?(\s+nulls\s+(first|last))?\s*$", "", key)
-
-
-def _direction(key: str) -> tuple[bool, bool]:
-    """Whether an ordering key descends, and whether its nulls come first (as Spark has it where the key says nothing)."""
-    tail = key[len(_bare(key)) :].lower()
-    down = "desc" in tail
-    return down, "first" in tail or ("last" not in tail and not down)
-
-
 def _sorting(key: str) -> Column:
     c, (down, first) = F.expr(_bare(key)), _direction(key)
     if down:
@@ -832,7 +1001,7 @@ class Grouped:
             trail = replace(g, _trail=trail)._touch("select", touched)
             for extra in (a.where, *a.order_by):
                 if extra:
-                    q = mixed(g._prov[c] for c in g._reads(extra))
+                    q = mixed(g._prov[c] for c in g._reads(_bare(extra) if extra in a.order_by else extra))
                     if q.sensitive:
                         raise Refused("E_MASKED_ORDER", f"{q.names()} is masked: it neither filters nor orders what an aggregate takes in")
                     trail = replace(g, _trail=trail)._touch("select", q)

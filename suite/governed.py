@@ -152,8 +152,8 @@ def crossed(spark, sf):
 
 @query("e9_theta_join", "select c_custkey, n_nationkey from customer join nation on n_nationkey < c_nationkey and c_nationkey - n_nationkey < 3")
 def theta(spark, sf):
-    g = shop(spark, sf, "customer").join(shop(spark, sf, "nation"), where="n_nationkey < c_nationkey and c_nationkey - n_nationkey < 3")
-    return g.select("c_custkey", "n_nationkey").result()
+    c, n = shop(spark, sf, "customer").select("c_custkey", "c_nationkey"), shop(spark, sf, "nation").select("n_nationkey")
+    return c.band_join(n, "c_nationkey", "n_nationkey", 1, 2).select("c_custkey", "n_nationkey").result()
 
 
 @query("e9_band_join", "select s_suppkey, p_partkey from supplier join part on p_partkey - s_suppkey between -1 and 2")
@@ -162,6 +162,31 @@ def band(spark, sf):
     return parts.band_join(suppliers, "p_partkey", "s_suppkey", -1, 2).select("s_suppkey", "p_partkey").result()
 
 
+@query(
+    "e9_overlap_join",
+    """select p_partkey, s_suppkey from (select p_partkey, p_partkey + p_size as p_end from part) p
+join (select s_suppkey, s_suppkey * 20 as s_from, s_suppkey * 20 + s_nationkey * s_nationkey as s_end from supplier) s on p_partkey <= s_end and s_from <= p_end""",
+)
+def overlap(spark, sf):
+    parts = shop(spark, sf, "part").with_column("p_end", "p_partkey + p_size").select("p_partkey", "p_end")
+    spans = {"s_from": "s_suppkey * 20", "s_end": "s_suppkey * 20 + s_nationkey * s_nationkey"}
+    suppliers = shop(spark, sf, "supplier").with_columns(spans).select("s_suppkey", "s_from", "s_end")
+    return parts.overlap_join(suppliers, ("p_partkey", "p_end"), ("s_from", "s_end")).select("p_partkey", "s_suppkey").result()
+
+
+@query(
+    "e9_overlap_join_keys",
+    """select a.o_orderkey as a_key, b.o_orderkey as b_key from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey
+and cast(a.o_orderdate as date) <= cast(b.o_orderdate as date) + cast(b.o_orderkey % 90 as int) and cast(b.o_orderdate as date) <= cast(a.o_orderdate as date) + cast(a.o_orderkey % 90 as int)""",
+)
+def overlap_keys(spark, sf):
+    spans = {"since": "cast(o_orderdate as date)", "until": "date_add(cast(o_orderdate as date), cast(o_orderkey % 90 as int))"}
+    open_orders = shop(spark, sf, "orders").with_columns(spans).select(("o_orderkey", "key"), ("o_custkey", "cust"), "since", "until")
+    a, b = open_orders.prefix("a_"), open_orders.prefix("b_")
+    met = a.overlap_join(b, ("a_since", "a_until"), ("b_since", "b_until"), on=[("a_cust", "b_cust")])
+    return met.filter("a_key < b_key").select("a_key", "b_key").result()
+
+
 @query("e10_semi_join", f"select c_custkey, {NAME} as c_name from customer where c_custkey in (select o_custkey from orders where o_totalprice > 300000)")
 def semi(spark, sf):
     big = shop(spark, sf, "orders").filter("o_totalprice > 300000")
@@ -179,6 +204,21 @@ def anti(spark, sf):
     return shop(spark, sf, "customer").anti_join(some, on=[("c_custkey", "o_custkey")]).select("c_custkey", "c_name").result()
 
 
+_ABOVE = "o_totalprice > 9000 * (c_nationkey + 1)"
+
+
+@query("e10_exists_residual", f"select c_custkey, {NAME} as c_name from customer where exists (select 1 from orders where o_custkey = c_custkey and {_ABOVE} and o_orderstatus <> 'P')")
+def exists_residual(spark, sf):
+    g = shop(spark, sf, "customer").semi_join(shop(spark, sf, "orders"), on=[("c_custkey", "o_custkey")], where=f"{_ABOVE} and o_orderstatus <> 'P'")
+    return g.select("c_custkey", "c_name").result()
+
+
+@query("e11_not_exists_residual", f"select c_custkey, {NAME} as c_name from customer where not exists (select 1 from orders where o_custkey = c_custkey and {_ABOVE})")
+def not_exists_residual(spark, sf):
+    g = shop(spark, sf, "customer").anti_join(shop(spark, sf, "orders"), on=[("c_custkey", "o_custkey")], where=_ABOVE)
+    return g.select("c_custkey", "c_name").result()
+
+
 _NULLED = "case when c_custkey % 10 > 0 then c_custkey end"
 
 
@@ -214,6 +254,46 @@ def lateral(spark, sf):
     return g.select("c_custkey", "c_name", "o_orderkey").result()
 
 
+@query(
+    "e12_lateral_aggregate",
+    f"""select c_custkey, {NAME} as c_name, n, top, cast(urgent as bigint) as urgent from customer, lateral (
+  select count(*) as n, max(o_totalprice) as top, count(*) filter (o_orderstatus = 'O') as urgent from orders where o_custkey = c_custkey and {_ABOVE}) t""",
+)
+def lateral_aggregate(spark, sf):
+    body = [agg("count", alias="n"), agg("max", "o_totalprice", alias="top"), agg("count", alias="urgent", where="o_orderstatus = 'O'")]
+    g = shop(spark, sf, "customer").lateral_join(shop(spark, sf, "orders"), on=[("c_custkey", "o_custkey")], where=_ABOVE, aggs=body)
+    return g.select("c_custkey", "c_name", "n", "top", "urgent").result()
+
+
+@query(
+    "e12_lateral_top",
+    f"""select c_custkey, {NAME} as c_name, o_orderkey, round(surplus, 2) as surplus from customer, lateral (
+  select o_orderkey, o_totalprice - 9000 * c_nationkey as surplus from orders where o_custkey = c_custkey order by abs(o_totalprice - 9000 * c_nationkey), o_orderkey desc limit 2) t""",
+)
+def lateral_top(spark, sf):
+    g = shop(spark, sf, "customer").lateral_join(
+        shop(spark, sf, "orders"),
+        on=[("c_custkey", "o_custkey")],
+        columns={"order_key": "o_orderkey", "over": "o_totalprice - 9000 * c_nationkey"},
+        order_by=["abs(o_totalprice - 9000 * c_nationkey)", "o_orderkey desc"],
+        limit=2,
+    )
+    g = g.with_column("surplus", "round(over, 2)")
+    return g.select("c_custkey", "c_name", ("order_key", "o_orderkey"), "surplus").result()
+
+
+@query(
+    "e12_lateral_left",
+    f"""select c_custkey, {NAME} as c_name, o_orderkey, o_totalprice from customer left join lateral (
+  select o_orderkey, o_totalprice from orders where o_custkey = c_custkey and {_ABOVE} order by o_totalprice desc, o_orderkey limit 1) t on true""",
+)
+def lateral_left(spark, sf):
+    g = shop(spark, sf, "customer").lateral_join(
+        shop(spark, sf, "orders"), on=[("c_custkey", "o_custkey")], where=_ABOVE, order_by=["o_totalprice desc", "o_orderkey"], limit=1, how="left"
+    )
+    return g.select("c_custkey", "c_name", "o_orderkey", "o_totalprice").result()
+
+
 @query("e13_scalar", "select o_orderkey, o_totalprice = (select max(o_totalprice) from orders) as is_top from orders where o_totalprice > (select max(o_totalprice) from orders) * 0.9")
 def scalar(spark, sf):
     orders = shop(spark, sf, "orders")
@@ -311,6 +391,38 @@ def bits(spark, sf):
     )
 
 
+@query(
+    "e20_mixed_order",
+    """select l_orderkey, string_agg(cast(l_linenumber as varchar), ',' order by l_returnflag desc, l_linenumber) as falling,
+  string_agg(cast(l_linenumber as varchar), ',' order by nullif(l_returnflag, 'N') asc nulls last, l_linenumber desc) as last from lineitem group by l_orderkey""",
+)
+def mixed_order(spark, sf):
+    keys = ("l_returnflag desc", "l_linenumber"), ("nullif(l_returnflag, 'N') asc nulls last", "l_linenumber desc")
+    g = shop(spark, sf, "lineitem").group_by("l_orderkey")
+    return g.agg(*[agg("string_agg", "l_linenumber", alias=n, order_by=k) for n, k in zip(("falling", "last"), keys)]).result()
+
+
+_DISTINCT = ["stddev", "stddev_pop", "variance", "var_pop"]
+_DISTINCT_BITS = ["bit_and", "bit_or", "bit_xor"]
+
+
+@query(
+    "e22_distinct_more",
+    "select l_returnflag, "
+    + ", ".join(f"round({f}(distinct l_quantity), 6) as {f}_q" for f in _DISTINCT)
+    + ", "
+    + ", ".join(f"{f}(distinct l_linenumber) filter (l_linenumber > 2) as {f}_n" for f in _DISTINCT_BITS)
+    + " from lineitem group by l_returnflag",
+)
+def distinct_more(spark, sf):
+    g = shop(spark, sf, "lineitem").group_by("l_returnflag").agg(
+        *[agg(f, "l_quantity", alias=f"raw_{f}", distinct=True) for f in _DISTINCT],
+        *[agg(f, "l_linenumber", alias=f"{f}_n", distinct=True, where="l_linenumber > 2") for f in _DISTINCT_BITS],
+    )
+    g = g.with_columns({f"{f}_q": f"round(raw_{f}, 6)" for f in _DISTINCT})
+    return g.select("l_returnflag", *[f"{f}_q" for f in _DISTINCT], *[f"{f}_n" for f in _DISTINCT_BITS]).result()
+
+
 @query(
     "e20_string_agg",
     """select l_orderkey, string_agg(l_returnflag, '|' order by l_linenumber, l_partkey, l_suppkey) as flags,
