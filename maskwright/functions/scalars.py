@@ -40,6 +40,48 @@ for _a, _b in (
 ):
     _STRFTIME_PATTERN = f"replace({_STRFTIME_PATTERN}, '{_a}', '{_b}')"
 
+_TO_CHAR_PATTERN = "fmt"
+for _a, _b in (
+    ("YYYY", "yyyy"),
+    ("YY", "yy"),
+    ("DDD", "D__"),
+    ("DD", "dd"),
+    ("D__", "DDD"),
+    ("HH24", "HH"),
+    ("HH12", "hh"),
+    ("MI", "mm"),
+    ("SS", "ss"),
+    ("Month", "MMMM"),
+    ("Mon", "MMM"),
+    ("Day", "EEEE"),
+    ("Dy", "EEE"),
+    ("AM", "a"),
+):
+    _TO_CHAR_PATTERN = f"replace({_TO_CHAR_PATTERN}, '{_a}', '{_b}')"
+
+# A JSON text as its marks: strings, punctuation, bare words and numbers.
+_MARKS = r"""regexp_extract_all(j, '(\"(?:[^\"\\\\]|\\\\.)*\"|[{}\\[\\],:]|[^\\s{}\\[\\],:\"]+)', 1)"""
+_TEXT_OF_MARK = "get_json_object(concat('{\"v\":', t, '}'), '$.v')"
+_UP = "slice(a.path, 1, greatest(size(a.path) - 1, 0))"
+_LAST = "try_element_at(a.path, -1)"
+# The walk holds the way to the value at hand: per open container its last key or index, and whether a key comes next.
+_FOUND = f"""aggregate({_MARKS},
+  struct(cast(array() AS ARRAY<STRING>) AS path, cast(array() AS ARRAY<STRING>) AS kinds, false AS at_key, cast(array() AS ARRAY<STRING>) AS found),
+  (a, t) -> CASE
+    WHEN t = '{{' THEN struct(array_append(a.path, '') AS path, array_append(a.kinds, 'o') AS kinds, true AS at_key, a.found AS found)
+    WHEN t = '[' THEN struct(array_append(a.path, '[0]') AS path, array_append(a.kinds, 'a') AS kinds, false AS at_key, a.found AS found)
+    WHEN t IN ('}}', ']') THEN struct({_UP} AS path, slice(a.kinds, 1, greatest(size(a.kinds) - 1, 0)) AS kinds, false AS at_key, a.found AS found)
+    WHEN t = ':' THEN struct(a.path AS path, a.kinds AS kinds, false AS at_key, a.found AS found)
+    WHEN t = ',' AND try_element_at(a.kinds, -1) = 'o' THEN struct(a.path AS path, a.kinds AS kinds, true AS at_key, a.found AS found)
+    WHEN t = ',' THEN struct(array_append({_UP}, concat('[', cast(try_cast(substring({_LAST}, 2, char_length({_LAST}) - 2) AS INT) + 1 AS STRING), ']')) AS path,
+      a.kinds AS kinds, false AS at_key, a.found AS found)
+    WHEN a.at_key THEN struct(array_append({_UP}, concat('.', if({_TEXT_OF_MARK} RLIKE '^[A-Za-z_][A-Za-z0-9_]*$', {_TEXT_OF_MARK}, t))) AS path,
+      a.kinds AS kinds, true AS at_key, a.found AS found)
+    WHEN startswith(t, '\"') AND {_TEXT_OF_MARK} LIKE p THEN struct(a.path AS path, a.kinds AS kinds, false AS at_key,
+      array_append(a.found, concat('$', array_join(a.path, ''))) AS found)
+    ELSE a END,
+  a -> a.found)"""
+
 # (name, parameters, result type, body)
 FUNCTIONS = [
     # strings
@@ -150,6 +192,23 @@ FUNCTIONS = [
         "format_string('%d years %d mons %d days', floor(months_between(a, b)) div 12, floor(months_between(a, b)) % 12, "
         "datediff(a, add_months(b, cast(floor(months_between(a, b)) AS INT))))",
     ),
+    ("curtime", "", "STRING", "date_format(current_timestamp(), 'HH:mm:ss')"),
+    ("pg_to_char", "t TIMESTAMP, fmt STRING", "STRING", f"date_format(t, {_TO_CHAR_PATTERN})"),
+    # Thirty days are a month and 24 hours a day; signs follow the interval's.
+    (
+        "justify_days",
+        "i INTERVAL",
+        "INTERVAL",
+        "make_interval(0, cast(extract(YEAR FROM i) * 12 + extract(MONTH FROM i) + extract(DAY FROM i) div 30 AS INT), 0, cast(extract(DAY FROM i) % 30 AS INT), "
+        "cast(extract(HOUR FROM i) AS INT), cast(extract(MINUTE FROM i) AS INT), extract(SECOND FROM i))",
+    ),
+    (
+        "justify_hours",
+        "i INTERVAL",
+        "INTERVAL",
+        "make_interval(cast(extract(YEAR FROM i) AS INT), cast(extract(MONTH FROM i) AS INT), 0, cast(extract(DAY FROM i) + extract(HOUR FROM i) div 24 AS INT), "
+        "cast(extract(HOUR FROM i) % 24 AS INT), cast(extract(MINUTE FROM i) AS INT), extract(SECOND FROM i))",
+    ),
     # JSON
     ("json_extract", "j STRING, p STRING", "STRING", "get_json_object(j, p)"),
     ("json_value", "j STRING, p STRING", "STRING", "get_json_object(j, p)"),
@@ -208,6 +267,26 @@ FUNCTIONS = [
     ("json_contains", "j STRING, v STRING", "BOOLEAN", "array_contains(from_json(j, 'array<string>'), if(startswith(v, '\"'), get_json_object(concat('{\"v\":', v, '}'), '$.v'), v))"),
     ("json_extract_path_text", "j STRING, k STRING", "STRING", "get_json_object(j, concat('$.', k))"),
     ("jsonb_array_length", "j STRING", "INT", "json_array_length(j)"),
+    # The paths of string values that match a LIKE pattern: the first one, or all (one text, or a list of them).
+    (
+        "json_search",
+        "j STRING, mode STRING, p STRING",
+        "STRING",
+        f"CASE WHEN try_parse_json(j) IS NOT NULL THEN transform(array({_FOUND}), f -> CASE WHEN size(f) = 0 THEN NULL "
+        "WHEN lower(mode) = 'one' OR size(f) = 1 THEN substring(to_json(slice(f, 1, 1)), 2, char_length(to_json(slice(f, 1, 1))) - 2) ELSE to_json(f) END)[0] END",
+    ),
+    ("json_array_elements", "j STRING", "ARRAY<STRING>", "transform(from_json(j, 'array<variant>'), v -> to_json(v))"),
+    # One line per value, four blanks per level; keys stay in the order of the text. Work grows with the square of a cell's marks.
+    (
+        "jsonb_pretty",
+        "j STRING",
+        "STRING",
+        f"CASE WHEN try_parse_json(j) IS NOT NULL THEN aggregate({_MARKS}, struct('' AS s, 0 AS d), "
+        "(a, t) -> CASE WHEN t IN ('{', '[') THEN struct(concat(a.s, t, '\\n', repeat(' ', 4 * (a.d + 1))) AS s, a.d + 1 AS d) "
+        "WHEN t IN ('}', ']') THEN struct(concat(rtrim(' ', a.s), if(endswith(rtrim(' ', a.s), '\\n'), '', '\\n'), repeat(' ', 4 * (a.d - 1)), t) AS s, a.d - 1 AS d) "
+        "WHEN t = ',' THEN struct(concat(a.s, ',\\n', repeat(' ', 4 * a.d)) AS s, a.d AS d) "
+        "WHEN t = ':' THEN struct(concat(a.s, ': ') AS s, a.d AS d) ELSE struct(concat(a.s, t) AS s, a.d AS d) END, a -> a.s) END",
+    ),
     # arrays
     ("array_length", "a ARRAY<STRING>, dim INT", "INT", "if(dim = 1 AND size(a) > 0, size(a), NULL)"),
     ("array_contains_all", "a ARRAY<STRING>, b ARRAY<STRING>", "BOOLEAN", "forall(b, x -> array_contains(a, x))"),
@@ -239,3 +318,30 @@ def num_nulls(*cols: Column) -> Column:
 
 def num_nonnulls(*cols: Column) -> Column:
     return F.lit(len(cols)) - num_nulls(*cols)
+
+
+def to_jsonb(value: Column) -> Column:
+    """A value of any type as compact JSON text; null is null."""
+    inside = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+    return F.when(value.isNotNull(), F.substring(inside, F.lit(2), F.char_length(inside) - 2))
+
+
+def json_build_array(*values: Column) -> Column:
+    """A JSON array of values of any types; nulls stay as null."""
+    return F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(to_jsonb(v), F.lit("null")) for v in values]), F.lit("]"))
+
+
+def json_build_object(*pairs: Column) -> Column:
+    """A JSON object of keys and values in turn; a null key is an error, a null value stays as null."""
+    if len(pairs) % 2:
+        raise ValueError("json_build_object: want a value for every key")
+    items = []
+    for key, value in zip(pairs[::2], pairs[1::2]):
+        name = F.when(key.isNull(), F.raise_error(F.lit("a JSON object has no null key")).cast("string")).otherwise(to_jsonb(key.cast("string")))
+        items.append(F.concat(name, F.lit(":"), F.coalesce(to_jsonb(value), F.lit("null"))))
+    return F.concat(F.lit("{"), F.concat_ws(",", *items), F.lit("}"))
+
+
+# The names that other dialects give to the same builders.
+json_array = jsonb_build_array = json_build_array
+json_object = jsonb_build_object = json_build_object

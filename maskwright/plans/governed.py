@@ -30,6 +30,7 @@ from maskwright.plans.aggregates import direction as _direction
 from maskwright.plans.provenance import Kind, Prov, mixed, same_column
 from maskwright.plans.refusals import Refused
 from maskwright.session import cut_lineage
+from maskwright.sources.sinks import store_batch
 
 MAX_PASSES = 8
 
@@ -367,14 +368,14 @@ class Governed:
             raise Refused("E_INVALID_SQL", "no column in common: use cross_join")
         return self.join(other, using=shared, how=how)
 
-    def cross_join(self, other: Governed, max_rows: int | None = None) -> Governed:
-        """All pairs. With ``max_rows``, a product whose smaller side has more rows than that is refused."""
+    def cross_join(self, other: Governed, max_rows: int = 10_000) -> Governed:
+        """All pairs. A product whose smaller side has more than ``max_rows`` rows is refused."""
         a, b, trail = self._joinable(other, [])
         clash = {fold(c) for c in a._prov} & {fold(c) for c in b._prov}
         if clash:
             raise Refused("E_UNKNOWN_NAME", f"ambiguous columns {', '.join(sorted(clash)).lower()[:80]}")
         provs = {**a._prov, **b._prov}
-        if max_rows is not None and all(side.limit(max_rows + 1).count() > max_rows for side in (a._df, b._df)):
+        if all(side.limit(max_rows + 1).count() > max_rows for side in (a._df, b._df)):
             raise Refused("E_COST", f"neither side of the product is within the {max_rows} rows asked for")
         return Governed(a._df.crossJoin(b._df), provs, trail)
 
@@ -877,17 +878,36 @@ class Governed:
         """One row per k-anonymity check; nothing when no check is due."""
         return k_report(self.k_checks(), k)
 
-    def write_to(self, path: str, db: str, table: str, rules: RuleSet, mode: str = "append") -> None:
-        """Append to a table: no masked value is stored, and a column under a rule takes nulls only."""
+    def _storable(self, db: str, table: str, rules: RuleSet) -> DataFrame:
         for name, p in self._prov.items():
             if p.sensitive:
                 raise Refused("E_MASKED_WRITE", f"{p.names()} would be kept unmasked")
             null = dict(self._df.dtypes)[name] == "void"
             if rules.mode(db, table, name) and not null:
                 raise Refused("E_MASKED_WRITE", f"{name.lower()} is masked and takes nulls only")
-        self._df.select(
-            *[F.col(f"`{c}`").cast("string") if t == "void" else F.col(f"`{c}`") for c, t in self._df.dtypes]
-        ).write.mode(mode).parquet(path)
+        return self._df
+
+    def write_to(self, path: str, db: str, table: str, rules: RuleSet, mode: str = "append") -> None:
+        """Append to a table's files: no masked value is stored, and a column under a rule takes nulls only."""
+        df = self._storable(db, table, rules)
+        df.select(*[F.col(f"`{c}`").cast("string") if t == "void" else F.col(f"`{c}`") for c, t in df.dtypes]).write.mode(mode).parquet(path)
+
+    def write_table(self, db: str, table: str, rules: RuleSet, batch: str) -> None:
+        """Store a batch in the catalogue table db.table, by the rules of ``write_to``; the same batch again replaces itself.
+
+        Nulls take the type of the table's column, or text where the write makes the table.
+        """
+        if not all(re.fullmatch(r"\w+", n) for n in (db, table)):
+            raise Refused("E_INVALID_SQL", "a table is named by letters, digits and underscores")
+        df, name = self._storable(db, table, rules), f"{db}.{table}"
+        spark = df.sparkSession
+        types = {f.name.lower(): f.dataType for f in spark.table(name).schema.fields} if spark.catalog.tableExists(name) else {}
+        cast = lambda c: F.col(f"`{c}`").cast(types.get(c.lower(), "string"))
+        df = df.select(*[cast(c).alias(c) if t == "void" else F.col(f"`{c}`") for c, t in df.dtypes])
+        try:
+            store_batch(df, name, batch)
+        except ValueError as e:
+            raise Refused("E_INVALID_SQL", str(e)) from e
 
 
 # Spark's classes of functions that run a caller's code, call methods by name or tell where rows are kept.

@@ -18,6 +18,43 @@ def publish_masked(df, db, table, rules, path, names=det.DEFAULT_DETECTORS, part
     (out.partitionBy(*partition_by) if partition_by else out).parquet(path)
 
 
+BATCH = "batch"
+
+
+def store_batch(df: DataFrame, name: str, batch: str) -> None:
+    """Store df in a catalogue table as the batch of that label.
+
+    The table is partitioned by ``batch``, and a batch is replaced whole: the
+    same write again, after a lost driver say, leaves no doubles, an empty one
+    leaves no rows, and other batches stay. The first write makes the table.
+    Columns meet by name, in any case; one that the table lacks or that df
+    lacks, and one of another type, fails the write before anything is stored.
+    """
+    spark = df.sparkSession
+    if BATCH in [c.lower() for c in df.columns]:
+        raise ValueError(f"store_batch: {BATCH} is the column of the label")
+    if not spark.catalog.tableExists(name):
+        empty = df.withColumn(BATCH, F.lit(batch)).limit(0)
+        empty.write.format("parquet").partitionBy(BATCH).saveAsTable(name)
+    target = spark.table(name).schema
+    if [c.name for c in spark.catalog.listColumns(name) if c.isPartition] != [BATCH]:
+        raise ValueError(f"store_batch: {name} is not partitioned by {BATCH} alone")
+    have = {f.name.lower(): f for f in df.schema.fields}
+    want = {f.name.lower(): f for f in target.fields if f.name != BATCH}
+    if len(have) != len(df.columns) or have.keys() != want.keys():
+        raise ValueError(f"store_batch: columns differ: {', '.join(sorted(have.keys() ^ want.keys()))[:200]}")
+    for key, field in want.items():
+        if have[key].dataType.simpleString() != field.dataType.simpleString():
+            raise ValueError(f"store_batch: {field.name} is {field.dataType.simpleString()}, not {have[key].dataType.simpleString()}")
+    rows = df.select(*[F.col(f"`{have[key].name}`") for key in want])
+    spark.sql(f"INSERT OVERWRITE TABLE {name} PARTITION ({BATCH} = :label) SELECT * FROM {{rows}}", args={"label": batch}, rows=rows)
+
+
+def publish_masked_table(df, db, table, rules, name, batch, names=det.DEFAULT_DETECTORS) -> None:
+    """Store the protected copy of a table as a batch of a catalogue table."""
+    store_batch(mask_table(df, db, table, rules, names), name, batch)
+
+
 def export_capped(df: DataFrame, path: str, limits: Limits = Limits(), fmt: str = "tsv", order=(), mode: str = "errorifexists") -> None:
     """Write a governed result as text within its caps, with header and closing lines."""
     # At most max_rows lines, worked out once: body and closing lines speak of the same rows.

@@ -124,19 +124,22 @@ def pair_runs(plans: DataFrame, runs: DataFrame, ttl: str = "10 minutes", delay:
     """Each run with its plan, within the plan's lifetime; a plan runs once.
 
     plans: plan_id, ts. runs: plan_id, run_id, ts. Runs outside the lifetime
-    go first, so none of them can stand for a valid one; of several valid
-    runs the one that arrives first stays.
+    go first, so none of them can stand for a valid one; of several valid runs
+    the earliest stays (ties: the smaller run_id), in whatever order they
+    arrive. A pair is given out once the watermark has passed the plan's
+    lifetime, when no earlier run can come any more.
     """
-    p = plans.select(F.col("plan_id"), F.col("ts").alias("plan_ts")).withWatermark("plan_ts", delay)
+    p = plans.select("plan_id", F.col("ts").alias("plan_ts"), F.expr(f"ts + INTERVAL {ttl}").alias("deadline")).withWatermark("deadline", delay)
     r = runs.select(F.col("plan_id").alias("run_plan"), "run_id", F.col("ts").alias("run_ts")).withWatermark("run_ts", delay)
     paired = p.join(
         r,
-        F.expr(f"run_plan = plan_id AND run_ts >= plan_ts AND run_ts <= plan_ts + INTERVAL {ttl}"),
+        F.expr(f"run_plan = plan_id AND run_ts >= deadline - INTERVAL {ttl} AND run_ts <= deadline"),
         "inner",
     )
-    # One event time is enough from here on.
-    timed = paired.select("plan_id", "plan_ts", "run_id", F.expr("run_ts + INTERVAL 0 SECONDS").alias("run_ts"))
-    return timed.dropDuplicatesWithinWatermark(["plan_id"])
+    # One event time is enough from here on: the end of the plan's lifetime.
+    timed = paired.select("plan_id", "plan_ts", "deadline", "run_id", F.expr("run_ts + INTERVAL 0 SECONDS").alias("run_ts"))
+    first = F.min(F.struct("run_ts", "run_id")).alias("first")
+    return timed.groupBy("plan_id", "plan_ts", "deadline").agg(first).select("plan_id", "plan_ts", "first.run_id", "first.run_ts")
 
 
 def undecided(pending: DataFrame, decisions: DataFrame, within: str = "1 hour", delay: str = "10 minutes") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from maskwright.operators import discovery, rules
@@ -14,7 +16,6 @@ from suite.derived import COLUMN_NAMES, PERSONAL, QUASI, derive, pick, with_sql
 from suite.fragments import found
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CORE = ["customer", "orders", "supplier", "documents"]
 CORE_RULES = RuleSet.of({"*.customer.c_name": "partial", "*.customer.c_acctbal": "redact", "*.supplier.s_*": "partial"}, allow=["*.*.s_suppkey"])
 CORE_MODES = {
     ("customer", "c_name"): "partial",
@@ -99,17 +100,38 @@ def _mode_case() -> str:
 
 @query(
     "a3_describe_table",
-    f"""with c as ({_counts_sql(CORE, COLUMNS)})
+    f"""with c as ({_counts_sql(TABLES, COLUMNS)})
 select 'shop' as db, "table", "column", row_count, null_count, {_mode_case()} as mode from c""",
 )
 def describe(spark, sf):
     out = None
-    for t in CORE:
+    for t in TABLES:
         one = catalog.describe_table(table(spark, sf, t), "shop", t, CORE_RULES)
         out = one if out is None else out.unionAll(one)
     return out.select("db", "table", "column", "row_count", "null_count", "mode")
 
 
+@query(
+    "a1_catalog_inventory",
+    f"""select c."table", c."column", {SPARK_TYPES} as type, c."table" = 'region' as "view", row_count from ({_counts_sql(TABLES, COLUMNS)}) c
+join information_schema.columns i on i.table_name = c."table" and i.column_name = c."column" """,
+)
+def catalogued(spark, sf):
+    """The tables as a database of the session catalogue, one of them behind a view."""
+    db = f"shop_{hashlib.sha256(sf.encode()).hexdigest()[:12]}"
+    if not spark.catalog.databaseExists(db):
+        spark.sql(f"create database {db} location '{run_dir(spark, db)}'")
+    counts = None
+    for t in TABLES:
+        if t == "region":
+            spark.sql(f"create view if not exists {db}.region as select * from parquet.`{sf}/region.parquet`")
+        elif not spark.catalog.tableExists(f"{db}.{t}"):
+            spark.catalog.createTable(f"{db}.{t}", path=f"{sf}/{t}.parquet", source="parquet")
+        one = catalog.describe_table(spark.table(f"{db}.{t}"), db, t).select("db", "table", "column", "row_count")
+        counts = one if counts is None else counts.unionAll(one)
+    return catalog.catalog_inventory(spark, db).join(counts, ["db", "table", "column"]).select("table", "column", "type", "view", "row_count")
+
+
 def _in(words) -> str:
     return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from maskwright.operators import disclosure
@@ -681,6 +683,22 @@ def protected_write(spark, sf):
     return spark.read.parquet(path)
 
 
+@query(
+    "e35_write_table",
+    """select c_custkey, c_mktsegment, cast(null as varchar) as c_name, 'all' as batch from customer
+union all select c_custkey, c_mktsegment, cast(null as varchar), 'building' from customer where c_mktsegment = 'BUILDING'""",
+)
+def write_table(spark, sf):
+    db = f"written_{uuid.uuid4().hex}"
+    spark.sql(f"create database {db} location '{run_dir(spark, db)}'")
+    g = shop(spark, sf, "customer").select("c_custkey", "c_mktsegment").with_column("c_name", "null")
+    # Each batch is written again, as after a lost driver: it replaces itself.
+    for _ in range(2):
+        g.write_table(db, "customer", SHOP, "all")
+        g.filter("c_mktsegment = 'BUILDING'").write_table(db, "customer", SHOP, "building")
+    return spark.table(f"{db}.customer")
+
+
 # ---- k-anonymity ----
 
 

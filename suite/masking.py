@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from maskwright.functions import masks
 from maskwright.operators import masking, statements
 from maskwright.operators.rules import RuleSet
 from maskwright.session import run_dir
-from maskwright.sources.sinks import publish_masked
+from maskwright.sources.sinks import publish_masked, publish_masked_table
 from suite import query, table
 from suite.derived import derive, with_sql
 from suite.fragments import masked, partial
@@ -216,3 +218,13 @@ def publish(spark, sf):
     path = run_dir(spark, "published")
     publish_masked(derive(spark, sf, "people").select(cols), "crm", "people", PEOPLE_RULES, path, partition_by=["gender"])
     return spark.read.parquet(path).select(cols)
+
+
+@query("a7_publish_table", with_sql("people", body=MASKED_PEOPLE))
+def publish_table(spark, sf):
+    cols = "id name email phone iban card niss nir bsn gender zip_code nationkey note".split()
+    db = f"published_{uuid.uuid4().hex}"
+    spark.sql(f"create database {db} location '{run_dir(spark, db)}'")
+    for _ in range(2):
+        publish_masked_table(derive(spark, sf, "people").select(cols), "crm", "people", PEOPLE_RULES, f"{db}.people", "first")
+    return spark.table(f"{db}.people").select(cols)

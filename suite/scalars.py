@@ -261,3 +261,54 @@ DATES_MORE = {
 _family("j1_strings_more", STRINGS_MORE, "part", ["p_partkey"], lambda spark, sf: shop(spark, sf, "part"))
 _family("j3_numbers_more", NUMBERS_MORE, "part", ["p_partkey"], lambda spark, sf: shop(spark, sf, "part"))
 _family("j4_dates_more", DATES_MORE, "orders", ["o_orderkey"], lambda spark, sf: shop(spark, sf, "orders").select("o_orderkey", "o_orderdate"))
+
+
+# JSON search, layout and builders.
+TREE = """concat('{"kind":"', event_type, '","list":["t', event_id % 5, '",{"a b":"', event_type, '"}],"n":', event_id % 7, '}')"""
+JSONS_MORE = {
+    "j_search_all": ("json_search(doc, 'all', event_type)", """'["$.kind","$.list[1].\\"a b\\""]'"""),
+    "j_search_one": ("json_search(doc, 'one', 't_')", """'"$.list[0]"'"""),
+    "j_search_none": ("json_search(doc, 'all', 'absent')", "cast(null as varchar)"),
+    "j_elements": ("size(json_array_elements(json_extract(doc, '$.list')))", "cast(json_array_length(doc, '$.list') as int)"),
+    "j_pretty": (
+        "jsonb_pretty(json_extract(doc, '$.list'))",
+        """concat('[', chr(10), '    "t', event_id % 5, '",', chr(10), '    {', chr(10), '        "a b": "', event_type, '"', chr(10), '    }', chr(10), ']')""",
+    ),
+}
+_family(
+    "j5_json_search",
+    JSONS_MORE,
+    f"(select *, {TREE} as doc from events) e",
+    ["event_id"],
+    lambda spark, sf: governed(table(spark, sf, "events").withColumn("doc", F.expr(TREE)).select("event_id", "event_type", "doc"), "shop", "events", SHOP),
+)
+
+
+@query(
+    "j5_json_builders",
+    """select event_id, to_json({'id': event_id, 'kind': event_type, 'none': null, 'list': [event_id, null]}) as j_object, json_array(event_type, event_id, null) as j_array,
+  to_json(event_type) as j_text from events""",
+)
+def json_builders(spark, sf):
+    g = governed(table(spark, sf, "events").select("event_id", "event_type"), "shop", "events", SHOP)
+    number, kind, none = F.col("event_id"), F.col("event_type"), F.lit(None).cast("string")
+    pairs = [F.lit("id"), number, F.lit("kind"), kind, F.lit("none"), none, F.lit("list"), F.array(number, F.lit(None).cast("bigint"))]
+    g = g.with_column("j_object", scalars.json_object(*pairs)).with_column("j_array", scalars.json_array(kind, number, none))
+    return g.with_column("j_text", scalars.to_jsonb(kind)).select("event_id", "j_object", "j_array", "j_text").result(names=())
+
+
+# Names whose value is not fixed are held to their type and range.
+DATES_NAMED = {
+    "d_tochar": ("pg_to_char(cast(o_orderdate as timestamp), 'DD.MM.YYYY HH24:MI:SS')", "strftime(o_orderdate, '%d.%m.%Y %H:%M:%S')"),
+    "d_interval": ("date_format(o_orderdate + make_interval(0, 1, 0, cast(o_orderkey % 9 as int), 3), 'yyyy-MM-dd HH:mm')", "strftime(o_orderdate + interval 1 month + to_days(cast(o_orderkey % 9 as int)) + interval 3 hour, '%Y-%m-%d %H:%M')"),
+    "d_justify": ("cast(justify_days(make_interval(0, 0, 0, cast(o_orderkey % 25 + 31 as int))) as string)", "case when o_orderkey % 25 = 24 then '1 months 25 days' else '1 months ' || (o_orderkey % 25 + 1) || ' days' end"),
+    "d_justify_hours": ("cast(justify_hours(make_interval(0, 0, 0, 0, cast(o_orderkey % 20 + 25 as int))) as string)", "'1 days ' || (o_orderkey % 20 + 1) || ' hours'"),
+    "d_now": ("now() >= cast('2024-01-01' as timestamp) and curdate() = to_date(now())", "true"),
+    "d_curtime": ("curtime() rlike '^[0-2][0-9]:[0-5][0-9]:[0-5][0-9]$'", "true"),
+}
+NUMBERS_NAMED = {
+    "n_number": ("to_number(format_number(p_partkey + 1000, 0), '9,999,999,999')", "cast(p_partkey + 1000 as decimal(10, 0))"),
+    "n_crc": ("crc32(cast(p_size % 2 as string))", "case p_size % 2 when 0 then 4108050209 else 2212294583 end"),
+}
+_family("j4_dates_named", DATES_NAMED, "orders", ["o_orderkey"], lambda spark, sf: shop(spark, sf, "orders").select("o_orderkey", "o_orderdate"))
+_family("j3_numbers_named", NUMBERS_NAMED, "part", ["p_partkey"], lambda spark, sf: shop(spark, sf, "part").select("p_partkey", "p_size"))

@@ -167,8 +167,11 @@ def pair(spark, sf):
     events = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     plans = events.where("event_id % 2 = 0").select(F.col("event_id").alias("plan_id"), "ts")
     runs = events.where("event_id % 2 = 1").select((F.col("event_id") - 1).alias("plan_id"), F.col("event_id").alias("run_id"), "ts")
-    # Every run is delivered twice: a plan pairs once.
-    twice = runs.unionAll(runs)
+    # Every run comes again a second later under another name: the earlier one stays.
+    twice = runs.unionAll(runs.select("plan_id", (-F.col("run_id")).alias("run_id"), F.expr("ts + interval 1 second").alias("ts")))
+    # The closing rows need keys: Spark takes rows without one out before it looks at their time.
+    plans = with_end(plans, plan_id=F.lit(-1).cast("bigint"), ts=late())
+    twice = with_end(twice, plan_id=F.lit(-2).cast("bigint"), ts=late())
     paired = st.pair_runs(stream_of(spark, plans, "plans"), stream_of(spark, twice, "runs"), delay="40 days")
     return st.drain(paired, "pairs").select(
         "plan_id", "run_id", (F.unix_micros("run_ts") - F.unix_micros("plan_ts")).alias("waited_us")
