@@ -34,6 +34,7 @@ from maskwright.llm.common import WORD, as_doc, hold, quoted, running_sum, whole
 # frac(golden ratio) as a fraction of 2^32.
 GOLDEN = 2654435769
 GRID = 4096
+SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 
 
 def word_count(text: str = "text") -> Column:
@@ -160,9 +161,18 @@ def mix_sources(
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), epochs: float = 3, block_words: int = 1024) -> DataFrame:
-    """The documents of the mix, as often as it takes them: taken words over size, rounded. Columns as they came."""
+    """The documents of the mix, as often as it takes them whole, and the first words of those that it takes in part.
+
+    A source ends inside one document at most: what is taken of that one is a
+    row with its text cut after the last taken word (white space before a word
+    goes with it). So the rows of a source hold just the words that it gives.
+    All other columns stay as they came, those that describe the text too.
+    """
     # Spark hashes no maps.
     others = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString() and f.name not in ("doc_id", "text", "source")]
-    mixed = mix_sources(docs, weights, epochs, block_words, extra=[as_doc(docs)], others=others)
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.select("doc", times.alias("times")).where("times > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("times")))).select("doc.*")
+    mixed = mix_sources(docs, weights, epochs, block_words, extra=[as_doc(docs)], others=others).where("taken > 0")
+    rest = (F.col("taken") % F.col("size")).cast("int")
+    words = F.regexp_extract_all(F.col("doc.text").cast("string"), F.lit(SPACED_WORD), F.lit(0))
+    cut = F.when(rest > 0, F.array(F.col("doc").withField("text", F.array_join(F.slice(words, F.lit(1), rest), "")))).otherwise(F.array())
+    whole = F.array_repeat("doc", F.floor(F.col("taken") / F.col("size")).cast("int"))
+    return mixed.select(F.explode(F.concat(whole, cut)).alias("doc")).select("doc.*")

@@ -659,6 +659,24 @@ def test_mixed_documents_come_as_often_as_taken(spark):
     assert max(times.values()) <= 3 and abs(sum(times.values()) - 60) <= 3
 
 
+def test_a_document_taken_in_part_comes_cut(spark):
+    # One source is a single long document, one has a document twice, one ends in white space.
+    long = "  " + "\t".join(f"l{i}" for i in range(5000)) + " \n"
+    rows = [(1, long, "a"), (2, "x y z " * 400, "b"), (2, "x y z " * 400, "b"), (3, "q\u00a0r s" * 900, "c"), (4, None, "c"), (5, "", "d")]
+    docs = frame(spark, rows)
+    taken = {}
+    for r in source_schedule.mix_sources(docs).collect():
+        taken[r["doc_id"]] = taken.get(r["doc_id"], 0) + r["taken"]
+    out = source_schedule.mixed_documents(docs)
+    assert out.schema.simpleString() == docs.schema.simpleString()
+    words, texts = Counter(), {i: t for i, t, _ in rows}
+    for r in out.collect():
+        assert texts[r["doc_id"]].startswith(r["text"])
+        words[r["doc_id"]] += len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))
+    assert dict(words) == {i: n for i, n in taken.items() if n}
+    assert any(n % 5000 for i, n in taken.items() if i == 1)
+
+
 # --- 10 ------------------------------------------------------------------------------------------
 
 
