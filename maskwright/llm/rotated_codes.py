@@ -9,13 +9,16 @@ bound reaches the k-th best lower bound: exact cosines of the original
 vectors, in double precision, decide.
 
 Work: equal vectors are one code, with their k + 1 smallest identifiers (no
-query can need more). Codes and queries are dealt to blocks by hash; each
-pair of blocks is one bounded matrix product, so a task never holds more than
-a block of each. Every row is covered; nothing is probed or capped.
-
-Vectors that are null, empty, of norm zero, or hold null or non-finite
-components (or whose squares leave the range of a double) take no part, nor
-do rows with a null identifier. Vectors meet only those of their own
+query can need more). They meet by two 64-bit hashes, so that a vector is
+shuffled once, after equal ones of a task were made one; a class whose least
+and greatest vectors differ (two vectors with the same hashes) fails the job.
+Codes and queries are dealt to blocks by hash; each pair of blocks is one
+bounded matrix product, so a task never holds more than a block of each, and
+codes are copied once for each QUERY_BLOCK queries. Every row is covered;
+nothing is probed or capped.
+
+Vectors that are null, empty, all zero, or hold null or non-finite
+components take no part, nor do rows with a null identifier. Vectors meet only those of their own
 dimension. Repeated rows count once. Ties go to the smaller identifier. An
 empty table gives an empty result. Only the two named columns are read.
 """
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import hold, quoted
 
-BLOCK, QUERY_BLOCK, SLICE = 32_768, 1024, 4096
+BLOCK, QUERY_BLOCK, SLICE, QUERY_SLICE = 16_384, 4096, 4096, 1024
 
 
 @lru_cache(8)
@@ -51,9 +54,10 @@ def usable(embeddings: DataFrame, vector: str, id: str) -> DataFrame:
     vec = F.col(quoted(vector)).cast("array<double>")
     finite = F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = embeddings.select(F.col(quoted(id)).alias("vec_id"), vec.alias("vec")).where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull())
-    rows = rows.where((F.size("vec") > 0) & finite)
-    norm = _dot(F.col("vec"), F.col("vec"))
-    return rows.where((norm > 0) & (norm < float("inf")))
+    rows = rows.where((F.size("vec") > 0) & finite).withColumn("big", F.array_max(F.transform("vec", F.abs))).where("big > 0")
+    # Squares that would leave the range of a double: such a vector is scaled first, which no cosine minds.
+    plain = F.col("big").between(1e-140, 1e140)
+    return rows.select("vec_id", F.when(plain, F.col("vec")).otherwise(F.transform("vec", lambda x: x / F.col("big"))).alias("vec"))
 
 
 def _units(column) -> np.ndarray:
@@ -95,13 +99,15 @@ def _estimate(k: int, sureness: float):
         for at in range(0, n, SLICE):
             packed = np.frombuffer(b"".join(codes["code"].slice(at, SLICE).to_pylist()), np.uint8).reshape(-1, wide // 8)
             fit = fits[at : at + SLICE]
-            signs = np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1
+            signs = (np.unpackbits(packed, axis=1).astype(np.float32) * 2 - 1).T
             error = (sureness * np.sqrt(np.maximum(0, 1 - fit**2)) / (fit * np.sqrt(max(1, wide - 1)))).astype(np.float32)
-            guess = (turned @ signs.T) / (fit * np.sqrt(wide)).astype(np.float32)
-            low = guess - error
-            best = np.partition(np.concatenate((best, low), axis=1), -k, axis=1)[:, -k:]
-            q, c = np.nonzero(guess + error >= best.min(1)[:, None])
-            parts.append((q, cids[at + c], low[q, c], guess[q, c] + error[c]))
+            scale = (fit * np.sqrt(wide)).astype(np.float32)
+            for of in range(0, m, QUERY_SLICE):
+                here = slice(of, of + QUERY_SLICE)
+                guess = (turned[here] @ signs) / scale
+                best[here] = np.partition(np.concatenate((best[here], guess - error), axis=1), -k, axis=1)[:, -k:]
+                q, c = np.nonzero(guess + error >= best[here].min(1)[:, None])
+                parts.append((of + q, cids[at + c], guess[q, c] - error[c], guess[q, c] + error[c]))
         q, cid, low, high = (np.concatenate(p) for p in zip(*parts))
         keep = high >= best.min(1)[q]
         return pa.table({name: pa.array(x[keep], t) for (name, t), x in zip(kinds.items(), (qids[q], cid, low, high))})
@@ -113,13 +119,19 @@ def nearest(
     embeddings: DataFrame, is_query: Column, k: int = 5, bits: int = 1024, sureness: float = 2.5, vector: str = "embedding", id: str = "vec_id"
 ) -> DataFrame:
     """query_id, rank, vec_id, score: of each row with ``is_query`` (an expression on vec_id) its k nearest other rows."""
-    rows = usable(embeddings, vector, id)
+    same = ["dim", "hash", "hash2"]
+    hashes = [F.xxhash64("vec").alias("hash"), F.xxhash64(F.lit(29), F.reverse("vec")).alias("hash2")]
+    rows = hold(usable(embeddings, vector, id).select("vec_id", "vec", F.size("vec").alias("dim"), *hashes), "vectors")
     spare = k + 1
     # Equal vectors: the smallest identifiers of each. Spark keeps that many per task before it shuffles.
-    first = rows.distinct().withColumn("at", F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))).where(F.col("at") <= spare)
-    classes = first.groupBy("vec").agg(F.collect_list("vec_id").alias("ids"))
-    classes = hold(classes.select(F.monotonically_increasing_id().alias("cid"), F.size("vec").alias("dim"), "vec", "ids"), "classes")
-    asked = hold(rows.where(is_query).distinct().join(classes, "vec").select(F.col("vec_id").alias("query_id"), "cid"), "asked")
+    named = rows.select("vec_id", *same).distinct()
+    first = named.withColumn("at", F.row_number().over(Window.partitionBy(*same).orderBy("vec_id"))).where(F.col("at") <= spare)
+    first = first.groupBy(*same).agg(F.collect_list("vec_id").alias("ids"))
+    vectors = rows.groupBy(*same).agg(F.min("vec").alias("vec"), F.max("vec").alias("other"))
+    vec = F.when(F.col("vec") == F.col("other"), F.col("vec")).otherwise(F.raise_error(F.lit("two vectors have the same hashes")))
+    classes = vectors.withColumn("vec", vec).drop("other").join(first, same)
+    classes = hold(classes.select(F.monotonically_increasing_id().alias("cid"), *same, "vec", "ids"), "classes")
+    asked = hold(named.where(is_query).join(classes.select("cid", *same), same).select(F.col("vec_id").alias("query_id"), "cid"), "asked")
     wanted = asked.select("cid").distinct()
     blocks, query_blocks = max(1, -(-classes.count() // BLOCK)), max(1, -(-wanted.count() // QUERY_BLOCK))
 

@@ -702,6 +702,14 @@ def test_nearest_against_brute_force(spark):
     assert rotated_codes.nearest(df.limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_nearest_of_vectors_whose_squares_leave_the_range(spark):
+    rows = [(0, [1e-200, 0.0]), (1, [1e-200, 1e-200]), (2, [3e250, 0.0]), (3, [-1e300, 1e300]), (4, [5e-324, 5e-324]), (5, [1.0, 0.5]), (6, [0.0, -0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], round(r["score"], 12)) for r in rotated_codes.nearest(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    half = round(math.sqrt(0.5), 12)
+    assert got == [(2, 1.0), (5, round(2 / math.sqrt(5), 12)), (1, half), (4, half), (3, -half)]
+
+
 def test_nearest_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(rotated_codes, "BLOCK", 64)
     monkeypatch.setattr(rotated_codes, "QUERY_BLOCK", 4)
