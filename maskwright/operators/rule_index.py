@@ -10,6 +10,10 @@ of both; the whole pattern is tested on what meets.
 Two patterns can name one thing if no segment keeps them apart. They meet by
 the first segment in which both say something about the same end of a name (or
 one is given in full); if there is none, nothing keeps them apart.
+
+The keys of names are many times the names, which Spark's estimate of their
+size does not tell: no plan may broadcast them by it. Rules are counted. Few
+are sent to the names, which then need no shuffle; many meet them by one.
 """
 
 from __future__ import annotations
@@ -23,6 +27,14 @@ SEGMENTS = ("db", "table", "column")
 # Characters of a gram of a part; a shorter part is its own gram.
 GRAM = 3
 FULL, START, END, PART, ANY = "f", "s", "e", "c", "a"
+# Up to so many rules are sent to every task.
+FEW = 10_000
+
+
+def _sent(rules: DataFrame):
+    """How tables made of these rules are joined, some rows per rule: sent to the names, or met by a shuffle."""
+    few = rules.limit(FEW + 1).count() <= FEW
+    return F.broadcast if few else lambda df: df.hint("merge")
 
 
 def how(seg: Column) -> Column:
@@ -81,6 +93,7 @@ def find_rules(names: DataFrame, folded: dict[int, Column], rules: DataFrame, ma
     ``folded`` says by which positions rules are found, and gives the names there.
     """
     sizes = _sizes([(at, rules.select(F.col(f"s{at}").alias("seg")).distinct()) for at in folded])
+    sent = _sent(rules)
     segs = {at: F.col(f"s{at}") for at in folded}
     own = F.array(*[F.when(how(s) != ANY, _key(at, how(s), _own_text(s))) for at, s in segs.items()])
     some = F.filter(own, lambda k: k.isNotNull())
@@ -88,10 +101,10 @@ def find_rules(names: DataFrame, folded: dict[int, Column], rules: DataFrame, ma
     offered = names.withColumn("_key", F.explode(name_keys(folded, sizes)))
     wanted = keyed.select(F.explode("_keys").alias("_key")).distinct()
     # How many names have a key decides by which one a rule is found.
-    common = offered.select("_key").join(wanted, "_key").groupBy("_key").agg(F.count("*").alias("_n"))
+    common = offered.select("_key").join(sent(wanted), "_key").groupBy("_key").agg(F.count("*").alias("_n"))
     ids = [c for c in rules.columns]
-    best = keyed.select(*ids, F.explode("_keys").alias("_key")).join(common, "_key").groupBy(*ids).agg(F.min(F.struct("_n", "_key"))["_key"].alias("_key"))
-    return offered.join(best, "_key").where(matches).drop("_key")
+    best = keyed.select(*ids, F.explode("_keys").alias("_key")).join(sent(common), "_key").groupBy(*ids).agg(F.min(F.struct("_n", "_key"))["_key"].alias("_key"))
+    return offered.join(sent(best), "_key").where(matches).drop("_key")
 
 
 def _apart(x: str, y: str) -> bool:
@@ -101,16 +114,16 @@ def _apart(x: str, y: str) -> bool:
     return FULL in (x, y) or (x == y and x != PART)
 
 
-def _meets(at: int, left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b) of patterns whose segments at a position may fit, of kinds that can keep them apart."""
-    sides = {}
-    for name, df in (("a", left), ("b", right)):
-        sides[name] = df.select(F.col("pattern").alias(name), F.col(f"s{at}").alias("seg"))
+def _meets(at: int, both: list[DataFrame], sent) -> DataFrame:
+    """Both sides' columns, of patterns whose segments at a position may fit, of kinds that can keep them apart."""
+    names = ("a", "b")
+    sides = {n: df.withColumn("seg", F.col(f"{n}{at}")) for n, df in zip(names, both)}
+    columns = {n: df.columns for n, df in zip(names, both)}
     sizes = {name: _sizes([(at, df.select("seg").distinct())]) for name, df in sides.items()}
 
     def own(name, kinds):
         df = sides[name].where(how(F.col("seg")).isin(*kinds))
-        return df.select(name, _key(at, how(F.col("seg")), _own_text(F.col("seg"))).alias("key"))
+        return df.select(*columns[name], _key(at, how(F.col("seg")), _own_text(F.col("seg"))).alias("key"))
 
     def offered(name, other):
         seg, lit = F.col("seg"), F.col("seg.lit")
@@ -122,18 +135,19 @@ def _meets(at: int, left: DataFrame, right: DataFrame) -> DataFrame:
             .when(how(seg) == END, _affixes(at, lit, sizes[other], END, inner))
             .otherwise(none)
         )
-        return sides[name].select(name, F.explode(keys).alias("key"))
+        return sides[name].select(*columns[name], F.explode(keys).alias("key"))
 
-    same = own("a", FULL + START + END).join(own("b", FULL + START + END), "key")
-    shorter = own("a", START + END + PART).join(offered("b", "a"), "key")
-    longer = offered("a", "b").join(own("b", START + END + PART), "key")
-    return same.select("a", "b").union(shorter.select("a", "b")).union(longer.select("a", "b"))
+    same = own("a", FULL + START + END).join(sent(own("b", FULL + START + END)), "key")
+    shorter = own("a", START + END + PART).join(sent(offered("b", "a")), "key")
+    longer = offered("a", "b").join(sent(own("b", START + END + PART)), "key")
+    return same.union(shorter).union(longer).drop("key")
 
 
 def overlapping(left: DataFrame, right: DataFrame, overlap) -> DataFrame:
     """(a, b): pairs of patterns that could name one column; both tables have pattern, s0, s1, s2, one row per pattern."""
     sides = [df.select(F.col("pattern").alias(n), *[F.col(f"s{i}").alias(f"{n}{i}") for i in range(3)]) for n, df in (("a", left), ("b", right))]
     kinds = FULL + START + END + PART + ANY
+    sent = _sent(right)
 
     def decides(i):
         x, y = how(F.col(f"a{i}")), how(F.col(f"b{i}"))
@@ -141,7 +155,7 @@ def overlapping(left: DataFrame, right: DataFrame, overlap) -> DataFrame:
 
     out, order = None, (2, 1, 0)
     for n, at in enumerate(order):
-        met = _meets(at, left, right).join(sides[0], "a").join(sides[1], "b")
+        met = _meets(at, sides, sent)
         for before in order[:n]:
             met = met.where(~decides(before))
         met = met.where(overlap(F.col("a2"), F.col("b2")) & overlap(F.col("a1"), F.col("b1")) & overlap(F.col("a0"), F.col("b0"))).select("a", "b")
@@ -152,5 +166,5 @@ def overlapping(left: DataFrame, right: DataFrame, overlap) -> DataFrame:
     table = F.create_map(*[x for k, v in fits.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     shape = F.concat(*[how(F.col(f"s{i}")) for i in range(3)])
     loose = left.select(F.col("pattern").alias("a"), F.explode(F.element_at(table, shape)).alias("shape"))
-    loose = loose.join(right.select(F.col("pattern").alias("b"), shape.alias("shape")), "shape")
+    loose = loose.join(sent(right.select(F.col("pattern").alias("b"), shape.alias("shape"))), "shape")
     return out.union(loose.select("a", "b"))

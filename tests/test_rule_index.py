@@ -5,6 +5,7 @@ from itertools import product
 
 from pyspark.sql import functions as F
 
+from maskwright.operators import rule_index
 from maskwright.operators import rules as R
 
 NAMES = ["", "a", "b", "ab", "ba", "aa", "é", "aé", "éb", "abé", "ABA"]
@@ -101,3 +102,20 @@ def test_many_patterns_overlap_without_all_pairs(spark):
     starts = lambda a, b: a == b or (b % 3 == 0 and str(a).startswith(str(b))) or (a % 2 and str(b).startswith(str(a)))
     a = 1234
     assert found.where(f"pattern = '*.*.col{a}_x'").count() == sum(1 for b in range(20_000) if starts(a, b) and (b % 3 == 0 or a == b))
+
+
+def test_names_are_never_broadcast(spark, monkeypatch):
+    """A catalogue Spark deems small has many keys: the rules are sent to it if few, and met by a shuffle if many."""
+    n = F.col("id").cast("string")
+    inventory = spark.range(2_000).select(F.lit("db1").alias("db"), F.concat(F.lit("t"), n).alias("table"), F.concat(F.lit("c"), n, F.lit("_mail")).alias("column"))
+    rules = R.RuleSet.of({"*.*.*mail*": "redact", "*.t1*.*": "partial", "*.*.c7*": "email"}, allow=["db1.t5.c5_mail", "*.*.gone"])
+    patterns = inventory.select(F.concat_ws(".", "db", "table", "column").alias("pattern"))
+    answers = []
+    for few in (10_000, 0):
+        monkeypatch.setattr(rule_index, "FEW", few)
+        found = R.match_rules(inventory, rules), R.overlapping_rules(patterns, rules)
+        for df in found:
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "BuildLeft" not in plan and ("BuildRight" in plan) == (few > 0)
+        answers.append([sorted(map(tuple, df.collect())) for df in found] + [sorted(map(tuple, R.rule_candidates(inventory, rules).collect()))])
+    assert answers[0] == answers[1] and len(answers[0][0]) > 3_000 and len(answers[0][1]) > 3_000
