@@ -181,7 +181,8 @@ def _leak_candidates(cells: DataFrame, words: DataFrame) -> DataFrame:
     A needle that holds a gram no cell has is in none. Any other needle meets
     the cells that hold its rarest gram, by how many needles and cells share
     it; where that one is shared by many needles, cells must hold the second
-    rarest too.
+    rarest too. Grams are many times the text they are of, which Spark's
+    estimate of their size does not tell: they meet by shuffles.
     """
     size = F.least(F.char_length("needle"), F.lit(LEAK_GRAM))
     # At most as many as a gram has characters.
@@ -196,22 +197,22 @@ def _leak_candidates(cells: DataFrame, words: DataFrame) -> DataFrame:
     # A few grams of each needle first, which most needles do not get past.
     likely = words.select("needle_id", own.alias("own"))
     for part in (0.2, 0.4, 0.6, 0.8):
-        likely = likely.withColumn("gram", F.get("own", (F.size("own") * part).cast("int"))).join(seen, "gram", "left_semi")
-    of_needles = cut_lineage(likely.select("needle_id", F.explode("own").alias("gram")).join(seen, "gram", "left"))
+        likely = likely.withColumn("gram", F.get("own", (F.size("own") * part).cast("int"))).join(seen.hint("merge"), "gram", "left_semi")
+    of_needles = cut_lineage(likely.select("needle_id", F.explode("own").alias("gram")).join(seen.hint("merge"), "gram", "left"))
     shared = of_needles.groupBy("gram").agg(F.count("*").alias("needles"))
-    weighed = of_needles.join(shared, "gram").select("needle_id", F.struct((F.col("cells") * F.col("needles")).alias("weight"), "gram").alias("key"))
+    weighed = of_needles.join(shared.hint("merge"), "gram").select("needle_id", F.struct((F.col("cells") * F.col("needles")).alias("weight"), "gram").alias("key"))
     ranked = weighed.groupBy("needle_id").agg(
         F.every(F.col("key.weight").isNotNull()).alias("possible"), F.min("key").alias("first"), F.slice(F.array_sort(F.collect_list("key")), 2, 1).alias("rest")
     )
     chosen = cut_lineage(ranked.where("possible").select("needle_id", F.col("first.gram").alias("gram"), F.get("rest", F.lit(0))["gram"].alias("second")))
     crowded = chosen.where("second is not null").groupBy("gram").count().where(F.col("count") > LEAK_SHARED).select("gram", F.lit(True).alias("crowded"))
-    chosen = cut_lineage(chosen.join(crowded, "gram", "left").withColumn("crowded", F.coalesce(F.col("crowded") & F.col("second").isNotNull(), F.lit(False))))
-    alone = of_cells.join(chosen.where("not crowded"), "gram").select("cell_id", "needle_id")
+    chosen = cut_lineage(chosen.join(crowded.hint("merge"), "gram", "left").withColumn("crowded", F.coalesce(F.col("crowded") & F.col("second").isNotNull(), F.lit(False))))
+    alone = of_cells.join(chosen.where("not crowded").hint("merge"), "gram").select("cell_id", "needle_id")
     pairs = chosen.where("crowded").select(F.col("gram").alias("first"), "second", "needle_id")
     if pairs.isEmpty():
         return alone
-    both = of_cells.join(pairs.select(F.col("first").alias("gram")).distinct(), "gram").select("cell_id", F.col("gram").alias("first"))
-    both = both.join(of_cells.withColumnRenamed("gram", "second"), "cell_id").join(pairs, ["first", "second"])
+    both = of_cells.join(pairs.select(F.col("first").alias("gram")).distinct().hint("merge"), "gram").select("cell_id", F.col("gram").alias("first"))
+    both = both.join(of_cells.withColumnRenamed("gram", "second").hint("merge"), "cell_id").join(pairs.hint("merge"), ["first", "second"])
     return alone.union(both.select("cell_id", "needle_id"))
 
 
@@ -227,8 +228,8 @@ def leak_counts(df: DataFrame, seeds: DataFrame, seed: str = "seed") -> DataFram
     counted = cut_lineage(cells.where("cell is not null").groupBy("column", "cell").agg(F.count("*").alias("n")).withColumn("cell_id", F.monotonically_increasing_id()))
     needles = leak_variants(seeds, seed).select(F.lower("needle").alias("needle"), "seed", "form").where("needle <> ''")
     words = cut_lineage(needles.select("needle").distinct().withColumn("needle_id", F.monotonically_increasing_id()))
-    met = _leak_candidates(counted, words).join(words, "needle_id").join(counted, "cell_id").where(F.contains("cell", "needle"))
-    return met.select("column", "n", "needle").join(needles, "needle").groupBy("column", "form", "seed").agg(F.sum("n").alias("cells"))
+    met = _leak_candidates(counted, words).join(words.hint("merge"), "needle_id").join(counted.hint("merge"), "cell_id").where(F.contains("cell", "needle"))
+    return met.select("column", "n", "needle").join(needles.hint("merge"), "needle").groupBy("column", "form", "seed").agg(F.sum("n").alias("cells"))
 
 
 def leak_hits(df: DataFrame, seeds: DataFrame, seed: str = "seed") -> DataFrame:

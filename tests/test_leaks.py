@@ -57,3 +57,11 @@ def test_addresses_of_one_domain_have_keys_of_their_own(spark):
     assert masking.leak_scan(published, seeds).where("form in ('reversed', 'lower')").select("column", "form", "cells").collect() is not None
     totals = {(r["column"], r["form"]): r["seeds"] for r in masking.leak_scan(published, seeds).collect()}
     assert totals[("a", "reversed")] == totals[("b", "lower")] == totals[("b", "plain")] == 10_000
+
+
+def test_grams_are_never_broadcast(spark):
+    """Seeds and cells Spark deems small have many grams: no step of the scan may broadcast them by that estimate."""
+    seeds = spark.range(50).select(F.concat(F.lit("user"), F.col("id") * 7919, F.lit("@example.com")).alias("seed"))
+    found = masking.leak_counts(seeds.select(F.reverse("seed").alias("a")), seeds)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    assert found.where("form = 'reversed'").agg(F.sum("cells")).first()[0] == 50
