@@ -1,10 +1,10 @@
 """Window functions over partitions too large for one task.
 
-Spark sorts a window partition in one task. Here the rows of a hot key are
-cut into segments along the order, as many as its own size asks for, each
-segment is ranked or added up on its own, and what came before a segment is
-added from a small table of segment totals. Rows that tie stay in one
-segment, so the results are exact. The rows of all other keys go through
+Spark sorts a window partition in one task. Here the rows of hot keys are
+cut into segments along the order by a range shuffle, as many as their number
+asks for, each segment is ranked or added up on its own, and what came before
+a segment is added from a small table of segment totals. Rows that tie stay in
+one segment, so the results are exact. The rows of all other keys go through
 Spark's own window.
 """
 
@@ -17,52 +17,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.functions.detectors import let
 from maskwright.session import cut_lineage
 
 HOT_ROWS = 1_000_000
 MAX_SEGMENTS = 10_000
+LEAST_ROWS = 20_000
+# Up to so many hot keys are sent to every task: a join by a hot key would be one task's.
+FEW_KEYS = 10_000
 
 RANKS = ("row_number", "rank", "dense_rank", "percent_rank", "cume_dist", "ntile")
 RUNNING = ("sum", "count", "min", "max")
 
 
-def _on_a_line(df: DataFrame, column: str) -> Column:
-    """The order as a double that never falls where the column grows."""
-    c, dtype = F.col(column), df.schema[column].dataType
-    if isinstance(dtype, T.TimestampNTZType):
-        return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01'"), c).cast("double")
-    if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("double")
-    if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
-    if not isinstance(dtype, T.NumericType):
+def _check_order(df: DataFrame, column: str) -> None:
+    """A wrong order column fails whatever the data."""
+    if not isinstance(df.schema[column].dataType, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         raise ValueError("the first order column of a hot partition is a number, a date or a time")
-    return c.cast("double")
-
-
-def _segment(hot: DataFrame, sizes: DataFrame, keys: Sequence[str], first: str, descending: bool, hot_rows: int) -> DataFrame:
-    """The rows of hot keys with ``_seg``, which grows along the order."""
-    value = _on_a_line(hot, first)
-    largest = sizes.agg(F.max("_n")).first()[0]
-    n = max(2, min(MAX_SEGMENTS, math.ceil(largest / hot_rows)))
-    # Bounds are looked up in two steps: a block of bounds, then the place in the block.
-    step = math.ceil(math.sqrt(n))
-    at = [i / n for i in range(1, n)]
-    bounds = hot.groupBy(*keys).agg(
-        F.percentile_approx(value, F.array(*[F.lit(p) for p in at]), F.lit(max(10_000, 20 * n))).alias("_bounds")
-    )
-    # A smaller key takes every so many of the bounds.
-    every = F.greatest(F.lit(1), F.floor(F.lit(n) / F.ceil(F.col("_n") / hot_rows)))
-    own = F.filter("_bounds", lambda b, i: (i + 1) % every == 0)
-    marked = hot.join(bounds.join(sizes, list(keys)).withColumn("_bounds", own).drop("_n"), list(keys), "left")
-    below = lambda items: F.size(F.filter(items, lambda b: b < value))
-    blocks = F.transform(F.sequence(F.lit(step), F.size("_bounds"), F.lit(step)), lambda i: F.get("_bounds", i - 1))
-    blocks = F.when(F.size("_bounds") >= step, blocks).otherwise(F.array().cast("array<double>"))
-    place = let(below(blocks) * step, lambda start: start + below(F.slice("_bounds", start + 1, F.lit(step))))
-    # Nulls come first in ascending order and last in descending order.
-    seg = F.when(F.col("_bounds").isNull(), 0).when(value.isNull(), -1).otherwise(place)
-    return marked.withColumn("_seg", -seg if descending else seg).drop("_bounds")
+
+
+def _segment(hot: DataFrame, rows: int, keys: Sequence[str], order: Column, hot_rows: int) -> DataFrame:
+    """The rows of hot keys with ``_seg``, which grows along the order: the ranges a range shuffle cuts them into."""
+    n = min(MAX_SEGMENTS, math.ceil(rows / hot_rows))
+    cores = 4 * hot.sparkSession.sparkContext.defaultParallelism
+    # Beyond a few for each core, a segment of few rows costs more than it saves.
+    n = max(2, min(n, max(cores, math.ceil(rows / LEAST_ROWS))))
+    return hot.repartitionByRange(n, *keys, order).withColumn("_seg", F.spark_partition_id())
 
 
 def hot_windows(
@@ -82,18 +61,20 @@ def hot_windows(
         if fn not in RANKS + RUNNING:
             raise ValueError(f"{fn}: want one of {', '.join(RANKS + RUNNING)}")
     sort = [F.col(c).desc() if down else F.col(c).asc() for c, down in order]
-    first, descending = order[0]
     inside = Window.partitionBy(*keys, "_seg").orderBy(*sort)
     # Null keys are never among the hot ones: no equality finds them.
     sizes = cut_lineage(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows))
     usual = Window.partitionBy(*keys).orderBy(*sort)
     plain = [_plain(fn, arg, usual).alias(n) for n, (fn, arg) in functions.items()]
-    if sizes.isEmpty():
-        _on_a_line(df, first)  # a wrong order column fails whatever the data
+    _check_order(df, order[0][0])
+    many, rows = sizes.agg(F.count("*"), F.sum("_n")).first()
+    if not many:
         return df.select(*df.columns, *plain)
-    hot = df.join(sizes.select(*keys), list(keys), "left_semi")
-    cold = df.join(sizes.select(*keys), list(keys), "left_anti").select(*df.columns, *plain)
-    local = _segment(hot, sizes, keys, first, descending, hot_rows).withColumn("_rn", F.row_number().over(inside))
+    named = sizes.select(*keys)
+    named = F.broadcast(named) if many <= FEW_KEYS else named.hint("merge")
+    hot = df.join(named, list(keys), "left_semi")
+    cold = df.join(named, list(keys), "left_anti").select(*df.columns, *plain)
+    local = _segment(hot, rows, keys, sort[0], hot_rows).withColumn("_rn", F.row_number().over(inside))
     for i, (fn, arg) in enumerate(functions.values()):
         if fn not in ("row_number", "ntile"):
             local = local.withColumn(f"_x{i}", _inside(fn, arg, inside))

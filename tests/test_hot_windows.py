@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from maskwright.operators import hot_windows as hw
 from maskwright.operators.hot_windows import RANKS, RUNNING, hot_windows
 
 
@@ -56,3 +57,14 @@ def test_refused(rows):
         hot_windows(rows, {"n": ("lag", None)}, ["k"], [("id", False)])
     with pytest.raises(ValueError):
         hot_windows(rows, {"n": ("rank", None)}, ["id"], [("k", False)])
+
+
+def test_segments_follow_the_order_and_rows_carry_no_bounds(rows):
+    """A row is no wider for more segments; ties share one; few small ones beyond a handful for each core."""
+    hot = rows.where("k = 'hot'")
+    cut = hw._segment(hot, hot.count(), ["k"], F.col("v").desc(), 10)
+    assert cut.columns == [*hot.columns, "_seg"] and "percentile" not in cut._jdf.queryExecution().executedPlan().toString()
+    parts = cut.groupBy("_seg").agg(F.max("v").alias("high"), F.min("v").alias("low"), F.count("*").alias("n")).orderBy("_seg").collect()
+    assert 8 <= len(parts) <= 16 and max(p["n"] for p in parts) <= 3 * hot.count() / len(parts)
+    assert all(a["low"] > b["high"] for a, b in zip(parts, parts[1:]) if b["high"] is not None and a["low"] is not None)
+    assert cut.where("v is null").select("_seg").distinct().first()[0] == parts[-1]["_seg"]
