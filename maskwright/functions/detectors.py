@@ -242,11 +242,12 @@ def _value_in(d: Detector, m: Column) -> Column:
         return m
     if not d.shorten:
         return F.when(d.ok(m), m)
-    # A card may be followed by a date or a code: try it without its last groups,
-    # if what is left is grouped as cards are.
+    # A card may be followed by a date, a code or an address: what is grouped as cards
+    # are comes first, the whole or without its last groups, since one in ten longer runs
+    # passes the check digit by chance. Only then any grouping of the whole.
     cut = lambda c: F.regexp_extract(c, rf"^(.*{D})[{BLANKS}\-]{D}+$", 1)
     usual = lambda c: F.regexp_extract(c, rf"^(?:{CARD_GROUPS})$", 0)
-    tries = F.array(m, usual(cut(m)), usual(cut(cut(m))))
+    tries = F.array(usual(m), usual(cut(m)), usual(cut(cut(m))), m)
     return F.get(F.filter(tries, d.ok), F.lit(0))
 
 

@@ -112,6 +112,18 @@ def test_find_lists_values(spark):
     assert [r[0] for r in df.select(det.find_email(F.col("t"))).collect()] == [["a@b.cd", "c@d.ef"], None, []]
 
 
+def test_card_ends_before_a_number_that_fits_by_chance(spark):
+    # Sixteen digits that pass, and with the next two a longer run that passes too.
+    texts = ["the 4495589438270767 42.73.240.87 th", "4495589438270767 42", "4111 1111 11111111"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(det.find_card(F.col("t")), det.mask_cards(F.col("t"))).collect()
+    assert [tuple(r) for r in got] == [
+        (["4495589438270767"], "the 4***(16) 42.73.240.87 th"),
+        (["4495589438270767"], "4***(16) 42"),
+        (["4111 1111 11111111"], "4***(18)"),
+    ]
+
+
 def test_order_and_names():
     assert [d.name for d in det.detectors(["phone", "email", "email"])] == ["email", "phone"]
     with pytest.raises(ValueError):
