@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from maskwright.llm.common import Recent, hold, quoted, remembered, running_sum, whole_text
 
 # Bytes that a Python worker remembers, twice, of words and of the parts that the tokenizer cuts them into; what does not recur makes room.
-WORDS_ROOM, PARTS_ROOM = 80 << 20, 16 << 20
+ROOMS = 80 << 20, 16 << 20
 # How that tokenizer cuts lowered Latin text (a fixed value; other texts it cuts itself).
 PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
 # Printable ASCII and the letters of Latin-1, as UTF-8.
@@ -39,7 +39,7 @@ LATIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 WORD_END, TOGETHER = "</w>", 512
 
 
-def _word_ids(path: str):
+def _word_ids(path: str, words_room: int, parts_room: int):
     """bytes texts -> little-endian ids.
 
     The tokenizer never joins across ASCII white space, and marks the last
@@ -69,7 +69,7 @@ def _word_ids(path: str):
                 start = end
         return out
 
-    known_parts = Recent(together, PARTS_ROOM)
+    known_parts = Recent(together, parts_room)
 
     def words(new: list[bytes]) -> list[bytes]:
         plain = {w: PARTS.findall(w.decode().lower()) for w in new if b"<|" not in w and LATIN.fullmatch(w)}
@@ -79,7 +79,7 @@ def _word_ids(path: str):
         found.update(zip(odd, one_by_one([w.decode() for w in odd])))
         return [found[w] for w in new]
 
-    known = Recent(words, WORDS_ROOM)
+    known = Recent(words, words_room)
 
     def ids(texts: list[bytes]) -> list[bytes]:
         cut = [t.split() for t in texts]
@@ -89,14 +89,16 @@ def _word_ids(path: str):
     return ids
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool = False, text: str = "text", id: str = "doc_id") -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, capacity: int, end_id: int, with_ids: bool = False, text: str = "text", id: str = "doc_id", rooms: tuple[int, int] = ROOMS
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids): the pieces of each document."""
 
     def run(batches):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, end = remembered(("word ids", tokenizer), lambda: _word_ids(tokenizer)), np.array([end_id], "<u4").tobytes()
+        ids, end = remembered(("word ids", tokenizer, rooms), lambda: _word_ids(tokenizer, *rooms)), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -205,9 +207,13 @@ def pack(cut: DataFrame, capacity: int) -> DataFrame:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, text: str = "text", id: str = "doc_id"
+    docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, with_ids: bool = False, text: str = "text", id: str = "doc_id",
+    rooms: tuple[int, int] = ROOMS,
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids).
+
+    ``rooms``: bytes that a Python worker remembers of words and of their parts; the ids do not depend on them.
+    """
     row: Column = F.monotonically_increasing_id().alias("row")
-    cut = hold(pieces(docs, tokenizer, capacity, end_id, with_ids, text, id).select("*", row), "pieces")
+    cut = hold(pieces(docs, tokenizer, capacity, end_id, with_ids, text, id, rooms).select("*", row), "pieces")
     return pack(cut, capacity)

@@ -134,6 +134,8 @@ def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, text: str =
 # --- near copies of whole documents -------------------------------------------------------------
 
 SAMPLE, HOT, WIDTH, BLOCK = 1 << 22, 1 << 18, 512, 1024
+# Texts whose shingles a worker holds at once.
+AT_ONCE = 256
 
 
 def document_key(text: str = "text", id: str = "doc_id"):
@@ -141,6 +143,13 @@ def document_key(text: str = "text", id: str = "doc_id"):
     return F.concat_ws(":", F.coalesce(F.col(quoted(id)).cast("string"), F.lit("")), F.hex(F.xxhash64(ascii_lower(whole_text(text)))))
 
 
+def _slices(batches):
+    """The rows of the batches, AT_ONCE at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, AT_ONCE):
+            yield batch.slice(at, AT_ONCE)
+
+
 def _sets(batch, words: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(t.as_py(), words)) for t in batch.column("text")]
 
@@ -149,7 +158,7 @@ def hot_shingles(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingles in order, their counts): those that come most often in a sample of documents, at most HOT."""
 
     def run(batches):
-        for batch in batches:
+        for batch in _slices(batches):
             for part in _sets(batch, words):
                 yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64))], ["shingle"])
 
@@ -198,7 +207,7 @@ def prefixes(docs: DataFrame, words: int, similarity: float, text: str, id: str)
 
     def run(batches):
         hot, counts = sent.value
-        for batch in batches:
+        for batch in _slices(batches):
             sets = _sets(batch, words)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -269,7 +278,7 @@ def _across(similarity: float):
                     fits &= side[part, None] != side
                 left, right = np.nonzero(fits)
                 left += at
-                step = max(1, (1 << 24) // size)
+                step = max(1, (1 << 22) // size)
                 for i, j in ((left[k : k + step], right[k : k + step]) for k in range(0, len(left), step)):
                     apart = np.bitwise_count(folded[i] ^ folded[j]).sum(1, dtype=np.int64)
                     near = apart <= _unlike(similarity) * (n[i] + n[j]) + 1e-9
