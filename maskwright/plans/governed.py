@@ -29,7 +29,7 @@ from maskwright.plans.aggregates import bare as _bare
 from maskwright.plans.aggregates import direction as _direction
 from maskwright.plans.provenance import Kind, Prov, mixed, same_column
 from maskwright.plans.refusals import Refused
-from maskwright.session import cut_lineage
+from maskwright.session import cut_lineage, hold
 from maskwright.sources.sinks import store_batch
 
 MAX_PASSES = 8
@@ -46,6 +46,17 @@ _UP_TO_HERE = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW".split()
 _FRAME = re.compile(rf"(?:ROWS|RANGE) (?:BETWEEN {_BOUND} AND {_BOUND}|{_BOUND})")
 
 
+def _held_whole(t: T.DataType) -> bool:
+    """Whether a table can hold a column of this type, or rows of this schema."""
+    if isinstance(t, T.StructType):
+        return bool(t.fields) and all(_held_whole(f.dataType) for f in t.fields)
+    if isinstance(t, T.MapType):
+        return _held_whole(t.keyType) and _held_whole(t.valueType)
+    if isinstance(t, T.ArrayType):
+        return _held_whole(t.elementType)
+    return not isinstance(t, (T.NullType, T.CalendarIntervalType))
+
+
 @dataclass(frozen=True)
 class Trail:
     """What a query touched, gathered along its frames."""
@@ -828,13 +839,14 @@ class Governed:
             provs = wider
         else:
             raise Refused("E_TOO_COMPLEX", "the provenance of a recursive CTE does not converge")
-        rows = frontier = cut_lineage(me._df.distinct() if distinct else me._df)
+        keep = lambda df: hold(df, "recursion") if _held_whole(df.schema) else cut_lineage(df)
+        rows = frontier = keep(me._df.distinct() if distinct else me._df)
         rounds = 0
         while not frontier.isEmpty():
             if rounds == max_rounds:
                 raise Refused("E_TOO_COMPLEX", f"the recursion went past the {max_rounds} rounds asked for")
             found = step(Governed(frontier, provs, trail))._df.toDF(*provs)
-            frontier = cut_lineage(found.subtract(rows) if distinct else found)
+            frontier = keep(found.subtract(rows) if distinct else found)
             rows, rounds = rows.unionAll(frontier), rounds + 1
         return Governed(rows, provs, trail)
 

@@ -100,3 +100,24 @@ def test_a_band_join_has_no_nested_loop(spark):
     o = governed(table(spark, SF, "orders"), "shop", "orders", SHOP)
     got = o.band_join(governed(table(spark, SF, "part"), "shop", "part", SHOP), "o_custkey", "p_size", 0, 2)
     assert "NestedLoop" not in plan(got.result()) and "Cartesian" not in plan(got.result())
+
+
+def test_rounds_of_a_recursion_do_not_pile_up_conditions(customer):
+    g = governed(customer, "shop", "customer", SHOP).select("c_custkey")
+    children = g.filter("c_custkey > 0").with_column("parent", "cast(floor(c_custkey / 3.0) as bigint)")
+    plans = []
+
+    def step(frame):
+        found = frame.prefix("r_").join(children, on=[("r_c_custkey", "parent")]).select("c_custkey")
+        plans.append(plan(found._df).upper().count("FLOOR("))
+        return found
+
+    got = g.filter("c_custkey = 0").recursive(step).result()
+    assert got.count() == customer.count()
+    assert plans[-1] <= 6
+
+
+def test_a_recursion_carries_columns_no_table_can_hold(customer):
+    g = governed(customer, "shop", "customer", SHOP).select("c_custkey").with_column("nothing", "null")
+    step = lambda frame: frame.filter("c_custkey < 2").with_column("k", "c_custkey + 1").select(("k", "c_custkey"), "nothing")
+    assert sorted(r["c_custkey"] for r in g.filter("c_custkey = 0").recursive(step).result().collect()) == [0, 1, 2]
