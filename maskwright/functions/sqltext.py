@@ -190,9 +190,12 @@ def per_dialect(dialect: Column, build) -> Column:
 
 def trimmed(sql: Column) -> Column:
     """A statement without outer blanks and one closing semicolon."""
-    blanks = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$"
+    blanks, among = r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", F.lit(" \t\n\r\f\x0B")
     once = F.regexp_replace(sql, blanks, "")
-    return F.regexp_replace(F.regexp_replace(once, r";$", ""), blanks, "")
+    whole = F.regexp_replace(F.regexp_replace(once, r";$", ""), blanks, "")
+    # The same without a pattern, where the text is ASCII and has no semicolon.
+    plain = (F.octet_length(sql) == F.char_length(sql)) & ~F.contains(sql, F.lit(";"))
+    return F.when(plain, F.trim(sql, among)).otherwise(whole)
 
 
 def tokens(sql: Column, dialect: Column) -> Column:
@@ -264,7 +267,8 @@ def top_level(norm: Column) -> Column:
     start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
     depth = F.aggregate(F.split(F.regexp_replace(norm, "[^()]", ""), ""), start, deeper, lambda a: a["most"])
     passes = let(depth, lambda d: F.when(d > 0, F.sequence(F.lit(1), d)).otherwise(F.array().cast("array<int>")))
-    return F.aggregate(passes, norm, lambda text, _: F.regexp_replace(text, r"\([^()]*\)", FOLDED))
+    folded = F.aggregate(passes, norm, lambda text, _: F.regexp_replace(text, r"\([^()]*\)", FOLDED))
+    return F.when(F.contains(norm, F.lit("(")), folded).otherwise(norm)
 
 
 def literal_text(t: Column) -> Column:

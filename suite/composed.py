@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from maskwright.functions.sqltext import statement_shape
 from maskwright.operators import masking, statements
+from maskwright.session import spread
 from pyspark.sql import functions as F
 from suite import query, table
 
@@ -45,7 +46,7 @@ def _sql(select: str) -> str:
 
 
 def _log(spark, sf) -> DataFrame:
-    parts = spark.sql(PARTS.replace("from events", "from {events}"), events=table(spark, sf, "events"))
+    parts = spark.sql(PARTS.replace("from events", "from {events}"), events=spread(table(spark, sf, "events"), per_core=4))
     return spark.sql(TEXT.replace("from parts", "from {parts}"), parts=parts)
 
 

@@ -7,6 +7,8 @@ tables grow with the given ones.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from maskwright.session import spread
@@ -237,7 +239,7 @@ def _text(name: str, engine: str) -> str:
 def derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = _text(name, "spark").replace('"', "`") if name != "audit" else _text(name, "spark")
     # Contact rows and statements cost much per row: their sources are dealt out.
-    deal = spread if name in ("people", "audit", "inventory") else (lambda df: df)
+    deal = spread if name in ("people", "inventory") else partial(spread, per_core=4) if name == "audit" else (lambda df: df)
     return spark.sql(sql, **{t: deal(table(spark, sf_dir, t)) for t in NEEDS[name][1]})
 
 

@@ -6,12 +6,14 @@ from pyspark.sql import functions as F
 from maskwright.operators import disclosure, rules
 from maskwright.operators.masking import mask_table
 from maskwright.operators.rules import RuleSet
+from maskwright.operators.statements import classify_log
 from maskwright.plans.aggregates import agg
 from maskwright.plans.governed import governed
 from maskwright.session import spread
-from suite import table
+from suite import QUERIES, load, table
 from suite.derived import derive
 
+load()
 SF = "/root/testdata/sf0.001"
 SHOP = RuleSet.of({"*.customer.c_name": "partial", "*.customer.c_acctbal": "redact"})
 
@@ -121,3 +123,15 @@ def test_a_recursion_carries_columns_no_table_can_hold(customer):
     g = governed(customer, "shop", "customer", SHOP).select("c_custkey").with_column("nothing", "null")
     step = lambda frame: frame.filter("c_custkey < 2").with_column("k", "c_custkey + 1").select(("k", "c_custkey"), "nothing")
     assert sorted(r["c_custkey"] for r in g.filter("c_custkey = 0").recursive(step).result().collect()) == [0, 1, 2]
+
+
+def test_statements_are_dealt_out_in_more_tasks_than_cores(spark):
+    for name in ("h8_classify_log", "h8_composed_classes", "h9_workload"):
+        p = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "RoundRobinPartitioning(16)" in p, name
+
+
+def test_statements_without_a_hint_meet_no_costly_pattern(spark):
+    log = spark.createDataFrame([("SELECT a FROM t LIMIT 5", "mysql")], "sql string, engine string")
+    p = plan(classify_log(log))
+    assert p.count("MERGE)(?= ") == 1 and "Contains(_n" in p
