@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,24 +34,34 @@ from maskwright.llm.common import Recent, hold, quoted, remembered, running_sum,
 
 # Bytes that a Python worker remembers, twice, of words and of the parts that the tokenizer cuts them into; what does not recur makes room.
 ROOMS = 80 << 20, 16 << 20
-# How that tokenizer cuts lowered Latin text (a fixed value; other texts it cuts itself).
-PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
-# Printable ASCII and the letters of Latin-1, as UTF-8.
-LATIN = re.compile(rb"(?:[\x21-\x7e]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+# Printable ASCII and the letters of Latin-1, in lower case.
+LETTER, KNOWN = r"a-z\x{df}-\x{f6}\x{f8}-\x{ff}", r"\x20-\x7e\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}"
+# How that tokenizer cuts lowered Latin text (a fixed value; other texts it cuts itself): letters are what stays between these.
+BESIDE = rf"('s|'t|'re|'ve|'m|'ll|'d|[0-9]|[^{LETTER}0-9\x09-\x0d\x20]+)"
+PLAIN = rf"\A[{KNOWN}\x09-\x0d]*\z"
+PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[\x21-\x26\x28-\x2f\x3a-\x40\x5b-\x60\x7b-\x7e]+|'")
 WORD_END, TOGETHER = "</w>", 512
 
 
 def _word_ids(path: str, words_room: int, parts_room: int):
-    """bytes texts -> little-endian ids.
+    """texts -> little-endian ids.
 
-    The tokenizer never joins across ASCII white space, and marks the last
-    token of each part, so parts not seen before are encoded many at a time.
+    The tokenizer never joins across ASCII white space, nor across the parts
+    that it cuts a word into, and marks the last token of each part. So texts
+    are cut and put together as Arrow columns, Python looks up each distinct
+    part of a batch, and parts not seen before are encoded many at a time. Of
+    a text with other letters than Latin ones, whole words are looked up.
     """
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
     tokenizer = Tokenizer.from_file(path)
     last = np.zeros(tokenizer.get_vocab_size(), bool)
     last[[i for token, i in tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
+    # Parts are lowered, composed and cut already: all that is left is to merge.
+    merger = Tokenizer.from_file(path)
+    merger.normalizer = None
+    merger.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
 
     def one_by_one(words):
         return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -58,7 +70,7 @@ def _word_ids(path: str, words_room: int, parts_room: int):
         out = []
         for at in range(0, len(parts), TOGETHER):
             group = parts[at : at + TOGETHER]
-            ids = np.array(tokenizer.encode(" ".join(group), add_special_tokens=False).ids, "<u4")
+            ids = np.array(merger.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
             ends = (np.flatnonzero(last[ids]) + 1) * 4
             if len(ends) != len(group):
                 out += one_by_one(group)
@@ -69,22 +81,34 @@ def _word_ids(path: str, words_room: int, parts_room: int):
                 start = end
         return out
 
-    known_parts = Recent(together, parts_room)
-
-    def words(new: list[bytes]) -> list[bytes]:
-        plain = {w: PARTS.findall(w.decode().lower()) for w in new if b"<|" not in w and LATIN.fullmatch(w)}
-        coded = known_parts.of(set().union(*plain.values()))
-        found = {w: b"".join(map(coded.__getitem__, parts)) for w, parts in plain.items()}
-        odd = [w for w in new if w not in plain]
-        found.update(zip(odd, one_by_one([w.decode() for w in odd])))
-        return [found[w] for w in new]
-
-    known = Recent(words, words_room)
-
-    def ids(texts: list[bytes]) -> list[bytes]:
-        cut = [t.split() for t in texts]
-        coded = known.of(set().union(*cut)).__getitem__
-        return [b"".join(map(coded, found)) for found in cut]
+    def make(new: list[bytes]) -> list[bytes]:
+        words = b" ".join(new).decode().split(" ") if new else []
+        fits = [PART.fullmatch(w) is not None for w in words]
+        parts = iter(together(list(compress(words, fits))))
+        odd = iter(one_by_one([w for w, fit in zip(words, fits) if not fit]))
+        return [next(parts if fit else odd) for fit in fits]
+
+    known = Recent(make, words_room + parts_room)
+
+    def encoded(texts: pa.Array) -> list[bytes]:
+        # A text that begins or ends with white space has an empty word there.
+        cut = pc.ascii_split_whitespace(texts)
+        found = cut.values.dictionary_encode()
+        all_words = pa.ListArray.from_arrays([0, len(found.dictionary)], found.dictionary)
+        distinct = pc.binary_join(all_words, pa.scalar(" ", pa.large_string()))[0].as_buffer().to_pybytes().split(b" ")
+        coded = known.of({w for w in distinct if w})
+        flat = pa.array([coded[w] if w else b"" for w in distinct], pa.large_binary()).take(found.indices)
+        _, starts, raw = flat.buffers()
+        ends = np.frombuffer(starts, np.int64, len(flat) + 1)[cut.offsets.to_numpy()].tolist()
+        raw = memoryview(raw or b"")
+        return [bytes(raw[a:b]) for a, b in zip(ends, ends[1:])]
+
+    def ids(texts) -> list[bytes]:
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        plain = pc.and_not(pc.match_substring_regex(texts, PLAIN), pc.match_substring(texts, "<|"))
+        parts = iter(encoded(pc.replace_substring_regex(pc.utf8_lower(texts.filter(plain)), BESIDE, r" \1 ")))
+        words = iter(encoded(texts.filter(pc.invert(plain))))
+        return [next(parts if is_plain else words) for is_plain in plain.to_pylist()]
 
     return ids
 
@@ -102,7 +126,7 @@ def pieces(
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                coded = [x + end for x in ids([t.as_buffer().to_pybytes() for t in part.column("text")])]
+                coded = [x + end for x in ids(part.column("text"))]
                 rows = [
                     (i, n, s // 4, min(capacity, (len(raw) - s) // 4), raw[s : s + 4 * capacity])
                     for i, raw in enumerate(coded)
