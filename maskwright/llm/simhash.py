@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from maskwright.llm.common import as_doc, ascii_lower, components, held, hold, quoted, whole_text
+from maskwright.llm.common import WORD, as_doc, ascii_lower, components, held, hold, quoted, whole_text
 
 SEED = 42
 SEGMENTS = 4
@@ -131,6 +131,17 @@ def near_groups(docs: DataFrame, words: int = 3, max_bits: int = 2, text: str =
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_edges(docs: DataFrame, words: int = 3, max_bits: int = 2, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """Pairs (a, b) of identifiers whose components are those of ``near_groups``: no pair for a document that is alone."""
+    fps = hold(fingerprints(docs, words, text, id), "fingerprints")
+    nodes = hold(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    same = fps.join(nodes, "fp").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    between = links(nodes.select("fp"), max_bits)
+    for side in "ab":
+        between = between.join(nodes.select(F.col("fp").alias(side), F.col("least").alias(f"of_{side}")), side)
+    return same.union(between.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+
+
 # --- near copies of whole documents -------------------------------------------------------------
 
 SAMPLE, HOT, WIDTH, BLOCK = 1 << 22, 1 << 18, 512, 1024
@@ -399,14 +410,23 @@ def _scored(docs: DataFrame, pairs: DataFrame, info: DataFrame, words: int, simi
     return hold(both.mapInArrow(_jaccard(words), LINK).where(F.col("jaccard") >= similarity), "near")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id") -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id", max_bits: int | None = None
+) -> DataFrame:
     """Of each group of near copies the document with the smallest doc_id, and all other documents.
 
-    A group is what links of ``near_links`` connect. Texts without words link to nothing and stay. Rows with the same
-    identifier and the same text (but for the case of A-Z) stay or go together.
+    A group is what links connect: those of ``near_links``, and, where ``max_bits`` is given, also those of SimHash
+    fingerprints (of three-word shingles) at that many or fewer differing bits. Texts without words link to nothing and
+    stay. Rows with the same identifier and the same text (but for the case of A-Z) stay or go together.
     """
     known, _, groups = near_links(docs, words, similarity, text=text, id=id)
     roots = hold(groups, "groups")
+    if max_bits is not None:
+        worded = docs.select(document_key(text, id).alias("key"), whole_text(text).alias("text")).where(F.col("text").rlike(WORD))
+        least = roots.groupBy("root").agg(F.min("key").alias("b"))
+        alike = roots.join(least, "root").select(F.col("key").alias("a"), "b")
+        joined = components(near_edges(worded, max_bits=max_bits, id="key").union(alike))
+        roots = hold(joined.withColumnRenamed("node", "key"), "groups")
     members = roots.join(known, "key")
     best = members.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key"))["key"].alias("key"))
     gone = hold(roots.select("key").join(best.select("key"), "key", "left_anti"), "gone")

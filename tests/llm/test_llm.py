@@ -245,6 +245,25 @@ def test_near_copies_of_a_large_mixed_set_against_all_pairs(spark, monkeypatch):
         monkeypatch.setattr(simhash, "BLOCK", block, raising=False)
         assert {r["doc_id"] for r in simhash.drop_near_copies(frame(spark, rows)).collect()} == stay
 
+def test_the_near_stage_links_by_fingerprints_and_by_shingle_sets(spark):
+    import corpus_pipeline
+
+    draw = random.Random(11)
+    words = lambda n: " ".join("".join(draw.choices("abcdefgh", k=7)) for _ in range(n))
+    # Fingerprints count repeats: 1 has the one of 0, and less than half of its shingles in common with it.
+    cycle = " ".join([words(5)] * 40)
+    long, end = words(200), words(9)
+    # 3 and 4 are alike by their sets of shingles only.
+    texts = {0: cycle, 1: f"{cycle} {words(6)}", 2: words(80), 3: long, 4: f"{long} {end}", 6: "", 7: " "}
+    rows = [(i, t, "s") for i, t in texts.items()]
+    docs = frame(spark, rows)
+    assert {r["doc_id"] for r in simhash.drop_near_copies(docs).collect()} == {0, 1, 2, 3, 6, 7}
+    assert {r["doc_id"] for r in corpus_pipeline.near(spark, docs, SF).collect()} == {0, 2, 3, 6, 7}
+    assert "SimHash near-dedup" in dict(corpus_pipeline.STAGES)
+    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_groups(docs.where("doc_id < 6")).collect()}
+    edges = {(r["a"], r["b"]) for r in simhash.near_edges(docs.where("doc_id < 6")).collect()}
+    assert edges == {(i, root) for i, root in groups.items() if i != root} == {(1, 0)}
+
 
 def test_near_copies_of_odd_rows(spark, odd, none):
     kept = simhash.drop_near_copies(odd)
