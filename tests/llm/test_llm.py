@@ -352,6 +352,61 @@ def test_language_model_beats_the_base_on_texts_not_seen(spark):
     assert (got[0] - got[1]) / got[2] > 0.1
 
 
+@pytest.mark.parametrize("head, bucket", [(noise_contrastive.HEAD, noise_contrastive.BUCKET), (170, 64)])
+def test_language_model_counts_word_triples(spark, odd, head, bucket):
+    m, column = noise_contrastive, subword_quality.held_out("doc_id", 7, 2)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    counts, sent, model, mass, _, _ = m.fit(odd.where(~column).select("text"), head)
+    n, table, lexicon = {bytes(r["word"]): r["n"] for r in counts.collect()}, m.normalised(model), sent.value
+    own = dict(zip(lexicon.words[: lexicon.own], lexicon.classes[: lexicon.own].tolist()))
+    of = lambda w: own.get(w, m.shape_of(w))
+
+    def walk(t):
+        words = [m.END, m.END, *(t or "").encode().lower().split(), m.END]
+        return zip(words, words[1:], words[2:])
+
+    times, after = Counter(), Counter()
+    for i, t, _ in odd_rows():
+        for u, v, w in () if held(i) else walk(t):
+            times[(u, v, w)] += 1
+            after[(u, v, of(w))] += 1
+    want = []
+    for i, t, _ in odd_rows():
+        total = 0.0
+        for u, v, w in walk(t):
+            total += table[of(u) * m.CLASSES + of(v), of(w)]
+            if w not in own:
+                share = (n.get(w, 0) + 1) / 10 ** mass[of(w)]
+                total += math.log10((times[(u, v, w)] + m.STRENGTH * share) / (after[(u, v, of(w))] + m.STRENGTH))
+        want.append((-1 if i is None else i, total))
+    got = m.score_texts(odd, column, head=head, bucket=bucket).select("doc_id", "score", "base_score").collect()
+    assert sum(len(lexicon.words) < len(n) for _ in got) == (len(got) if head == 170 else 0)
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in got)
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
+    assert np.allclose([x for _, x in got], [x for _, x in sorted(want)], rtol=1e-4, atol=1e-2)
+
+
+def test_language_model_tells_texts_that_occur_twice(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    texts = [" ".join(rnd.choice(words) for _ in range(50)) for _ in range(300)]
+    rows = [(i, texts[i % 300], "s") for i in range(330)]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in noise_contrastive.score_texts(frame(spark, rows), F.lit(False)).collect()}
+    assert min(got[i] for i in range(30)) > max(got[i] for i in range(30, 300))
+
+
+def test_language_model_learns_from_every_triple():
+    size, own = noise_contrastive.CLASSES, noise_contrastive.SHAPES
+    often = [(10, 10, t) for t in range(own, 60)]
+    once = (100, 101, 59)  # three of some 10 ** 9: a sample would leave it out
+    cells = np.array([(a * size + b) * size + t for a, b, t in [*often, once]])
+    model = noise_contrastive.train(cells, np.array([2e7] * len(often) + [3.0]))
+    table = 10.0 ** noise_contrastive.normalised(model).astype(float)
+    assert table[100 * size + 101, 59] > 5 * table[10 * size + 10, 59]
+    # Classes without a word have no share.
+    assert np.allclose(table.sum(1), 1, atol=1e-4) and table[:, 60:].max() < 1e-30
+
+
 def test_language_model_of_nothing(spark, none):
     assert noise_contrastive.score_texts(none, F.lit(False)).collect() == []
     unseen = noise_contrastive.score_texts(frame(spark, [(1, "a b", "s")]), F.lit(True)).collect()[0]
